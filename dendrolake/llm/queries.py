@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing
+from . import chat, exact_dedup, mixing, packing
 from ._shared import table
 
 
@@ -21,9 +21,19 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_source_mixing": op5_source_mixing,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op9_packing": op9_packing,
 }
 
-ORACLE: dict[str, str] = {"op4_chat_formatting": chat.ORACLE, "op5_source_mixing": mixing.ORACLE}
+ORACLE: dict[str, str] = {"op4_chat_formatting": chat.ORACLE, "op5_source_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
