@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, language_id, mixing, packing
+from . import chat, exact_dedup, language_id, lattice, mixing, packing
 from ._shared import table
 
 
@@ -33,12 +33,17 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_source_mixing": op5_source_mixing,
     "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_packing": op9_packing,
+    "op10_lattice_near_dedup": op10_lattice_near_dedup,
 }
 
 ORACLE: dict[str, str] = {"op4_chat_formatting": chat.ORACLE, "op5_source_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
