@@ -1,8 +1,8 @@
 """Exact deduplication as a stateful stream.
 
 The documents, with white space normalised and a SHA-256 digest, are written to a content store, and the
-store is read as a stream. Rows of a partition are combined by digest, then dealt by digest to keyed state
-held by RocksDB, without expiry: the digest's stable identifier (smallest doc_id), the content locator
+store is read as a stream. Each task combines its rows by digest before they are dealt by digest to keyed
+state held by RocksDB, without expiry: the digest's stable identifier (smallest doc_id), the content locator
 (store file) of that row, and how many rows it has stood for. State files go to the shared checkpoint.
 
 A digest is only a hint. Rows whose digest has more than one are held against the identifier's whole
@@ -17,62 +17,38 @@ gives no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ._shared import SPACE, Scratch, text_or_empty
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = "first_id long, locator string, seen long"
+STREAM_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 FOUND = "digest binary, first_id long, locator string, seen long"
 
 
-def _combine(batches):
-    """Rows of one batch with the same digest become one."""
-    import pyarrow as pa
-
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        # locator of the smallest id: sort, then first of each group
-        t = t.sort_by([("digest", "ascending"), ("first_id", "ascending")])
-        g = t.group_by("digest", use_threads=False).aggregate([("first_id", "min"), ("locator", "first"), ("seen", "sum")])
-        yield from g.select(["digest", "first_id_min", "locator_first", "seen_sum"]).rename_columns(["digest", "first_id", "locator", "seen"]).to_batches()
-
-
-def _remember(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-    import pandas as pd
-
-    first, locator, seen = state.get if state.exists else (None, None, 0)
-    for frame in frames:
-        for i, where, n in zip(frame["first_id"].tolist(), frame["locator"].tolist(), frame["seen"].tolist()):
-            seen += int(n)
-            if i is not None and i == i and (first is None or i < first):
-                first, locator = int(i), where
-            locator = locator or where
-    state.update((first, locator, seen))
-    yield pd.DataFrame({"digest": [key[0]], "first_id": pd.array([first], "Int64"), "locator": [locator], "seen": [seen]})
-
-
 def stream_digests(spark: SparkSession, store: DataFrame, path: str, scratch: Scratch) -> DataFrame:
     """Run the stream over the content store; one row per digest: first_id, locator, seen."""
     rows = (
         spark.readStream.schema(store.schema).parquet(path)
-        .select("digest", F.col("doc_id").alias("first_id"), F.substring_index("_metadata.file_path", "/", -1).alias("locator"), F.lit(1).cast("long").alias("seen"))
+        .select("digest", F.col("doc_id").alias("first_id"), F.substring_index("_metadata.file_path", "/", -1).alias("locator"))
     )
-    combined = rows.mapInArrow(_combine, FOUND)
-    states = combined.groupBy("digest").applyInPandasWithState(_remember, FOUND, STATE, "append", GroupStateTimeout.NoTimeout)
-    held = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled")}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    order = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "locator")
+    states = rows.groupBy("digest").agg(F.min(order).alias("at"), F.count("*").alias("seen")).select("digest", "at.first_id", "at.locator", "seen")
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{scratch.path('seen')}/batch={batch}")
+
+    held = {k: spark.conf.get(k, None) for k in STREAM_CONF}
+    for k, v in STREAM_CONF.items():
+        spark.conf.set(k, v)
     try:
-        query = (
-            states.writeStream.outputMode("append").trigger(availableNow=True)
-            .option("checkpointLocation", scratch.path("stream")).format("parquet").option("path", scratch.path("seen")).start()
-        )
-        query.awaitTermination()
+        stream = states.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", scratch.path("stream"))
+        stream.foreachBatch(write).start().awaitTermination()
     finally:
         for k, v in held.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
