@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, language_id, lattice, mixing, packing
+from . import chat, exact_dedup, jaccard_join, language_id, lattice, mixing, packing
 from ._shared import table
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -38,6 +42,7 @@ def op10_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_source_mixing": op5_source_mixing,
     "op6_language_id": op6_language_id,
@@ -46,4 +51,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lattice_near_dedup": op10_lattice_near_dedup,
 }
 
-ORACLE: dict[str, str] = {"op4_chat_formatting": chat.ORACLE, "op5_source_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+ORACLE: dict[str, str] = {"op3_ngram_jaccard_join": jaccard_join.ORACLE, "op4_chat_formatting": chat.ORACLE, "op5_source_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
