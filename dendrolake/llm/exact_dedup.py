@@ -89,6 +89,21 @@ def dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def unique_documents(docs: DataFrame) -> DataFrame:
+    """docs without the copies, all columns. Of rows that repeat both text and doc_id one stays."""
+    spark = docs.sparkSession
+    kept = Scratch(spark, "dedup").cut(dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")), "kept")
+    ids = kept.select("__id").distinct()
+    out = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["__id"]), "left_semi")
+    if kept.count() == ids.count():
+        return out
+    # a doc_id with several rows: keep those whose own text stays, once each
+    digest = F.sha2(F.regexp_replace(text_or_empty(), SPACE, " "), 256)
+    mine = out.withColumn("__digest", digest).withColumn("__id", F.col("doc_id").cast("long"))
+    once = mine.dropDuplicates(["__id", "__digest"])
+    return once.join(kept.distinct(), once["__id"].eqNullSafe(kept["__id"]) & (once["__digest"] == kept["__digest"]), "left_semi").select(*docs.columns)
+
+
 ORACLE = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
