@@ -72,13 +72,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     # hits: full bytes against the text of the row that the locator names
     several = known.where("seen > 1")
     hits = scratch.cut(store.join(several.select("digest", "first_id", "seen"), "digest"), "hits")
-    first = hits.where("doc_id <=> first_id").groupBy("digest").agg(F.min("text").alias("first_text"))
+    # sums are written first, so that both sides of the joins are plain exchanges that AQE can split
+    first = scratch.cut(hits.where("doc_id <=> first_id").groupBy("digest").agg(F.min("text").alias("first_text")), "first")
     checked = scratch.cut(
         hits.join(first, "digest").select("doc_id", "digest", "first_id", (F.col("text") == F.col("first_text")).alias("same"), F.when(F.col("text") != F.col("first_text"), F.col("text")).alias("other")),
         "checked",
     )
     same = checked.where("same")
-    sizes = same.groupBy("digest").agg(F.count("*").alias("group_size"))
+    sizes = scratch.cut(same.groupBy("digest").agg(F.count("*").alias("group_size")), "sizes")
     several_rows = same.join(sizes, "digest").select("doc_id", F.col("first_id").alias("keep_id"), "group_size", "digest")
     collided = checked.where("not same")
     groups = collided.groupBy("digest", "other").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
