@@ -58,7 +58,7 @@ PATTERNS = [
     ("ip", r"(?<![\d.])(?P<ip>(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3})(?![\d]|\.\d)"),
     ("ssn", r"(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-])"),
     ("card", r"(?<![\w-])(?P<card>\d{4}(?:[ -]\d{4}){3}|\d{13,19})(?![\w-])"),
-    ("phone", r"(?<![\w.])(?P<phone>\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])"),
+    ("phone", r"(?<![\w.])(?P<phone>\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-]|\.\d)"),
     ("person", rf"(?P<person>(?<!\w)(?:{_FORMS})\s+{_NAME}(?:\s{_NAME}){{0,2}})"),
 ]
 _ANY = re.compile("|".join(p for _, p in PATTERNS))
