@@ -17,7 +17,9 @@ gives no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import SPACE, Scratch, text_or_empty
@@ -31,10 +33,11 @@ STREAM_CONF = {
 FOUND = "digest binary, first_id long, locator string, seen long"
 
 
-def stream_digests(spark: SparkSession, store: DataFrame, path: str, scratch: Scratch) -> DataFrame:
+def stream_digests(spark: SparkSession, store: DataFrame, path: str, scratch: Scratch, max_files: int | None = None) -> DataFrame:
     """Run the stream over the content store; one row per digest: first_id, locator, seen."""
+    source = spark.readStream.schema(store.schema)
     rows = (
-        spark.readStream.schema(store.schema).parquet(path)
+        (source.option("maxFilesPerTrigger", max_files) if max_files else source).parquet(path)
         .select("digest", F.col("doc_id").alias("first_id"), F.substring_index("_metadata.file_path", "/", -1).alias("locator"))
     )
     order = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "locator")
@@ -57,36 +60,42 @@ def stream_digests(spark: SparkSession, store: DataFrame, path: str, scratch: Sc
     return seen.groupBy("digest").agg(F.max_by(F.struct("first_id", "locator"), "seen").alias("at"), F.max("seen").alias("seen")).select("digest", "at.*", "seen")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+def sha256(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, max_files: int | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. digest: of the normalised text;
+    any will do, as equal digests are only a hint. max_files: of the store in a micro-batch."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "dedup")
     text = F.regexp_replace(text_or_empty(), SPACE, " ")
     normal = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    store = scratch.cut(normal.select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("digest")), "store")
-    known = scratch.cut(stream_digests(spark, store, scratch.path("store"), scratch), "known")
+    store = scratch.cut(normal.select("doc_id", "text", digest(F.col("text")).alias("digest"), sha256(F.col("text")).alias("sha")), "store")
+    known = scratch.cut(stream_digests(spark, store, scratch.path("store"), scratch, max_files), "known")
     scratch.drop("stream", "seen")
 
-    rows = store.select("doc_id", "digest").join(known, "digest")
-    single = rows.where("seen = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
+    rows = store.select("doc_id", "digest", "sha").join(known, "digest")
+    single = rows.where("seen = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     # hits: full bytes against the text of the row that the locator names
     several = known.where("seen > 1")
     hits = scratch.cut(store.join(several.select("digest", "first_id", "seen"), "digest"), "hits")
     # sums are written first, so that both sides of the joins are plain exchanges that AQE can split
     first = scratch.cut(hits.where("doc_id <=> first_id").groupBy("digest").agg(F.min("text").alias("first_text")), "first")
     checked = scratch.cut(
-        hits.join(first, "digest").select("doc_id", "digest", "first_id", (F.col("text") == F.col("first_text")).alias("same"), F.when(F.col("text") != F.col("first_text"), F.col("text")).alias("other")),
+        hits.join(first, "digest").select("doc_id", "digest", "sha", "first_id", (F.col("text") == F.col("first_text")).alias("same"), F.when(F.col("text") != F.col("first_text"), F.col("text")).alias("other")),
         "checked",
     )
+    # equal texts under one digest: the identifier of those that equal its text is their smallest doc_id
     same = checked.where("same")
     sizes = scratch.cut(same.groupBy("digest").agg(F.count("*").alias("group_size")), "sizes")
-    several_rows = same.join(sizes, "digest").select("doc_id", F.col("first_id").alias("keep_id"), "group_size", "digest")
+    several_rows = same.join(sizes, "digest").select("doc_id", F.col("first_id").alias("keep_id"), "group_size", "sha")
     collided = checked.where("not same")
     groups = collided.groupBy("digest", "other").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    collided_rows = collided.join(groups, ["digest", "other"]).select("doc_id", "keep_id", "group_size", "digest")
+    collided_rows = collided.join(groups, ["digest", "other"]).select("doc_id", "keep_id", "group_size", "sha")
     return (
         single.unionByName(several_rows).unionByName(collided_rows)
-        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     )
 
 
