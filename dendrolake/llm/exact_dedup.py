@@ -109,9 +109,10 @@ def unique_documents(docs: DataFrame) -> DataFrame:
         return out
     # a doc_id with several rows: keep those whose own text stays, once each
     digest = F.sha2(F.regexp_replace(text_or_empty(), SPACE, " "), 256)
-    mine = out.withColumn("__digest", digest).withColumn("__id", F.col("doc_id").cast("long"))
+    mine = out.select(F.struct(*(out[c] for c in out.columns)).alias("row"), F.col("doc_id").cast("long").alias("__id"), digest.alias("__digest"))
     once = mine.dropDuplicates(["__id", "__digest"])
-    return once.join(kept.distinct(), once["__id"].eqNullSafe(kept["__id"]) & (once["__digest"] == kept["__digest"]), "left_semi").select(*docs.columns)
+    stay = kept.distinct()
+    return once.join(stay, once["__id"].eqNullSafe(stay["__id"]) & (once["__digest"] == stay["__digest"]), "left_semi").select("row.*")
 
 
 ORACLE = r"""

@@ -309,8 +309,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each class, all columns."""
-    stay = classes(docs).where("kept").select(F.col("doc_id").alias("__stay"))
-    return docs.join(stay.distinct(), docs["doc_id"].cast("long").eqNullSafe(F.col("__stay")), "left_semi")
+    stay = classes(docs).where("kept").select(F.col("doc_id").alias("stay")).distinct()
+    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["stay"]), "left_semi")
 
 
 ORACLE = r"""

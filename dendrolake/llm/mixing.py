@@ -119,15 +119,14 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mixture itself: each row of docs, with all its columns, as often as the mix takes it."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    names = docs.columns
     rows = scratch.cut(sized_rows(docs), "rows")
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "source", row_hash().alias("__hash"))
     return (
-        _keyed(docs).withColumn("__hash", row_hash())
-        .join(plan(rows, scratch), KEY)
+        _keyed(whole).join(plan(rows, scratch), KEY)
         .withColumn("__copies", copies())
         .where("__copies > 0")
         .withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .select(*(docs[c] for c in names))
+        .select("row.*")
     )
 
 
