@@ -84,11 +84,14 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
     def run(batches):
         import pyarrow as pa
 
+        from ._shingles import slices
+
         judge = _Judge(dictionaries, level, chunk, min_margin)
         kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
-        for batch in batches:
-            found = list(zip(*map(judge, batch.column(kept.index(text)).to_pylist()))) or [[]] * 4
-            yield pa.record_batch([*batch.columns, *(pa.array(x, k) for x, k in zip(found, kinds))], names=[*kept, *ADDED.names])
+        for whole in batches:
+            for batch in slices(whole, text):
+                found = zip(*map(judge, batch.column(kept.index(text)).to_pylist()))
+                yield pa.record_batch([*batch.columns, *(pa.array(x, k) for x, k in zip(found, kinds))], names=[*kept, *ADDED.names])
 
     source = df.select(*kept)
     return source.mapInArrow(run, T.StructType([*source.schema.fields, *ADDED.fields]))
