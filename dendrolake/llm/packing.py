@@ -19,8 +19,6 @@ Only doc_id, source and text are read.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +27,7 @@ from ._shared import Scratch
 WINDOW, GRAIN, END_ID = 2048, 512, 1
 MAX_QUEUES = 512
 SHIFT = 16  # quanta are fixed-point numbers with so many binary digits
-SLICE_BYTES = 8 << 20
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 450_000
 MARKS = ".,;:!?#$%&*|"
 
 
@@ -121,19 +118,6 @@ class Ids:
 _IDS: dict[str, Ids] = {}
 
 
-def _slices(batch, column: str) -> Iterator:
-    """Row ranges of about SLICE_BYTES of text."""
-    import numpy as np
-
-    texts = batch.column(batch.schema.get_field_index(column))
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset: texts.offset + len(texts) + 1]
-    at = 0
-    while at < len(texts):
-        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
-        yield batch.slice(at, upto - at)
-        at = upto
-
-
 STORED = "doc_id long, part int, queue string, local long, n long, ids binary"
 
 
@@ -141,11 +125,13 @@ def _tokenize(path: str):
     def run(batches):
         import pyarrow as pa
 
+        from ._shingles import slices
+
         coder = _IDS.get(path) or _IDS.setdefault(path, Ids(path))
         local: dict = {}
         end = END_ID.to_bytes(2, "little")
         for whole in batches:
-            for batch in _slices(whole, "text") if len(whole) else ():
+            for batch in slices(whole, "text"):
                 ids, lengths = coder.encode(batch.column("text"))
                 raw, at, n, offsets, values = ids.tobytes(), 0, [], [], []
                 for queue, k in zip(batch.column("queue").to_pylist(), lengths.tolist()):
