@@ -160,3 +160,31 @@ def tip_missing_sites(d: Dialect) -> str:
     """For each tip: missing sites, ambiguous sites, and the masks of the latter."""
     return f"""SELECT tree_id, node, count(*) FILTER (WHERE bit_count(mask) = 4) AS missing, count(*) FILTER (WHERE bit_count(mask) BETWEEN 2 AND 3) AS ambiguous,
       coalesce({d.listagg(f"CASE WHEN bit_count(mask) BETWEEN 2 AND 3 THEN concat(CAST(site AS {d.text}), ':', CAST(mask AS {d.text})) END", ",", "site")}, '') AS masks FROM {{tip_state}} GROUP BY tree_id, node"""
+
+
+@plan("mut", "other", "closure", "reference", "node")
+def history_distance(d: Dialect) -> str:
+    """Nodes and sites at which two histories of a tree have different states, at the root, inside, at tips."""
+
+    def states(events: str) -> str:
+        return f"""SELECT c.tree_id, c.node, e.site, min_by(e.state, c.steps) AS state FROM {{closure}} c
+          JOIN (SELECT tree_id, node, site, min_by(new_state, time) AS state FROM {events} GROUP BY tree_id, node, site) e ON e.tree_id = c.tree_id AND e.node = c.ancestor
+          GROUP BY c.tree_id, c.node, e.site"""
+
+    kind = "CASE WHEN n.parent IS NULL THEN 'root' WHEN n.is_leaf THEN 'tip' ELSE 'inner' END"
+    return f"""WITH x AS ({states("{mut}")}), y AS ({states("{other}")}),
+      z AS (SELECT coalesce(x.tree_id, y.tree_id) AS tree_id, coalesce(x.node, y.node) AS node, coalesce(x.site, y.site) AS site, x.state AS a, y.state AS b
+        FROM x FULL OUTER JOIN y ON x.tree_id = y.tree_id AND x.node = y.node AND x.site = y.site)
+      SELECT z.tree_id, {kind} AS kind, count(*) AS compared, count(*) FILTER (WHERE coalesce(z.a, r.state) <> coalesce(z.b, r.state)) AS distance
+      FROM z JOIN {{reference}} r ON r.site = z.site JOIN {{node}} n ON n.tree_id = z.tree_id AND n.node = z.node GROUP BY z.tree_id, {kind}"""
+
+
+@plan("tip_state", "closure", "node")
+def missing_clade_regions(d: Dialect) -> str:
+    """For each tip the highest clades, four levels up at most and below the root, in which a site is missing
+    at all tips; sites by clade."""
+    return f"""WITH u AS (SELECT c.tree_id, c.ancestor AS node, t.site FROM {{closure}} c JOIN {{tip_state}} t ON t.tree_id = c.tree_id AND t.node = c.node
+        WHERE c.ancestor > 1 GROUP BY c.tree_id, c.ancestor, t.site HAVING min(t.mask) = 15),
+      top AS (SELECT c.tree_id, c.node AS tip, u.site, max_by(c.ancestor, c.steps) AS clade FROM {{closure}} c JOIN u ON u.tree_id = c.tree_id AND u.node = c.ancestor
+        JOIN {{node}} n ON n.tree_id = c.tree_id AND n.node = c.node AND n.is_leaf WHERE c.steps <= 4 GROUP BY c.tree_id, c.node, u.site)
+      SELECT tree_id, tip, clade, {d.collect("site", "site")} AS sites, count(*) AS n FROM top GROUP BY tree_id, tip, clade"""

@@ -324,3 +324,16 @@ def minutes_text(d: Dialect) -> str:
     r = "bround(greatest(value * 10, 0))" if d.spark else "round_even(greatest(value * 10, 0), 0)"
     return f"""SELECT {CHAIN}, sample, CASE WHEN m < 60 THEN concat(CAST(m AS {d.text}), 'min') ELSE concat(CAST({d.idiv("m", "60")} AS {d.text}), 'h', CAST(m % 60 AS {d.text}), 'min') END AS said
       FROM (SELECT {CHAIN}, sample, CAST({r} AS BIGINT) AS m FROM {{trace}}) x"""
+
+
+@plan("trace")
+def average_ranks(d: Dialect) -> str:
+    """Ranks within a chain, ties at their mean, and the quantile whose normal score they get."""
+    return f"""SELECT {CHAIN}, sample, r AS average_rank, round((r - 0.375E0) / (n + 0.25E0), 6) AS quantile FROM (
+      SELECT {CHAIN}, sample, rank() OVER (PARTITION BY {CHAIN} ORDER BY value) + (count(*) OVER (PARTITION BY {CHAIN}, value) - 1) / 2.0E0 AS r, count(*) OVER (PARTITION BY {CHAIN}) AS n FROM {{trace}}) x"""
+
+
+@plan("trace")
+def remaining_time(d: Dialect) -> str:
+    """Hours until two hundred at the present rate, less what is spent, from the number of rows of a chain."""
+    return f"""SELECT {CHAIN}, n, round(greatest(200.0E0 / (n / (last / 60.0E0)) - last / 60.0E0, 0), 4) AS remaining FROM (SELECT {CHAIN}, count(*) AS n, max(sample) / 1000.0E0 AS last FROM {{trace}} GROUP BY {CHAIN}) x"""

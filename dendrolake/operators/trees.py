@@ -161,3 +161,20 @@ def subtree_choice(d: Dialect) -> str:
     """Weights for choosing a subtree: nodes that are neither the root nor its children; uniform, and by length."""
     return """SELECT n.tree_id, n.node, round(1.0E0 / count(*) OVER (PARTITION BY n.tree_id), 6) AS uniform, round((p.height - n.height) / sum(p.height - n.height) OVER (PARTITION BY n.tree_id), 6) AS by_length
       FROM {node} n JOIN {node} p ON p.tree_id = n.tree_id AND p.node = n.parent WHERE n.parent > 1"""
+
+
+# Knots of a piecewise linear log rate, (height, log rate); constant beyond the last.
+KNOTS = [(0.0, -1.0), (1.0, -0.5), (2.5, -1.2), (4.0, -1.5)]
+
+
+@plan("node")
+def time_change(d: Dialect) -> str:
+    """Integral of a rate with piecewise linear logarithm from zero to the height of each node, and the log rate
+    there: the heights cut at the knots, each part in closed form."""
+    parts = []
+    for i, (x, a) in enumerate(KNOTS):
+        hi, b = (KNOTS[i + 1][0], (KNOTS[i + 1][1] - a) / (KNOTS[i + 1][0] - x)) if i + 1 < len(KNOTS) else (1e9, 0.0)
+        parts.append(f"({x!r}E0, {hi!r}{'' if 'e' in repr(hi) else 'E0'}, {a!r}E0, {b!r}E0, 1)")
+    return f"""SELECT n.tree_id, n.node, n.height, round(sum(CASE WHEN k.b = 0 THEN exp(k.a) * (least(n.height, k.hi) - k.lo) ELSE exp(k.a) * (exp(k.b * (least(n.height, k.hi) - k.lo)) - 1) / k.b END), 6) AS integral,
+        round(max_by(k.a + k.b * (least(n.height, k.hi) - k.lo), k.lo), 6) AS log_rate
+      FROM {{node}} n JOIN (VALUES {", ".join(parts)}) AS k(lo, hi, a, b, one) ON k.one = 1 AND n.height >= k.lo GROUP BY n.tree_id, n.node, n.height"""

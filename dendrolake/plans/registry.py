@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import density, history, parsimony, records, sequences, traces, trees
+from ..operators import density, history, kernels, parsimony, records, sequences, traces, trees
 from .bindings import views, with_views
 from .plan import ANSI, SPARK, Dialect, Plan
 
@@ -27,6 +27,7 @@ def more_views(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
         "parts": ((), d.lines("documents_with_fasta", "file", "fasta", "'>'").replace("documents_with_fasta", f"(SELECT doc_id AS file, {fasta} AS fasta FROM documents) f")),
         "wanted": ((), f"SELECT concat('AC', CAST(c_custkey * 2 AS {d.text}), '.', CAST(1 + c_custkey % 3 AS {d.text})) AS id FROM customer"),
         "lineages": (("node",), f"SELECT l.*, n.is_leaf FROM ({trees.lineages_through_time.text(d).format(node='node')}) l JOIN node n ON n.tree_id = l.tree_id AND n.node = l.node"),
+        "weighted": ((), "SELECT l_orderkey AS grp, CAST(l_linenumber AS BIGINT) AS item, sum(l_quantity) AS weight FROM lineitem GROUP BY l_orderkey, l_linenumber"),
         "regions": of(history.branch_regions),
         "stats": of(trees.subtree_stats),
         "times": of(traces.first_stable),
@@ -64,6 +65,9 @@ _register(
     history.site_replace, history.time_bounds, history.unconstrained_nodes, history.tip_missing_sites,
 )
 _register(history.violations, mut="broken")
+_register(history.history_distance, other="broken")
+_register(history.missing_clade_regions, trees.time_change, traces.average_ranks, traces.remaining_time)
+_register(kernels.categorical_pick)
 _register(parsimony.fitch_scores, parsimony.fitch_rows, parsimony.excess_mutations)
 _register(density.genetic_prior, density.category_posterior, density.transition_probs, density.jc_branch_density, density.dwell_times)
 _register(
@@ -99,7 +103,8 @@ def domain(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
             base = domain(spark, sf_dir, "node", "tip_state")
             out[name] = parsimony.fitch_sets(base["node"], base["tip_state"])
         elif name == "closure":
-            out[name] = trees.ancestor_closure(domain(spark, sf_dir, "node")["node"])
+            # plans read it several times
+            out[name] = trees.ancestor_closure(domain(spark, sf_dir, "node")["node"]).persist()
         elif name in known:
             order = _needs((name,), known)
             heads = ", ".join(f"{x} AS ({known[x][1]})" for x in order)
