@@ -25,7 +25,7 @@ def test_digests_equal_sql_with_nulls_ties_and_control_strings(spark):
     ]
     df = spark.createDataFrame(rows, TURNS)
     extra = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], TURNS)
-    sql = chat.ORACLE.replace("NULLS", "NULLS").replace("ORDER BY turn, role, text", "ORDER BY turn NULLS FIRST, role, text")
+    sql = chat.ORACLE
     same(chat.digests(df.unionByName(extra)), sql, conversations=df)
 
 
