@@ -158,3 +158,20 @@ def json_values(d: Dialect) -> str:
     """Fields of a JSON column, null where it has none."""
     get = "get_json_object(props, '$.{0}')" if d.spark else "json_extract_string(props, '$.{0}')"
     return f"SELECT event_id, {get.replace('{0}', 'k')} AS k, {get.replace('{0}', 'page')} AS page FROM {{events}}"
+
+
+@plan("aligned")
+def cigar_project(d: Dialect) -> str:
+    """aligned(id, cigar, seq, ref_start, ref_len) in reference coordinates: matches copy, insertions are dropped,
+    deletions are gaps, what isn't covered is N."""
+    if d.spark:
+        ops = r"SELECT id, pos, op FROM {aligned} LATERAL VIEW posexplode(regexp_extract_all(cigar, r'\d+[A-Z=]', 0)) o AS pos, op"
+    else:
+        ops = r"SELECT id, generate_subscripts(o, 1) AS pos, unnest(o) AS op FROM (SELECT id, regexp_extract_all(cigar, '\d+[A-Z=]') AS o FROM {aligned}) x"
+    return f"""WITH ops AS ({ops}),
+      s AS (SELECT id, pos, CAST({d.extract("op", "^[0-9]+", 0)} AS INT) AS n, {d.extract("op", "[A-Z=]$", 0)} AS kind FROM ops),
+      q AS (SELECT id, pos, n, kind, coalesce(sum(CASE WHEN kind IN ('M', 'I', 'S', '=', 'X') THEN n ELSE 0 END) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM s),
+      p AS (SELECT q.id, q.pos, CASE WHEN kind IN ('M', '=', 'X') THEN substring(a.seq, CAST(used AS INT) + 1, n) WHEN kind IN ('D', 'N') THEN repeat('-', n) ELSE '' END AS part
+        FROM q JOIN {{aligned}} a ON a.id = q.id),
+      j AS (SELECT id, {d.listagg("part", "", "pos")} AS body FROM p GROUP BY id)
+      SELECT a.id, concat(repeat('N', a.ref_start), j.body, repeat('N', greatest(0, a.ref_len - a.ref_start - CAST(length(j.body) AS INT)))) AS sequence FROM j JOIN {{aligned}} a ON a.id = j.id"""

@@ -27,6 +27,9 @@ def more_views(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
         "parts": ((), d.lines("documents_with_fasta", "file", "fasta", "'>'").replace("documents_with_fasta", f"(SELECT doc_id AS file, {fasta} AS fasta FROM documents) f")),
         "wanted": ((), f"SELECT concat('AC', CAST(c_custkey * 2 AS {d.text}), '.', CAST(1 + c_custkey % 3 AS {d.text})) AS id FROM customer"),
         "lineages": (("node",), f"SELECT l.*, n.is_leaf FROM ({trees.lineages_through_time.text(d).format(node='node')}) l JOIN node n ON n.tree_id = l.tree_id AND n.node = l.node"),
+        "aligned": ((), f"""SELECT concat(CAST(l_orderkey AS {d.text}), '-', CAST(l_linenumber AS {d.text})) AS id, repeat('ACGTTGCA', 4) AS seq, CAST(l_quantity AS INT) % 5 AS ref_start, 30 AS ref_len,
+            concat(CAST(3 + l_linenumber AS {d.text}), 'M', CAST(1 + l_suppkey % 2 AS {d.text}), 'I', CAST(1 + l_partkey % 3 AS {d.text}), 'D', '9M') AS cigar
+            FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_linenumber) l"""),
         "weighted": ((), "SELECT l_orderkey AS grp, CAST(l_linenumber AS BIGINT) AS item, sum(l_quantity) AS weight FROM lineitem GROUP BY l_orderkey, l_linenumber"),
         "regions": of(history.branch_regions),
         "stats": of(trees.subtree_stats),
@@ -67,7 +70,7 @@ _register(
 _register(history.violations, mut="broken")
 _register(history.history_distance, other="broken")
 _register(history.missing_clade_regions, trees.time_change, traces.average_ranks, traces.remaining_time)
-_register(kernels.categorical_pick)
+_register(kernels.categorical_pick, records.cigar_project)
 _register(parsimony.fitch_scores, parsimony.fitch_rows, parsimony.excess_mutations)
 _register(density.genetic_prior, density.category_posterior, density.transition_probs, density.jc_branch_density, density.dwell_times)
 _register(
