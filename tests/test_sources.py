@@ -29,11 +29,11 @@ def test_fasta_and_metadata(spark, tmp_path):
 
 
 def test_logs(spark, tmp_path):
-    for name in ("emat_zika-1.log", "mut_clade_zika-2.log", "other.log"):
+    for name in ("first_zika-1.log", "mut_clade_zika-2.log", "other.log"):
         (tmp_path / name).write_text("# comment\nstate\tPosterior\tempty\n0\t-3.5\t\n1000\tx\t\n2000\t-1.25\t\n")
-    found = readers.discover_logs(spark, str(tmp_path), exclude=["emat"])
+    found = readers.discover_logs(spark, str(tmp_path), exclude=["first"])
     assert [(r.method, r.experiment, r.seed) for r in found.collect()] == [("mut_clade", "zika", 2)]
-    trace = readers.read_trace(spark, str(tmp_path / "emat_zika-1.log"))
+    trace = readers.read_trace(spark, str(tmp_path / "first_zika-1.log"))
     assert trace.columns == ["Sample", "posterior"] and [tuple(r) for r in trace.collect()] == [(0, -3.5), (2000, -1.25)]
     assert readers.long_trace(trace).count() == 2
 
