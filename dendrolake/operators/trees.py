@@ -178,3 +178,31 @@ def time_change(d: Dialect) -> str:
     return f"""SELECT n.tree_id, n.node, n.height, round(sum(CASE WHEN k.b = 0 THEN exp(k.a) * (least(n.height, k.hi) - k.lo) ELSE exp(k.a) * (exp(k.b * (least(n.height, k.hi) - k.lo)) - 1) / k.b END), 6) AS integral,
         round(max_by(k.a + k.b * (least(n.height, k.hi) - k.lo), k.lo), 6) AS log_rate
       FROM {{node}} n JOIN (VALUES {", ".join(parts)}) AS k(lo, hi, a, b, one) ON k.one = 1 AND n.height >= k.lo GROUP BY n.tree_id, n.node, n.height"""
+
+
+#: Knots and slopes of the default piecewise linear slope.
+SLOPES = ((0.0, -1.0), (1.0, -0.5), (2.5, -1.2), (4.0, -1.5))
+
+
+def spline_text(height: str, source: str, keep: str, slopes=SLOPES) -> str:
+    """Slope at a height, linear between knots and constant outside, and its integral from the first knot; negative
+    below it. One pass over the rows: the few segments are branches of an expression."""
+    inner, total = [], 0.0
+    for (x, a), (y, b) in zip(slopes, slopes[1:]):
+        change = (b - a) / (y - x)
+        inner.append((y, f"{a!r}E0 + {change!r}E0 * ({height} - {x!r}E0)", f"{total!r}E0 + {a!r}E0 * ({height} - {x!r}E0) + {change / 2!r}E0 * ({height} - {x!r}E0) * ({height} - {x!r}E0)"))
+        total += (a + b) / 2 * (y - x)
+    (first, low), (last, high) = slopes[0], slopes[-1]
+
+    def cases(value: int, below: str, above: str) -> str:
+        return f"CASE WHEN {height} <= {first!r}E0 THEN {below} " + " ".join(f"WHEN {height} < {x[0]!r}E0 THEN {x[value]}" for x in inner) + f" WHEN {height} >= {last!r}E0 THEN {above} END"
+
+    slope = cases(1, f"{low!r}E0", f"{high!r}E0")
+    integral = cases(2, f"{low!r}E0 * ({height} - {first!r}E0)", f"{total!r}E0 + {high!r}E0 * ({height} - {last!r}E0)")
+    return f"SELECT {keep}, {height} AS height, round({slope}, 6) AS slope, round({integral}, 6) + 0E0 AS integral FROM {source}"
+
+
+@plan("node")
+def spline_integral(d: Dialect) -> str:
+    """Slope of a piecewise linear approximation at the height of each node, and its integral; null without a height."""
+    return spline_text("height", "{node}", "tree_id, node")

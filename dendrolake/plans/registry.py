@@ -69,7 +69,7 @@ _register(
 )
 _register(history.violations, mut="broken")
 _register(history.history_distance, other="broken")
-_register(history.missing_clade_regions, trees.time_change, traces.average_ranks, traces.remaining_time)
+_register(history.missing_clade_regions, trees.time_change, trees.spline_integral, traces.average_ranks, traces.remaining_time)
 _register(kernels.categorical_pick, records.cigar_project)
 _register(parsimony.fitch_scores, parsimony.fitch_rows, parsimony.excess_mutations)
 _register(density.genetic_prior, density.category_posterior, density.transition_probs, density.jc_branch_density, density.dwell_times)

@@ -112,3 +112,17 @@ def test_effective_sample_sizes():
 def test_plans_name_what_they_miss(spark):
     with pytest.raises(ValueError, match="masked"):
         sequences.constant_sites()
+
+
+def test_spline_integral(spark):
+    import numpy as np
+
+    heights = [-1.0, 0.0, 0.3, 1.0, 1.7, 2.5, 3.9, 4.0, 6.0]
+    node = spark.createDataFrame([(1, i, h) for i, h in enumerate([*heights, None])], "tree_id int, node int, height double")
+    rows = {r.height: r for r in trees.spline_integral(node=node).collect()}
+    x, y = zip(*trees.SLOPES)
+    for h in heights:
+        assert rows[h].slope == pytest.approx(np.interp(h, x, y), abs=1e-6)
+        grid = np.linspace(0, h, 20_001)
+        assert rows[h].integral == pytest.approx(np.trapezoid(np.interp(grid, x, y), grid), abs=1e-5)
+    assert rows[None].slope is None and rows[None].integral is None
