@@ -285,6 +285,18 @@ def test_changed_passages_are_mostly_found(make, words):
     assert hit >= 54, hit
 
 
+def test_changed_copies_of_passages_with_exact_copies_are_found(make, words):
+    rows = []
+    for i in range(30):
+        w = words(60, 8000 + i).split()
+        changed = [" ".join(w[:at] + ["other"] + w[at + 1:]) for at in (30, 33)]
+        rows += [(4 * i + n, " ".join([words(40, 9000 + 4 * i + n), text, words(40, 9500 + 4 * i + n)])) for n, text in enumerate([" ".join(w)] * 2 + changed[i % 2:][:1])]
+    got = passages_of(windows.repeated_passages(make(rows)))
+    assert all(4 * i in got and 4 * i + 1 in got for i in range(30))
+    hit = sum(any(min(b, 100) - max(a, 40) >= 40 for a, b in got.get(4 * i + 2, [])) for i in range(30))
+    assert hit >= 27, hit
+
+
 def test_passages_of_nothing(make):
     assert windows.repeated_passages(make([])).count() == 0
 
