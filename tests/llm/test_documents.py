@@ -297,6 +297,27 @@ def test_changed_copies_of_passages_with_exact_copies_are_found(make, words):
     assert hit >= 27, hit
 
 
+def places_of_signatures(spark, texts, groups):
+    """Windows that give the places 60 of each group of documents one signature, and no covered spans."""
+    rows = [(d, [(4 * n + k, 60, 119) for n, members in enumerate(groups) if d in members for k in (0, 1)]) for d in texts]
+    kept = spark.createDataFrame(rows, "doc_id long, windows array<struct<key:long,c:int,lr:long>>")
+    return spark.createDataFrame(list(texts.items()), "doc_id long, text string"), kept, spark.createDataFrame([], "doc_id long, start int, n_words int")
+
+
+@pytest.mark.parametrize("limit", (512, 16))
+def test_changed_copies_meet_in_large_signatures(spark, words, monkeypatch, limit):
+    monkeypatch.setattr(windows, "BLOCK", limit, raising=False)
+    texts = {}
+    for i in range(8):  # four families of two copies among many unrelated texts of the same signature
+        w = words(130, 600 + i // 2).split()
+        w[58:66] = "a frequent line of some eight words".split() + ["x"]
+        w[20 + i % 2] = w[100 - i % 2] = "other"
+        texts[i] = " ".join(w)
+    texts |= {i: words(130, 4000 + i) for i in range(8, 200)}
+    got = windows._changed(*places_of_signatures(spark, texts, [set(texts)]), 50, 0.8, windows.Scratch(spark, "test"))
+    assert {r.doc_id for r in got.collect()} == set(range(8))
+
+
 def test_passages_of_nothing(make):
     assert windows.repeated_passages(make([])).count() == 0
 
