@@ -318,6 +318,21 @@ def test_changed_copies_meet_in_large_signatures(spark, words, monkeypatch, limi
     assert {r.doc_id for r in got.collect()} == set(range(8))
 
 
+def test_matched_places_stay_partners(spark, words, monkeypatch):
+    monkeypatch.setattr(windows, "BLOCK", 4, raising=False)
+    texts, groups = {}, []
+    for i in range(12):  # p is like q up to its anchor and like z from there
+        p, at = words(130, 7000 + i).split(), 20 * i
+        for n, part in enumerate((slice(0, 130), slice(10, 66), slice(58, 115))):
+            w = words(130, 7100 + at + n).split()
+            w[part] = p[part]
+            texts[at + n] = " ".join(w)
+        texts |= {at + n: words(130, 7500 + at + n) for n in range(3, 14)}
+        groups += [{at, at + 1, *range(at + 3, at + 6)}, {at, at + 2, *range(at + 6, at + 14)}]
+    got = windows._changed(*places_of_signatures(spark, texts, groups), 50, 0.8, windows.Scratch(spark, "test"))
+    assert {r.doc_id for r in got.collect()} == {20 * i + n for i in range(12) for n in range(3)}
+
+
 def test_passages_of_nothing(make):
     assert windows.repeated_passages(make([])).count() == 0
 
