@@ -339,56 +339,108 @@ def test_passages_of_nothing(make):
 
 # packing
 
-def test_packing_round_trip(make, words):
-    import zlib
+SPECIAL = [
+    "İstanbul <|endoftext|> ǅ", "áé", "it's I'LL 'tis", "x1y2 3.5%", "日本語 テキスト", "ΣΑΣ ς", " wide space", "ﬁ ligature", "K kelvin", "", "  a  b\x1cc \x0b\n",
+    "ȺȾ. Ⱥ?", "hello <|endoftext|> world", "ab<|startoftext|>cd. <|ENDOFTEXT|>", "a</w> b", "é \u0301x", "µ ª. ŉ", "..., #a b# !!??", "don't. WE'RE'", "\ud7ff \ue000",
+]
 
+
+def check_packing(got, want, window=2048):
+    """want: doc_id -> lists of ids, one for each of its rows."""
     import numpy as np
-    from tokenizers import Tokenizer
 
-    rng = random.Random(5)
-    special = ["İstanbul <|endoftext|> ǅ", "áé", "it's I'LL 'tis", "x1y2 3.5%", "日本語 テキスト", "ΣΑΣ ς", " wide space", "ﬁ ligature", "K kelvin", ""]
-    rows = [(i, words(rng.randint(1, 300), i), "en", [None, "a", "b", "c"][min(3, i % 7)]) for i in range(60)] + [(100 + i, t, "en", "d") for i, t in enumerate(special)]
-    rows += [(200, None, "en", "a"), (200, None, "en", "a"), (None, "no id", "en", "a"), (201, words(8000, 3), "en", "b")]
-    got = packing.pack(make(rows)).collect()
-    t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
-    want = {}
-    for d, text, *_ in rows:
-        want.setdefault(d, []).append([*t.encode(text or "", add_special_tokens=False).ids, 1])
-    pieces, windows_ = {}, {}
+    pieces, sequences = {}, {}
     for r in got:
         ids = np.frombuffer(r.ids, "<u4")
-        assert len(ids) == r.length > 0 and r.offset + r.length <= 2048
+        assert len(ids) == r.length > 0 and r.offset + r.length <= window
         pieces.setdefault(r.doc_id, []).append((r.start, ids.tolist(), r.doc_tokens))
-        windows_.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert set(pieces) == set(want)
     for d, texts in want.items():
         assert sorted(x for p in pieces[d] for x in p[1]) == sorted(x for y in texts for x in y)
         if len(texts) == 1:
             assert sum((p[1] for p in sorted(pieces[d])), []) == texts[0] and all(p[2] == len(texts[0]) for p in pieces[d])
-    for s, parts in windows_.items():
+    for s, parts in sequences.items():
         at = 0
         for o, n in sorted(parts):
             assert o == at
             at += n
-        assert at == 2048 or s == max(windows_)
-    assert sorted(windows_) == list(range(len(windows_)))
+        assert at == window or s == max(sequences)
+    assert sorted(sequences) == list(range(len(sequences)))
+
+
+def test_packing_round_trip(make, words):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    rows = [(i, words(rng.randint(1, 300), i), "en", [None, "a", "b", "c"][min(3, i % 7)]) for i in range(60)] + [(100 + i, t, "en", "d") for i, t in enumerate(SPECIAL)]
+    rows += [(200, None, "en", "a"), (200, None, "en", "a"), (None, "no id", "en", "a"), (201, words(8000, 3), "en", "b")]
+    got = packing.pack(make(rows)).collect()
+    t = Tokenizer.from_file(packing.default_tokenizer())  # as it is: special tokens in a text are special tokens
+    want = {}
+    for d, text, *_ in rows:
+        want.setdefault(d, []).append([*t.encode(text or "", add_special_tokens=False).ids, 1])
+    check_packing(got, want)
+    assert 49407 in want[112][0]
     assert {r.ids_crc32 for r in packing.digests(make(rows)).collect()} == {zlib.crc32(r.ids) for r in got}
 
 
-def test_windows_follow_the_mixture(make, words):
-    rows = [(i, words(400, i), "en", "abcc"[i % 4]) for i in range(120)]
+def test_a_full_cache_of_parts_changes_nothing(words, monkeypatch):
+    import pyarrow as pa
+
+    texts = [words(40, i) + " Tail" + str(i) + "... x" for i in range(30)] + SPECIAL
+    whole, lengths = packing.Ids(packing.default_tokenizer()).encode(pa.array(texts), 1)
+    monkeypatch.setattr(packing, "KNOWN", 20)
+    small = packing.Ids(packing.default_tokenizer())
+    assert [x for t in texts for x in small.encode(pa.array([t]), 1)[0].tolist()] == whole.tolist()
+
+
+def test_grains_have_each_place_once():
+    import numpy as np
+
+    rng = random.Random(12)
+    for _ in range(30):
+        sizes, levels = [rng.choice([0, 1, 3, rng.randrange(400)]) for _ in range(rng.randrange(1, 12))], 4
+        places, sent = [], []
+        for s, size in enumerate(sizes):
+            node = [[sum(n for i, n in enumerate(sizes) if i >> levels - d == s >> levels - d) for d in range(levels)]]
+            first = [[sum(n for i, n in enumerate(sizes) if i >> levels - d - 1 == (s >> levels - d) * 2) for d in range(levels)]]
+            other = [[bool(s >> levels - d - 1 & 1) for d in range(levels)]]
+            total, first, other = (np.repeat(np.array(x), size, 0) for x in (node, first, other))
+            places.append(packing.grain_places(np.arange(size), total, first, other, 8).tolist())
+        assert sorted(sum(places, [])) == list(range(sum(sizes)))
+        for p, size in zip(places, sizes):  # the order of a queue stays, and its share of any windows is within a grain a level
+            assert p == sorted(p)
+            assert all(abs(sum(x < 8 * w for x in p) - 8 * w * size / sum(sizes)) <= levels for w in range(sum(sizes) // 8))
+    t, n = np.array([2**44 + 12345, 7]), np.array([2**45 - 1, 2**49])
+    q, rest = packing.divided(t, np.array([2**43 + 1, 2**48]), n)
+    assert [(int(a), int(b)) for a, b in zip(q, rest)] == [divmod(int(x) * y, int(z)) for x, y, z in zip(t, (2**43 + 1, 2**48), n)]
+
+
+@pytest.mark.parametrize("sources", [3, 20, 600])
+def test_windows_follow_the_mixture(make, words, sources):
+    rows = [(i, words(120, i), "en", f"s{i % sources * (i % 3 > 0)}") for i in range(1200)]
     source = {r[0]: r[3] for r in rows}
     got = packing.pack(make(rows)).collect()
-    total = sum(r.length for r in got)
-    share = {s: sum(r.length for r in got if source[r.doc_id] == s) / total for s in "abc"}
-    sent = dict.fromkeys("abc", 0)
-    by = {}
+    total, size, by = sum(r.length for r in got), {}, {}
     for r in got:
-        by.setdefault(r.sequence_id, []).append(r)
-    for k in range(max(by) + 1):
-        for r in by[k]:
-            sent[source[r.doc_id]] += r.length
-        assert all(abs(sent[s] - share[s] * 2048 * (k + 1)) <= 2 * packing.GRAIN for s in "abc" if k < max(by))
+        size[source[r.doc_id]] = size.get(source[r.doc_id], 0) + r.length
+        here = by.setdefault(r.sequence_id, {})
+        here[source[r.doc_id]] = here.get(source[r.doc_id], 0) + r.length
+    levels = max(1, (len(size) - 1).bit_length())
+    left = sum(n % packing.GRAIN for n in size.values())
+    sent = dict.fromkeys(size, 0)
+    for k in range((total - left) // 2048):
+        for s in size:
+            share = (size[s] - size[s] % packing.GRAIN) / (total - left) * 2048
+            assert abs(by[k].get(s, 0) - share) <= 2 * levels * packing.GRAIN
+            sent[s] += by[k].get(s, 0)
+            assert abs(sent[s] - share * (k + 1)) <= levels * packing.GRAIN
+        if sources < 600:  # in every window, not only in the long run
+            assert len(by[k]) >= 0.9 * len(size)
+    assert {s for here in by.values() for s in here} == set(size)
 
 
 def test_packing_of_nothing(make):
