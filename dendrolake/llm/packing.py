@@ -283,7 +283,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, gr
     sums = scratch.cut(stored.groupBy("part", "queue").agg(F.sum("n").alias("sum")), "sums")
     path = scratch.cut(paths(scratch.cut(sums.groupBy("queue").agg(F.sum("sum").alias("sum")), "totals"), grain), "paths")
     upto = F.sum("sum").over(Window.partitionBy("queue").orderBy("part"))
-    bases = sums.select("part", "queue", (upto - F.col("sum")).alias("base")).join(path, "queue")
+    # written, so that Spark knows how small it is and doesn't shuffle the ids for it
+    bases = scratch.cut(sums.select("part", "queue", (upto - F.col("sum")).alias("base")).join(path, "queue"), "bases")
     placed = stored.join(bases, ["part", "queue"]).select("doc_id", (F.col("base") + F.col("local")).alias("pos"), "n", "ids", "grains", "tail", "total", "first", "other")
     return placed.mapInArrow(_cut(window, grain), PIECES)
 
