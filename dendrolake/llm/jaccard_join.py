@@ -14,13 +14,17 @@ sets decides, so no link is wrong. A pair that meets in several nodes counts in
 only, which both members' node lists tell. Classes are the connected components of all links.
 
 Defined results: null and empty texts (no words) link with nothing; a text of one to four words is one
-shingle; words are split at ASCII white space; rows with a null doc_id link with nothing and are kept;
-doc_id is taken to be a key; an empty table gives no rows. Only doc_id and text are read.
+shingle; words are split at ASCII white space. Rows are compared whatever their doc_id: repeated rows are
+further copies, linked with each other, and rows with a null doc_id link like others; class_id is the smallest
+doc_id of the class that isn't null. In a class without any doc_id all rows are kept, as nothing tells them
+apart; of rows that share a doc_id all are kept where it is the smallest. Very long texts are one set each,
+whose shingles a task holds whole. An empty table gives no rows. Only doc_id and text are read, so other
+columns may have any names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._blocks import deal, local_labels, runs
@@ -33,7 +37,7 @@ LIMIT, MAX_DEPTH = 256, 10
 DENSE = 0.7
 MARGIN = 0.2  # of the estimate from T coordinates: four standard deviations
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
-SKETCH = "doc_id long, n int, k1 long, k2 long, sketch binary"
+SKETCH = "rid long, doc_id long, mark string, n int, k1 long, k2 long, sketch binary"
 
 
 def runs_needed(threshold: float, recall: float) -> int:
@@ -105,7 +109,7 @@ def _sketches(batches):
                 digest = np.frombuffer(blake2b(x.tobytes(), digest_size=16).digest(), np.int64)
                 n.append(len(x)), k1.append(digest[0]), k2.append(digest[1])
                 out.append(sketch(x).tobytes() if len(x) else None)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n", "k1", "k2", "sketch"])
+            yield pa.record_batch([batch.column("rid"), batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(out, pa.binary())], names=["rid", "doc_id", "mark", "n", "k1", "k2", "sketch"])
 
 
 def _shingle_sets(batches):
@@ -115,7 +119,7 @@ def _shingle_sets(batches):
 
     for whole in batches:
         for batch in slices(whole, "text"):
-            yield pa.record_batch([batch.column("doc_id"), pa.array([x.tobytes() for x in _sets(batch)], pa.binary())], names=["rep", "shingles"])
+            yield pa.record_batch([batch.column("rep"), pa.array([x.tobytes() for x in _sets(batch)], pa.binary())], names=["rep", "shingles"])
 
 
 def _children(batches):
@@ -268,13 +272,24 @@ def leaves(reps: DataFrame, scratch: Scratch, threshold: float, recall: float) -
         source = big.select("node", "rep").join(reps.select("rep", "sketch"), "rep").select("node", "rep", "sketch")
 
 
+def _mark() -> Column:
+    """What tells rows without a doc_id apart: their text."""
+    return F.when(F.col("doc_id").isNull(), F.sha2(text_or_empty(), 256))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per row of docs: doc_id, class_id (smallest doc_id of its class), n_links, kept."""
+    return _classes(docs, threshold, recall).drop("mark")
+
+
+def _classes(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "jaccard")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    # rows are numbered once, as doc_id may be null or repeat; a set is named by the row of its smallest doc_id
+    texts = scratch.cut(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), text_or_empty().alias("text")), "texts")
     base = scratch.cut(texts.mapInArrow(_sketches, SKETCH), "sketches")
-    known = base.where("n > 0 AND doc_id IS NOT NULL")
-    reps = scratch.cut(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "reps")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
+    sets = base.where("n > 0").groupBy("k1", "k2").agg(first.alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    reps = scratch.cut(sets.select("k1", "k2", F.col("at.rid").alias("rep"), F.col("at.doc_id").alias("least"), "copies", "n", "sketch"), "reps")
     places = scratch.cut(leaves(reps, scratch, threshold, recall), "leaves")
     nodes = places.groupBy("rep").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
     facts = scratch.cut(reps.join(nodes, "rep").select("rep", "copies", "n", "sketch", "nodes"), "facts")
@@ -289,7 +304,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         "near",
     )
     wanted = near.select("rep").distinct()
-    found = texts.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_shingle_sets, "rep long, shingles binary")
+    found = texts.select(F.col("rid").alias("rep"), "text").join(wanted, "rep", "left_semi").mapInArrow(_shingle_sets, "rep long, shingles binary")
     links = scratch.cut(
         near.join(facts, "rep").join(found, "rep")
         .select(*block, "__own", "rep", "copies", "n", "sketch", "nodes", "shingles").repartition(*block).sortWithinPartitions(*block)
@@ -298,19 +313,25 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     )
     group = components(links.where("rep != near").select(F.col("rep").alias("u"), F.col("near").alias("v")), scratch)
     linked = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    merged = (
-        reps.select("k1", "k2", "rep", "copies").join(linked, "rep", "left").join(group.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class_id"))
+    merged = scratch.cut(
+        reps.select("k1", "k2", "rep", "least", "copies").join(linked, "rep", "left").join(group.withColumnRenamed("node", "rep"), "rep", "left")
+        .select("k1", "k2", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")),
+        "merged",
     )
-    out = known.select("doc_id", "k1", "k2").join(merged, ["k1", "k2"]).select("doc_id", "class_id", "n_links")
-    alone = base.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    ids = scratch.cut(merged.groupBy("component").agg(F.min("least").alias("class_id")), "ids")
+    named = scratch.cut(merged.join(ids, "component").select("k1", "k2", "class_id", "n_links"), "named")
+    scratch.drop("texts", "reps", "facts", "near", "links", "leaves", "merged", "ids")
+    out = base.where("n > 0").select("doc_id", "mark", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "mark", "class_id", "n_links")
+    alone = base.where("n = 0").select("doc_id", "mark", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each class, all columns."""
-    stay = classes(docs).where("kept").select(F.col("doc_id").alias("stay")).distinct()
-    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["stay"]), "left_semi")
+    stay = _classes(docs, THRESHOLD, RECALL).where("kept").select(F.col("doc_id").alias("__stay"), F.col("mark").alias("__mark")).distinct()
+    known = docs.join(stay.where("__stay IS NOT NULL"), docs["doc_id"].cast("long") == stay["__stay"], "left_semi")
+    unknown = docs.where(F.col("doc_id").isNull()).join(stay.where("__stay IS NULL"), _mark() == stay["__mark"], "left_semi")
+    return known.unionByName(unknown)
 
 
 ORACLE = r"""

@@ -145,11 +145,29 @@ def test_jaccard_equals_brute_force(make, words, monkeypatch, limit):
         assert (got[d].class_id, got[d].n_links, got[d].kept) == (root, links, root == d), d
 
 
-def test_jaccard_of_repeats_null_ids_and_nothing(make):
+def test_jaccard_of_repeated_rows_and_null_ids_equals_brute_force(make, words):
+    rng = random.Random(14)
+    rows = near_copies(words, 60, 9)
+    rows += [rng.choice(rows) for _ in range(40)]  # repeated rows, also of near copies
+    rows += [(None, rows[i][1]) for i in (0, 3, 3)] + [(None, words(60, 77)), (None, words(60, 77) + " end"), (None, None), (7, rows[1][1])]  # 7 twice, with different texts
+    sets = [shingles(t) for _, t in rows]
+    n, root = [0] * len(rows), list(range(len(rows)))
+    for i, j in combinations(range(len(rows)), 2):
+        if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            n[i], n[j] = n[i] + 1, n[j] + 1
+            root = [root[i] if x == root[j] else x for x in root]
+    least = {r: min((rows[i][0] for i, x in enumerate(root) if x == r and rows[i][0] is not None), default=None) for r in root}
+    want = [(d, least[root[i]], n[i], d == least[root[i]]) for i, (d, _) in enumerate(rows)]
+    got = jaccard_join.classes(make(rows)).select("doc_id", "class_id", "n_links", "kept").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_jaccard_of_repeats_and_nothing(make):
     assert jaccard_join.classes(make([])).count() == 0
-    got = jaccard_join.classes(make([(None, "one two three four five"), (1, "one two three four five"), (1, "one two three four five")])).collect()
-    assert sorted((r.doc_id or 0, r.class_id, r.n_links) for r in got) == [(0, None, 0), (1, 1, 1), (1, 1, 1)]
-    assert {r.doc_id for r in jaccard_join.one_of_each(make([(None, "a b"), (1, "a b"), (2, "a b")])).collect()} == {None, 1}
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    got = jaccard_join.classes(make([(1, text), (1, text), (2, text + " more")])).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == [(1, 1, 2), (1, 1, 2), (2, 1, 2)]
+    assert sorted((r.doc_id or 0, r.text) for r in jaccard_join.one_of_each(make([(None, "a b"), (1, "a b"), (2, "a b"), (None, "c")])).collect()) == [(0, "c"), (1, "a b")]
 
 
 def test_runs_meet_the_target():
