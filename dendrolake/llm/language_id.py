@@ -5,14 +5,17 @@ A text gets the language whose compressor makes it smallest. Texts are lower-cas
 letters; long ones are compressed whole, chunk after chunk, so that the dictionary counts in every part.
 
 The dictionaries are learned from a bounded sample: for each language the SAMPLE_ROWS training rows of
-smallest hash, SAMPLE_CHARS characters of each. That is all the driver ever holds.
+smallest hash, of each a stretch of SAMPLE_CHARS characters that begins anywhere in the text, by a hash. The
+driver holds no more than that for each language, and each text is compressed once for each language, so this
+is meant for labels of up to some hundred languages.
 
 Columns added: lang_pred, score (0 to 1: softmax of saved bytes), margin (relative lead in size over the
 runner-up) and rejected (`und`, or the margin is below MIN_MARGIN). Columns of these names are replaced.
 
 Defined results: null texts and texts without a letter are `und` with score 0; ties go to the language with
 more sampled rows, then by code point, and are rejected; a null lang is never learned; with nothing to
-learn from all texts are `und`; an empty table gives no rows; repeated rows are judged alike.
+learn from all texts are `und`; an empty table gives no rows; repeated rows are judged alike; a very long text
+is compressed whole by the task that has it.
 """
 
 from __future__ import annotations
@@ -39,10 +42,12 @@ def _letters(text: str) -> bytes:
 
 def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """rows: doc_id, text, lang. Returns each language's dictionary, languages with most samples first."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text")
+    by_hash = F.xxhash64(F.col("doc_id").cast("string"))
+    order = Window.partitionBy("lang").orderBy(by_hash, "doc_id", "text")
+    begin = 1 + F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("begin")), F.greatest(F.lit(1), F.length("text") - sample_chars + 1))
     sample = (
         rows.where("lang IS NOT NULL AND text IS NOT NULL")
-        .select("doc_id", "lang", F.substring("text", 1, sample_chars).alias("text"))
+        .select("doc_id", "lang", F.substring(F.col("text"), begin.cast("int"), F.lit(sample_chars)).alias("text"))
         .withColumn("nth", F.row_number().over(order))
         .where(F.col("nth") <= sample_rows)
     )
@@ -106,6 +111,16 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def identified_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is told with a clear margin, with their columns."""
-    model = learn(docs.where(~held_out()).select("doc_id", "text", "lang"))
-    judged = classify(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text")), model)
-    return judged.where("NOT rejected").select("row.*")
+    model, at = learn(docs.where(~held_out()).select("doc_id", "text", "lang")), docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        from ._shingles import slices
+
+        judge = _Judge(model, LEVEL, CHUNK_BYTES, MIN_MARGIN)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                yield batch.filter(pa.array([not judge(x)[3] for x in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
