@@ -14,12 +14,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
+    """The folder all executors share. Only a local session, as in tests, may do without: there one machine has all."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/dendrolake-scratch"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/dendrolake-scratch"
 
 
 class Scratch:
@@ -38,12 +39,28 @@ class Scratch:
         (writer.partitionBy(*partitions) if partitions else writer).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def _at(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def drop(self, *names: str) -> None:
         """Delete tables that later steps no longer read."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+        for path, store in map(self._at, names):
+            store.delete(path, True)
+
+    def make(self, name: str) -> None:
+        path, store = self._at(name)
+        store.mkdirs(path)
+
+    def move(self, name: str, to: str) -> bool:
+        """Rename a folder; False where there is none."""
+        (path, store), (target, _) = self._at(name), self._at(to)
+        return store.exists(path) and store.rename(path, target)
+
+
+def columns(df: DataFrame) -> list:
+    """All columns, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,18 +1,21 @@
 """Exact deduplication as a stateful stream.
 
-The documents, with white space normalised and a SHA-256 digest, are written to a content store, and the
-store is read as a stream. Each task combines its rows by digest before they are dealt by digest to keyed
-state held by RocksDB, without expiry: the digest's stable identifier (smallest doc_id), the content locator
-(store file) of that row, and how many rows it has stood for. State files go to the shared checkpoint.
-
-A digest is only a hint. Rows whose digest has more than one are held against the identifier's whole
-text; a row that differs (a collision of digests) is grouped by its full text instead. Joins on the digest
-are plain equi-joins, which AQE splits where one digest holds many rows.
+The documents, with white space normalised and a SHA-256 digest, are written to a content store, and arrive in
+WAVES parts (a hash share of the rows each), every part a micro-batch of one stream. A task combines its rows by
+digest before they are dealt by digest to keyed state held by RocksDB, without expiry: the digest, the identifier
+and content locator (wave and file of the store) of the row that came first, and how many rows it has stood for.
+State files go to the shared checkpoint.
+
+A digest is only a hint. In each micro-batch the rows whose digest the state has seen more than once are held, byte
+by byte, against the text that the state's locator and identifier name, whichever wave it came in; a row that
+differs (a collision of digests) is grouped by its full text instead. Joins on the digest are plain equi-joins,
+which AQE splits where one digest holds many rows. What is equal to the first row of its digest is a group; the
+smallest doc_id of the group stays.
 
 Defined results: null text counts as empty; texts are equal when identical after each run of ASCII white
 space is replaced by one space; of rows with equal text and doc_id, all have kept = true if theirs is the
-smallest; null doc_ids sort after all others and a group of nulls only has a null keep_id; an empty table
-gives no rows. Only doc_id and text are read.
+smallest; null doc_ids sort after all others and a group of nulls only has a null keep_id; very long texts are
+compared whole; an empty table gives no rows. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import SPACE, Scratch, text_or_empty
+from ._shared import SPACE, Scratch, columns, text_or_empty
 
 STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -30,71 +33,84 @@ STREAM_CONF = {
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
-FOUND = "digest binary, first_id long, locator string, seen long"
-
-
-def stream_digests(spark: SparkSession, store: DataFrame, path: str, scratch: Scratch, max_files: int | None = None) -> DataFrame:
-    """Run the stream over the content store; one row per digest: first_id, locator, seen."""
-    source = spark.readStream.schema(store.schema)
-    rows = (
-        (source.option("maxFilesPerTrigger", max_files) if max_files else source).parquet(path)
-        .select("digest", F.col("doc_id").alias("first_id"), F.substring_index("_metadata.file_path", "/", -1).alias("locator"))
-    )
-    order = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "locator")
-    states = rows.groupBy("digest").agg(F.min(order).alias("at"), F.count("*").alias("seen")).select("digest", "at.first_id", "at.locator", "seen")
-
-    def write(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{scratch.path('seen')}/batch={batch}")
+WAVES = 3
+STORE = "doc_id long, text string, digest binary, sha binary, wave int"
+JUDGED = "doc_id long, digest binary, sha binary, same boolean, other string"
+
+
+def file_name() -> Column:
+    return F.substring_index("_metadata.file_path", "/", -1)
+
+
+def check_hits(store: DataFrame, wave: int, seen: DataFrame, scratch: Scratch) -> DataFrame:
+    """store: rows that have arrived, with their file; seen: digest, first (wave, doc_id, file), seen, of the digests
+    in this wave. Returns JUDGED for the rows of this wave: whether each has the bytes of its digest's first row."""
+    arrived = store.where(F.col("wave") == wave)
+    hits = scratch.cut(seen.where("seen > 1").select("digest", "first"), f"hits{wave}")
+    mine = scratch.cut(arrived.join(hits, "digest"), f"mine{wave}")
+    named = "wave = first.wave AND file = first.file AND doc_id <=> first.doc_id"
+    older = store.where(F.col("wave") < wave).join(hits.where(F.col("first.wave") < wave), "digest")
+    # written first, so that both sides of the join are plain exchanges that AQE can split
+    texts = scratch.cut(mine.where(named).unionByName(older.where(named)).groupBy("digest").agg(F.min("text").alias("first_text")), f"texts{wave}")
+    differs = F.col("text") != F.col("first_text")
+    checked = mine.join(texts, "digest").select("doc_id", "digest", "sha", (~differs).alias("same"), F.when(differs, F.col("text")).alias("other"))
+    single = arrived.select("doc_id", "digest", "sha").join(hits.select("digest"), "digest", "left_anti")
+    return checked.unionByName(single.select("doc_id", "digest", "sha", F.lit(True).alias("same"), F.lit(None).cast("string").alias("other")))
+
+
+def judge_stream(spark: SparkSession, scratch: Scratch, waves: int) -> DataFrame:
+    """Let the waves of the staged store arrive one after the other; one row of JUDGED for each row."""
+    path = scratch.path("store")
+    scratch.make("store")
+    spark.createDataFrame([], JUDGED).write.parquet(f"{scratch.path('judged')}/batch=-1")
+    rows = spark.readStream.schema(STORE).parquet(path).select("digest", F.struct("wave", F.col("doc_id").isNull().alias("none"), "doc_id", file_name().alias("file")).alias("at"))
+    states = rows.groupBy("digest").agg(F.min("at").alias("first"), F.count("*").alias("seen"))
+
+    def check(wave: int):
+        def run(changed: DataFrame, batch: int) -> None:
+            seen = scratch.cut(changed.select("digest", "first", "seen"), f"seen{wave}")
+            store = spark.read.schema(STORE).parquet(path).withColumn("file", file_name())
+            check_hits(store, wave, seen, scratch).write.mode("overwrite").parquet(f"{scratch.path('judged')}/batch={batch}")
+            scratch.drop(*(f"{x}{wave}" for x in ("seen", "hits", "mine", "texts")))
+
+        return run
 
     held = {k: spark.conf.get(k, None) for k in STREAM_CONF}
     for k, v in STREAM_CONF.items():
         spark.conf.set(k, v)
     try:
-        stream = states.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", scratch.path("stream"))
-        stream.foreachBatch(write).start().awaitTermination()
+        for wave in range(waves):
+            if scratch.move(f"staged/wave={wave}", f"store/wave={wave}"):
+                stream = states.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", scratch.path("stream"))
+                stream.foreachBatch(check(wave)).start().awaitTermination()
     finally:
         for k, v in held.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    # a digest that came in several micro-batches has a row for each; the last has seen the most
-    seen = spark.read.schema(FOUND).parquet(scratch.path("seen"))
-    return seen.groupBy("digest").agg(F.max_by(F.struct("first_id", "locator"), "seen").alias("at"), F.max("seen").alias("seen")).select("digest", "at.*", "seen")
+    scratch.drop("stream", "store", "staged")
+    return spark.read.schema(JUDGED).parquet(scratch.path("judged"))
 
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, max_files: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, waves: int = WAVES) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. digest: of the normalised text;
-    any will do, as equal digests are only a hint. max_files: of the store in a micro-batch."""
+    any will do, as equal digests are only a hint. waves: micro-batches in which the rows arrive."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "dedup")
     text = F.regexp_replace(text_or_empty(), SPACE, " ")
     normal = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    store = scratch.cut(normal.select("doc_id", "text", digest(F.col("text")).alias("digest"), sha256(F.col("text")).alias("sha")), "store")
-    known = scratch.cut(stream_digests(spark, store, scratch.path("store"), scratch, max_files), "known")
-    scratch.drop("stream", "seen")
-
-    rows = store.select("doc_id", "digest", "sha").join(known, "digest")
-    single = rows.where("seen = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
-    # hits: full bytes against the text of the row that the locator names
-    several = known.where("seen > 1")
-    hits = scratch.cut(store.join(several.select("digest", "first_id", "seen"), "digest"), "hits")
-    # sums are written first, so that both sides of the joins are plain exchanges that AQE can split
-    first = scratch.cut(hits.where("doc_id <=> first_id").groupBy("digest").agg(F.min("text").alias("first_text")), "first")
-    checked = scratch.cut(
-        hits.join(first, "digest").select("doc_id", "digest", "sha", "first_id", (F.col("text") == F.col("first_text")).alias("same"), F.when(F.col("text") != F.col("first_text"), F.col("text")).alias("other")),
-        "checked",
-    )
-    # equal texts under one digest: the identifier of those that equal its text is their smallest doc_id
-    same = checked.where("same")
-    sizes = scratch.cut(same.groupBy("digest").agg(F.count("*").alias("group_size")), "sizes")
-    several_rows = same.join(sizes, "digest").select("doc_id", F.col("first_id").alias("keep_id"), "group_size", "sha")
-    collided = checked.where("not same")
-    groups = collided.groupBy("digest", "other").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    collided_rows = collided.join(groups, ["digest", "other"]).select("doc_id", "keep_id", "group_size", "sha")
+    wave = F.pmod(F.xxhash64("doc_id"), F.lit(waves)).cast("int")
+    scratch.cut(normal.select("doc_id", "text", digest(F.col("text")).alias("digest"), sha256(F.col("text")).alias("sha"), wave.alias("wave")), "staged", ("wave",))
+    judged = judge_stream(spark, scratch, waves)
+    same = judged.where("same").select("doc_id", "digest", "sha")
+    groups = scratch.cut(same.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    collided = judged.where("not same")
+    others = collided.groupBy("digest", "other").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     return (
-        single.unionByName(several_rows).unionByName(collided_rows)
+        same.join(groups, "digest").select("doc_id", "keep_id", "group_size", "sha")
+        .unionByName(collided.join(others, ["digest", "other"]).select("doc_id", "keep_id", "group_size", "sha"))
         .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     )
 
@@ -109,7 +125,7 @@ def unique_documents(docs: DataFrame) -> DataFrame:
         return out
     # a doc_id with several rows: keep those whose own text stays, once each
     digest = F.sha2(F.regexp_replace(text_or_empty(), SPACE, " "), 256)
-    mine = out.select(F.struct(*(out[c] for c in out.columns)).alias("row"), F.col("doc_id").cast("long").alias("__id"), digest.alias("__digest"))
+    mine = out.select(F.struct(*columns(out)).alias("row"), F.col("doc_id").cast("long").alias("__id"), digest.alias("__digest"))
     once = mine.dropDuplicates(["__id", "__digest"])
     stay = kept.distinct()
     return once.join(stay, once["__id"].eqNullSafe(stay["__id"]) & (once["__digest"] == stay["__digest"]), "left_semi").select("row.*")

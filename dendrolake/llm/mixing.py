@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, word_count
+from ._shared import Scratch, columns, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -120,7 +120,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mixture itself: each row of docs, with all its columns, as often as the mix takes it."""
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.cut(sized_rows(docs), "rows")
-    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "source", row_hash().alias("__hash"))
+    whole = docs.select(F.struct(*columns(docs)).alias("row"), "source", row_hash().alias("__hash"))
     return (
         _keyed(whole).join(plan(rows, scratch), KEY)
         .withColumn("__copies", copies())

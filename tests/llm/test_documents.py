@@ -191,6 +191,35 @@ def test_languages_of_held_out_texts(make):
     assert out.columns == df.columns and out.where("doc_id IN (900, 901, 902)").count() == 0 and out.count() >= 150
 
 
+def test_languages_equal_plain_compression(make, words):
+    import re
+
+    import zstandard
+
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choices("abcde" if i % 2 else "defgh", k=4)) for _ in range(rng.randint(1, 400))), "xy"[i % 2]) for i in range(60)]
+    rows += [(100, rows[0][1] * 300, None), (101, rows[1][1].upper() * 300, None), (102, "é ñ 7", None)]  # very long texts
+    df = make(rows)
+    model = language_id.learn(df)
+    assert all(len(v) <= language_id.SAMPLE_ROWS * (language_id.SAMPLE_CHARS + 1) for v in model.values())
+    got = {r.doc_id: r for r in language_id.classify(df, model).collect()}
+    for d, text, _ in rows:
+        letters = re.sub("[^a-zà-ÿ]+", " ", text.lower()).strip().encode()
+        sizes = {}
+        for name, content in model.items():
+            packer = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
+            sizes[name] = sum(len(packer.compress(letters[i: i + language_id.CHUNK_BYTES])) for i in range(0, len(letters), language_id.CHUNK_BYTES))
+        least = min(sizes.values())
+        assert sizes[got[d].lang_pred] == least, (d, sizes)
+        assert got[d].margin == pytest.approx((max(sizes.values()) - least) / max(sizes.values())) and got[d].rejected == (got[d].margin < language_id.MIN_MARGIN)
+
+
+def test_samples_come_from_anywhere_in_a_text(make):
+    text = "".join(chr(97 + i // 1000) * 1000 for i in range(20000))
+    learned = language_id.learn(make([(i, text, "en") for i in range(40)]))["en"]
+    assert len(set(learned.decode()) - {" "}) > 10
+
+
 def test_language_of_nothing(make):
     assert language_id.identify(make([])).count() == 0
     assert {r.lang_pred for r in language_id.identify(make([(1, "abc", None)])).collect()} == {"und"}
@@ -217,7 +246,7 @@ def test_exact_dedup_equals_brute_force(make, words, how):
     rng = random.Random(4)
     rows = [(i, words(5, rng.randrange(25)).replace(" ", rng.choice([" ", "\n", " \t"]))) for i in range(120)]
     rows += [(200, None), (201, ""), (202, " "), (203, "\n"), (None, "lonely"), (None, words(5, 1)), (5, rows[5][1]), (300, "a b"), (301, "a b"), (302, words(30000, 1)), (303, words(30000, 1))]
-    kinds = {"plain": {}, "weak digest": {"digest": lambda t: F.unhex(F.substring(F.md5(t), 1, 1))}, "many batches": {"max_files": 1}}
+    kinds = {"plain": {}, "weak digest": {"digest": lambda t: F.unhex(F.substring(F.md5(t), 1, 1))}, "many batches": {"waves": 7, "digest": lambda t: F.unhex(F.substring(F.md5(t), 1, 2))}}
     got = exact_dedup.dedup(make(rows, parts=5), **kinds[how]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
     assert sorted(map(tuple, got), key=repr) == brute_copies(rows)
 
