@@ -7,8 +7,8 @@ and content locator (wave and file of the store) of the row that came first, and
 State files go to the shared checkpoint.
 
 A digest is only a hint. In each micro-batch the rows whose digest the state has seen more than once are held, byte
-by byte, against the text that the state's locator and identifier name, whichever wave it came in; a row that
-differs (a collision of digests) is grouped by its full text instead. Joins on the digest are plain equi-joins,
+by byte, against the text that the state's locator and identifier name, whichever wave it came in (which reads
+the waves before once more for each wave, so a few large ones are best); a row that differs (a collision of digests) is grouped by its full text instead. Joins on the digest are plain equi-joins,
 which AQE splits where one digest holds many rows. What is equal to the first row of its digest is a group; the
 smallest doc_id of the group stays.
 
@@ -33,7 +33,7 @@ STREAM_CONF = {
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
-WAVES = 3
+WAVES = 2
 STORE = "doc_id long, text string, digest binary, sha binary, wave int"
 JUDGED = "doc_id long, digest binary, sha binary, same boolean, other string"
 
@@ -47,9 +47,9 @@ def check_hits(store: DataFrame, wave: int, seen: DataFrame, scratch: Scratch) -
     in this wave. Returns JUDGED for the rows of this wave: whether each has the bytes of its digest's first row."""
     arrived = store.where(F.col("wave") == wave)
     hits = scratch.cut(seen.where("seen > 1").select("digest", "first"), f"hits{wave}")
-    mine = scratch.cut(arrived.join(hits, "digest"), f"mine{wave}")
+    mine = scratch.cut(arrived.join(hits.hint("merge"), "digest"), f"mine{wave}")
     named = "wave = first.wave AND file = first.file AND doc_id <=> first.doc_id"
-    older = store.where(F.col("wave") < wave).join(hits.where(F.col("first.wave") < wave), "digest")
+    older = store.where(F.col("wave") < wave).join(hits.where(F.col("first.wave") < wave).hint("merge"), "digest")
     # written first, so that both sides of the join are plain exchanges that AQE can split
     texts = scratch.cut(mine.where(named).unionByName(older.where(named)).groupBy("digest").agg(F.min("text").alias("first_text")), f"texts{wave}")
     differs = F.col("text") != F.col("first_text")
