@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,10 @@ from ._shared import table
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("dendrolake.surrogates.key", "dendrolake")
-    return surrogates.pseudonymise(table(spark, sf_dir, "documents"), key.encode())
+    """The secret key is a setting of the session; where there is none, a new one is drawn, and only this run's
+    surrogates agree with each other."""
+    key = spark.conf.get("dendrolake.surrogates.key", None)
+    return surrogates.pseudonymise(table(spark, sf_dir, "documents"), key.encode() if key else secrets.token_bytes(32))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

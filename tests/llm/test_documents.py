@@ -35,16 +35,61 @@ def test_surrogates_keep_format_coreference_and_distinctness(make):
     digits = card.replace(" ", "")
     assert card[4] == " " and digits[0] == "4" and surrogates.luhn_digit(digits[:-1]) == digits[-1]
     assert all(0 < int(v) < 256 for v in ip.split("."))
-    given = [e.surrogate for e in by[6].entities if e.kind == "given_m"]
-    assert len(given) == len(set(given)) == 60  # more names than the list has
-    last = [e.surrogate for e in by[6].entities if e.kind == "surname"]
-    assert len(set(last)) == 60
+    names = [e.surrogate for e in by[6].entities]
+    assert len(names) == len(set(names)) == 120 and not any("-" in x for x in names)  # more given names than the list has
     names = [e.surrogate for e in by[7].entities]
     assert names[0] in surrogates.GIVEN["cyrillic", "f"] and names[2].isupper() and names[2].title() in surrogates.GIVEN["latin", "f"]
     originals = {t for _, t in [(r[0], r[1]) for r in rows] if t}
     assert not any(e.surrogate in originals for r in got for e in r.entities)
 
 
+def test_one_person_is_one_entity_under_any_form(make):
+    text = "Mr. Adam Smith met Prof. Dr. Anna Weber. Later Smith said Adam left; Dr. Adam Smith's friend WEBER, Frau Dr. Anna Weber, stayed. Mr. John F. Kennedy and Frau von der Leyen came."
+    row = surrogates.pseudonymise(make([(1, text), (2, "Mrs. Adam Jones"), (3, "Mr. Adam Jones")]), KEY).where("doc_id = 1").first()
+    new = {}
+    for e in row.entities:
+        new.setdefault(text[e.start: e.start + e.length].lower(), set()).add(e.surrogate.lower())
+    assert set(new) == {"adam", "smith", "anna", "weber", "john", "f", "kennedy", "leyen"}
+    assert all(len(x) == 1 for x in new.values()) and len(set.union(*new.values())) == len(new)
+    assert not any(w in row.text.lower() for w in ("smith", "adam", "anna", "weber", "kennedy", "leyen")) and " F. " not in row.text
+    assert "Prof. Dr. " in row.text and "Frau von der " in row.text and "'s friend" in row.text
+    assert new["anna"].pop().title() in surrogates.GIVEN["latin", "f"] and new["adam"].pop().title() in surrogates.GIVEN["latin", "m"]
+
+
+def test_surrogates_are_distinct_whatever_the_form_of_address(make):
+    import re
+
+    rng, names = random.Random(2), set()
+    while len(names) < 180:
+        names.add("".join(rng.choices("bcdfgklmnprst", k=1) + rng.choices("aeiou", k=1) + rng.choices("bcdfgklmnprst", k=2)).title() + rng.choice("aeo"))
+    names = sorted(names)
+    rows = [(i, f"{form} {x} {y} spoke. {y} agreed with {x}.") for i, (x, y, form) in enumerate(zip(names[:90], names[90:], ["Mr.", "Mrs.", "Dr."] * 30))]
+    got = surrogates.pseudonymise(make(rows), KEY).collect()
+    maps = {}
+    for r in got:
+        old, new = (re.findall(r"[A-Z]\w+", t)[1:] for t in (rows[r.doc_id][1], r.text))
+        assert len(old) == len(new) == 4
+        for x, y in zip(old, new):
+            assert maps.setdefault(x, y) == y
+    assert len(set(maps.values())) == 180 and not set(maps.values()) & set(names)
+
+
+def test_surrogates_need_a_key_and_enough_values(make, spark):
+    with pytest.raises(ValueError):
+        surrogates.pseudonymise(make([]), b"")
+    full = spark.createDataFrame([("initial", c, "") for c in "abcdefghijklmnopqrstuvwxyz"], "kind string, value string, form string")
+    with pytest.raises(RuntimeError):
+        surrogates.settle(full, KEY, surrogates.Scratch(spark, "test"), attempts=2)
+
+
+def test_surrogates_keep_the_script_of_any_letter_and_long_texts(make):
+    mail = "дом.ñé٣@пример.рф"
+    text = "x " * 200_000 + mail + " שלום \"token\": \"שלוםשלום\" "
+    row = surrogates.pseudonymise(make([(1, text)]), KEY).first()
+    new = row.entities[0].surrogate
+    assert [surrogates.script_of(c) for c in new] == [surrogates.script_of(c) for c in mail] and new != mail and new[6].isdecimal() and len(row.text) == len(text)
+
+
 def test_surrogates_differ_by_key_and_agree_between_runs(make):
     df = make([(1, "a.b@c.org 1.2.3.4")])
     one, two, other = (surrogates.pseudonymise(df, k).first().text for k in (KEY, KEY, b"else"))
