@@ -54,7 +54,7 @@ def transition_probs(d: Dialect) -> str:
     """Transition probabilities over each branch: one plus the sum of the eigen terms, never below zero."""
     terms, values = eigen_terms(hky((0.1, 0.2, 0.3, 0.4), 2.0))
     rows = ", ".join(f"({i}, {j}, {', '.join(repr(float(x)) + 'E0' if 'e' not in repr(float(x)) else repr(float(x)) for x in terms[i][j])}, 1)" for i in range(4) for j in range(4))
-    grow = " + ".join(f"q.v{k} * (exp({float(v)!r} * x.len) - 1)" for k, v in enumerate(values))
+    grow = " + ".join(f"q.v{k} * {d.expm1(f'{float(v)!r} * x.len')}" for k, v in enumerate(values))
     return f"""WITH x AS (SELECT n.tree_id, n.node, p.height - n.height AS len FROM {{node}} n JOIN {{node}} p ON p.tree_id = n.tree_id AND p.node = n.parent)
       SELECT x.tree_id, x.node, CAST(q.i AS BIGINT) AS from_state, CAST(q.j AS BIGINT) AS to_state, round(greatest(0.0E0, CASE WHEN q.i = q.j THEN 1.0E0 ELSE 0.0E0 END + {grow}), 6) AS p
       FROM x JOIN (VALUES {rows}) AS q(i, j, {", ".join(f"v{k}" for k in range(len(values)))}, one) ON q.one = 1"""

@@ -48,7 +48,7 @@ def violations(d: Dialect) -> str:
     the new state of the event before, or of the ancestors, or the reference."""
     return """WITH x AS (SELECT m.tree_id, m.node, m.site, m.time, m.old_state, m.new_state, n.height AS lo, p.height AS hi,
         lag(m.new_state) OVER (PARTITION BY m.tree_id, m.node, m.site ORDER BY m.time DESC, m.new_state) AS before
-        FROM {mut} m JOIN {node} n ON n.tree_id = m.tree_id AND n.node = m.node JOIN {node} p ON p.tree_id = n.tree_id AND p.node = n.parent),
+        FROM {mut} m LEFT JOIN {node} n ON n.tree_id = m.tree_id AND n.node = m.node LEFT JOIN {node} p ON p.tree_id = n.tree_id AND p.node = n.parent),
       ends AS (SELECT tree_id, node, site, min_by(new_state, time) AS state FROM {mut} GROUP BY tree_id, node, site),
       above AS (SELECT c.tree_id, c.node, e.site, min_by(e.state, c.steps) AS state FROM {closure} c JOIN ends e ON e.tree_id = c.tree_id AND e.node = c.ancestor WHERE c.steps > 0 GROUP BY c.tree_id, c.node, e.site),
       y AS (SELECT x.*, coalesce(x.before, a.state, r.state) AS expected FROM x LEFT JOIN above a ON a.tree_id = x.tree_id AND a.node = x.node AND a.site = x.site
@@ -118,9 +118,13 @@ def branch_regions(d: Dialect) -> str:
 
 
 @plan("regions")
-def region_weights(d: Dialect) -> str:
-    """Log weights of attachment regions: length times an annealed density of the differences; normalised."""
-    return """WITH w AS (SELECT tree_id, node, upper, lower, ln(upper - lower) + 0.5E0 * (-2.0E0 * (upper + lower) / 2 + differences * ln(2.0E0 * ((upper + lower) / 2 + 1) / 192)) AS lw FROM {regions}),
+def region_weights(d: Dialect, height: float = 0.0, total_rate: float = 2.0, sites: int = 64, annealing: float = 0.5) -> str:
+    """Log weights of the regions in which a subtree at `height` may be attached: the length above it, times the annealed
+    density of the number of differences over the distance of the region's middle from the subtree; normalised.
+    total_rate: of the subtree's sequence; a region that ends below the height begins there."""
+    return f"""WITH r AS (SELECT tree_id, node, upper, greatest(lower, {height!r}) AS lower, differences FROM {{regions}} WHERE upper > {height!r}),
+      x AS (SELECT tree_id, node, upper, lower, differences, (upper + lower) / 2 - {height!r} AS distance FROM r),
+      w AS (SELECT tree_id, ln(upper - lower) + {annealing!r} * (-{total_rate!r} * distance + differences * ln({total_rate!r} * distance / {3.0 * sites!r})) AS lw FROM x),
       m AS (SELECT tree_id, max(lw) AS top FROM w GROUP BY tree_id)
       SELECT w.tree_id, round(m.top, 6) AS top, round(m.top + ln(sum(exp(w.lw - m.top))), 6) AS log_total, count(*) AS regions FROM w JOIN m ON w.tree_id = m.tree_id GROUP BY w.tree_id, m.top"""
 
@@ -132,6 +136,16 @@ def region_stab(d: Dialect) -> str:
       SELECT h.tree_id, h.node, h.h, r.lower, r.upper, r.differences FROM h JOIN {regions} r ON r.tree_id = h.tree_id AND r.node = h.node AND r.lower < h.h AND h.h <= r.upper"""
 
 
+@plan("mut", "reference", "node", "root_state")
+def set_root_states(d: Dialect) -> str:
+    """The events above the root after some of its states (tree_id, site, state) were set: where the state isn't the
+    reference's, one event at the root's height; all other root states stay."""
+    return """WITH root AS (SELECT tree_id, node, height FROM {node} WHERE parent IS NULL),
+      had AS (SELECT m.tree_id, m.site, min_by(m.new_state, m.time) AS state FROM {mut} m JOIN root r ON r.tree_id = m.tree_id AND r.node = m.node GROUP BY m.tree_id, m.site),
+      now AS (SELECT coalesce(s.tree_id, h.tree_id) AS tree_id, coalesce(s.site, h.site) AS site, coalesce(s.state, h.state) AS state FROM {root_state} s FULL OUTER JOIN had h ON h.tree_id = s.tree_id AND h.site = s.site)
+      SELECT n.tree_id, r.node, r.height AS time, n.site, f.state AS old_state, n.state AS new_state FROM now n JOIN root r ON r.tree_id = n.tree_id JOIN {reference} f ON f.site = n.site WHERE n.state <> f.state"""
+
+
 @plan("mut")
 def site_replace(d: Dialect) -> str:
     """Histories in which the events at one site of each branch, its smallest, are replaced by a single one."""

@@ -41,11 +41,81 @@ def fitch_rows(d: Dialect) -> str:
     return "SELECT tree_id, node, site, CAST(mask AS INT) AS mask, score FROM {fitch}"
 
 
-@plan("fitch", "mut")
+@plan("fitch", "mut", "node", "closure", "unconstrained")
 def excess_mutations(d: Dialect) -> str:
-    """Events of the history beyond the parsimony score of their site, where positive."""
-    return """WITH m AS (SELECT tree_id, site, count(*) AS n FROM {mut} GROUP BY tree_id, site)
-      SELECT f.tree_id, f.site, f.score, m.n - f.score AS excess FROM {fitch} f JOIN m ON m.tree_id = f.tree_id AND m.site = f.site WHERE f.node = 1 AND m.n > f.score"""
+    """Events beyond what parsimony needs, by site; events above the root don't count. `missing`: all events on branches
+    below which no tip constrains the site. `conflict`: of the others, as many as exceed the site's score, if any do. Each with the
+    branches of the counted events, as node(tips below, height), and the frequency of every change of state."""
+    letter = "substring('ACGT', CAST({0} AS INT) + 1, 1)"
+    text = d.text
+    return f"""WITH tips AS (SELECT c.tree_id, c.ancestor AS node, count(*) AS n FROM {{closure}} c JOIN {{node}} t ON t.tree_id = c.tree_id AND t.node = c.node AND t.is_leaf GROUP BY c.tree_id, c.ancestor),
+      e AS (SELECT m.tree_id, m.site, m.node, m.time, m.old_state, m.new_state, CASE WHEN u.node IS NULL THEN 'conflict' ELSE 'missing' END AS kind,
+        concat(CAST(m.node AS {text}), '(', CAST(t.n AS {text}), ',', CAST(n.height AS {text}), ')') AS branch
+        FROM {{mut}} m JOIN {{node}} n ON n.tree_id = m.tree_id AND n.node = m.node AND n.parent IS NOT NULL JOIN tips t ON t.tree_id = m.tree_id AND t.node = m.node
+        LEFT JOIN {{unconstrained}} u ON u.tree_id = m.tree_id AND u.node = m.node AND u.site = m.site),
+      s AS (SELECT f.tree_id, f.site, f.score FROM {{fitch}} f JOIN {{node}} n ON n.tree_id = f.tree_id AND n.node = f.node AND n.parent IS NULL),
+      x AS (SELECT e.tree_id, e.site, e.kind, count(*) - CASE WHEN e.kind = 'conflict' THEN min(s.score) ELSE 0 END AS excess, {d.listagg("e.branch", ",", "e.node, e.time DESC")} AS branches
+        FROM e JOIN s ON s.tree_id = e.tree_id AND s.site = e.site GROUP BY e.tree_id, e.site, e.kind),
+      c AS (SELECT tree_id, site, kind, old_state, new_state, count(*) AS n FROM e GROUP BY tree_id, site, kind, old_state, new_state),
+      z AS (SELECT tree_id, site, kind, {d.listagg(f"concat({letter.format('old_state')}, '>', {letter.format('new_state')}, ':', CAST(n AS {text}))", ",", "old_state, new_state")} AS changes FROM c GROUP BY tree_id, site, kind)
+      SELECT x.tree_id, x.site, x.kind, CAST(x.excess AS BIGINT) AS excess, x.branches, z.changes FROM x JOIN z ON z.tree_id = x.tree_id AND z.site = x.site AND z.kind = x.kind WHERE x.excess > 0"""
+
+
+@plan("scores")
+def fitch_site_filter(d: Dialect, least: int = 2) -> str:
+    """Sites by whether their parsimony score reaches the least score; the two parts are complementary."""
+    return f"SELECT tree_id, site, score, score >= {least} AS high FROM {{scores}}"
+
+
+def select_sites(scores: DataFrame, least: int, high: bool = True) -> DataFrame:
+    """The sites of one part of fitch_site_filter. Raises where a tree would be left without any."""
+    marked = fitch_site_filter.given(least=least)(scores=scores)
+    empty = marked.groupBy("tree_id").agg(F.max(F.col("high") == high).alias("some")).where("NOT some").limit(1).collect()
+    if empty:
+        raise ValueError(f"no site of tree {empty[0].tree_id} has a score {'of' if high else 'below'} {least}" + (" or more" if high else ""))
+    return marked.where(F.col("high") == high).select("tree_id", "site", "score")
+
+
+def fitch_states(node: DataFrame, sets: DataFrame, reference: DataFrame) -> DataFrame:
+    """One most parsimonious state for each node and site, from the root down: the parent's state (the reference's above
+    the root) where the node's set has it, else the smallest of the set. Also the parent's state."""
+    place = node.select("tree_id", "node", "parent", "depth")
+    depth = node.agg(F.max("depth")).first()[0] or 0
+    rows = sets.join(place, ["tree_id", "node"]).select("tree_id", "node", "parent", "depth", "site", "mask")
+    smallest = F.length(F.bin(F.col("mask").bitwiseAND(-F.col("mask")))) - 1
+
+    def choose(given: DataFrame) -> DataFrame:
+        fits = F.expr("mask & shiftleft(1, CAST(above AS INT))") != 0
+        return given.select("tree_id", "node", "site", F.when(fits, F.col("above")).otherwise(smallest).cast("long").alias("state"), F.col("above").cast("long").alias("parent_state"))
+
+    level = choose(rows.where("parent IS NULL").join(reference.select("site", F.col("state").alias("above")), "site"))
+    out = level
+    for d in range(1, depth + 1):
+        upper = level.select("tree_id", F.col("node").alias("parent"), "site", F.col("state").alias("above"))
+        level = choose(rows.where(F.col("depth") == d).join(upper, ["tree_id", "parent", "site"]))
+        out = out.unionByName(level)
+    return out
+
+
+def fitch_states_text() -> str:
+    """The same for a second engine, which follows the tree by recursion; over the views node, fitch, reference."""
+    state = "CASE WHEN (f.mask & (1 << CAST({0} AS INTEGER))) <> 0 THEN {0} ELSE length(bin(f.mask & -f.mask)) - 1 END"
+    return f"""WITH RECURSIVE s AS (
+        SELECT n.tree_id, n.node, f.site, CAST({state.format('r.state')} AS BIGINT) AS state, CAST(r.state AS BIGINT) AS parent_state FROM node n JOIN fitch f ON f.tree_id = n.tree_id AND f.node = n.node JOIN reference r ON r.site = f.site WHERE n.parent IS NULL
+        UNION ALL SELECT n.tree_id, n.node, f.site, CAST({state.format('s.state')} AS BIGINT), s.state FROM s JOIN node n ON n.tree_id = s.tree_id AND n.parent = s.node JOIN fitch f ON f.tree_id = n.tree_id AND f.node = n.node AND f.site = s.site)
+      SELECT * FROM s"""
+
+
+def parsimony_events(node: DataFrame, states: DataFrame, seed: int = 0) -> DataFrame:
+    """One event for each node and site whose state isn't its parent's, at a height drawn on the branch by a hash of the
+    place; above the root at the root's height."""
+    from ..functions.numeric import hash_uniform
+
+    ends = node.alias("n").join(node.alias("p"), F.expr("n.tree_id = p.tree_id AND n.parent = p.node"), "left").selectExpr("n.tree_id", "n.node", "n.height AS lo", "coalesce(p.height, n.height) AS hi")
+    u = hash_uniform(F.lit(seed), F.col("tree_id"), F.col("node"), F.col("site"))
+    return states.where("state <> parent_state").join(ends, ["tree_id", "node"]).select(
+        "tree_id", "node", (F.col("lo") + u * (F.col("hi") - F.col("lo"))).alias("time"), "site", F.col("parent_state").alias("old_state"), F.col("state").alias("new_state")
+    )
 
 
 LEVELS = 24

@@ -136,7 +136,8 @@ def without_missing_columns(d: Dialect) -> str:
       FROM {{aln}} a JOIN kept k ON a.dataset = k.dataset AND a.site = k.site GROUP BY a.dataset, a.taxon"""
 
 
-@plan("masked", "node_score")
-def fitch_site_filter(d: Dialect) -> str:
-    """Sites by whether their parsimony score reaches the mean score; the two parts are complementary."""
-    return "SELECT site, score, score >= (SELECT avg(score) FROM {node_score}) AS high FROM {node_score}"
+@plan("aln")
+def without_gap_columns(d: Dialect) -> str:
+    """Each taxon's sequence without the columns in which all taxa have a gap."""
+    return f"""WITH kept AS (SELECT dataset, site FROM {{aln}} GROUP BY dataset, site HAVING max(CASE WHEN ch = '-' THEN 0 ELSE 1 END) = 1)
+      SELECT a.dataset, a.taxon, {d.listagg("a.ch", "", "a.site")} AS sequence FROM {{aln}} a JOIN kept k ON a.dataset = k.dataset AND a.site = k.site GROUP BY a.dataset, a.taxon"""

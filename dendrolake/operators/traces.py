@@ -12,21 +12,21 @@ MAX_LAG = 2000
 
 @plan("trace")
 def cleaned_trace(d: Dialect) -> str:
-    """Rows whose sample is below the next row's, in file order; the last row stays. One pass."""
-    return f"""SELECT {CHAIN}, sample, value FROM (SELECT {CHAIN}, sample, value, lead(sample) OVER (PARTITION BY {CHAIN} ORDER BY sample) AS nxt FROM {{trace}}) x WHERE nxt IS NULL OR sample < nxt"""
+    """Rows whose sample is below the next line's, in file order; the last row stays. One pass."""
+    return f"""SELECT {CHAIN}, line_no, sample, value FROM (SELECT {CHAIN}, line_no, sample, value, lead(sample) OVER (PARTITION BY {CHAIN} ORDER BY line_no) AS nxt FROM {{trace}}) x WHERE nxt IS NULL OR sample < nxt"""
 
 
 @plan("trace")
-def burnin_rows(d: Dialect) -> str:
-    """The rows after the first tenth of each chain."""
+def burnin_rows(d: Dialect, fraction: float = 0.1) -> str:
+    """The rows after the first part of each chain."""
     return f"""SELECT {CHAIN}, sample, value FROM (SELECT {CHAIN}, sample, value, row_number() OVER (PARTITION BY {CHAIN} ORDER BY sample) - 1 AS i, count(*) OVER (PARTITION BY {CHAIN}) AS n FROM {{trace}}) x
-      WHERE i >= floor(0.1E0 * n)"""
+      WHERE i >= floor(CAST({fraction!r} AS DOUBLE) * n)"""
 
 
 @plan("trace")
-def burnin_value(d: Dialect) -> str:
-    """The rows of each chain whose sample is at least a fifth of the last one."""
-    return f"""SELECT {CHAIN}, sample, value FROM (SELECT {CHAIN}, sample, value, max(sample) OVER (PARTITION BY {CHAIN}) AS last FROM {{trace}}) x WHERE sample >= 0.2E0 * last"""
+def burnin_value(d: Dialect, fraction: float = 0.2) -> str:
+    """The rows of each chain whose sample is at least a fraction of the last one."""
+    return f"""SELECT {CHAIN}, sample, value FROM (SELECT {CHAIN}, sample, value, max(sample) OVER (PARTITION BY {CHAIN}) AS last FROM {{trace}}) x WHERE sample >= CAST({fraction!r} AS DOUBLE) * last"""
 
 
 @plan("trace")
@@ -122,18 +122,26 @@ def rank_normal(values):
 
 
 def ess_rank_split(values) -> float:
-    """Of normal scores, over two halves (an odd last value is dropped), from the variogram."""
+    """Of normal scores of all values, over two halves (an odd last one is dropped after ranking), from the
+    variogram. A constant chain has as many as its halves hold."""
     import numpy as np
 
     half = len(values) // 2
     if half < 2:
         return float("nan")
-    z = rank_normal(np.asarray(values, float)[: 2 * half]).reshape(2, half)
+    z = rank_normal(values)[: 2 * half].reshape(2, half)
     within = z.var(1, ddof=1).mean()
     total = within * (half - 1) / half + z.mean(1).var(ddof=1)
-    if not total > 0:
-        return float("nan")
-    rho = [1.0] + [1 - ((z[:, k:] - z[:, :-k]) ** 2).mean() / (2 * total) for k in range(1, half)]
+    if total == 0:
+        return float(2 * half)
+    # squares of differences at all lags: squares at both ends less twice the products, which one transform gives
+    spectrum = np.fft.rfft(z, 1 << (2 * half - 1).bit_length())
+    products = np.fft.irfft(spectrum * spectrum.conj())[:, :half]
+    squares = np.concatenate([np.zeros((2, 1)), np.cumsum(z * z, 1)], 1)
+    lags = np.arange(half)
+    gaps = (squares[:, half - lags] + squares[:, half:] - squares[:, lags] - 2 * products).sum(0) / (2 * (half - lags))
+    rho = 1 - gaps / (2 * total)
+    rho[0] = 1.0
     return ess_monotone(rho, 2 * half)
 
 
@@ -164,6 +172,75 @@ def ess_by_lags(d: Dialect) -> str:
       FROM p JOIN stop ON p.method = stop.method AND p.experiment = stop.experiment AND p.seed = stop.seed GROUP BY p.method, p.experiment, p.seed"""
 
 
+TRAJECTORY = "method string, experiment string, seed long, upto long, sample long, ess double"
+
+
+def ess_trajectory(trace: DataFrame, points: int = 20, burnin: float = 0.1, least: int = 20) -> DataFrame:
+    """Effective sample size of each chain over expanding windows: `points` ends from `least` rows to all, the first
+    part of each left out. Chains are independent: one group for each, as long as its log. Chains that are shorter
+    than `least` have no row; of a constant window the size is null."""
+    columns = ["method", "experiment", "seed"]
+
+    def of_chain(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("sample")
+        x, sample, n = pdf["value"].to_numpy(float), pdf["sample"].to_numpy(), len(pdf)
+        ends = np.unique(np.floor(least + np.arange(points) * (n - least) / max(1, points - 1)).astype(int)) if n >= least else []
+        return pd.DataFrame([[*pdf.iloc[0][columns], k, sample[k - 1], round(ess_tracer(x[int(k * burnin): k]), 6)] for k in ends], columns=[*columns, "upto", "sample", "ess"])
+
+    return trace.groupBy(*columns).applyInPandas(of_chain, TRAJECTORY)
+
+
+def trajectory_text(points: int = 20, least: int = 20) -> str:
+    """The same for a second engine, by a join of lags."""
+    chain = "x.method = y.method AND x.experiment = y.experiment AND x.seed = y.seed"
+    return f"""WITH t AS (SELECT {CHAIN}, sample, value, row_number() OVER (PARTITION BY {CHAIN} ORDER BY sample) - 1 AS i, count(*) OVER (PARTITION BY {CHAIN}) AS n FROM {{trace}}),
+      p AS (SELECT DISTINCT {CHAIN}, CAST(floor({least} + k * (n - {least}) / {points - 1}.0) AS BIGINT) AS upto FROM t, range({points}) AS r(k) WHERE n >= {least}),
+      w AS (SELECT x.method, x.experiment, x.seed, x.upto, y.i, y.value - avg(y.value) OVER (PARTITION BY x.method, x.experiment, x.seed, x.upto) AS v, count(*) OVER (PARTITION BY x.method, x.experiment, x.seed, x.upto) AS m
+        FROM p x JOIN t y ON {chain} AND y.i < x.upto AND y.i >= floor(x.upto * 0.1)),
+      a AS (SELECT x.method, x.experiment, x.seed, x.upto, y.i - x.i AS lag, min(x.m) AS m, sum(x.v * y.v) / count(*) AS a FROM w x JOIN w y ON {chain} AND x.upto = y.upto AND y.i >= x.i GROUP BY ALL),
+      q AS (SELECT {CHAIN}, upto, (lag + 1) // 2 AS pair, min(m) AS m, sum(a) AS s, count(*) AS lags FROM a GROUP BY ALL),
+      z AS (SELECT {CHAIN}, upto, min(CASE WHEN pair > 0 AND (s <= 0 OR lags < 2) THEN pair END) AS stop FROM q GROUP BY ALL),
+      e AS (SELECT x.method, x.experiment, x.seed, x.upto, round(min(x.m) / ((max(CASE WHEN pair = 0 THEN s END) + 2 * sum(CASE WHEN pair > 0 AND (stop IS NULL OR pair < stop) THEN s ELSE 0 END)) / max(CASE WHEN pair = 0 THEN s END)), 6) AS ess
+        FROM q x JOIN z y ON {chain} AND x.upto = y.upto GROUP BY ALL)
+      SELECT x.method, x.experiment, x.seed, x.upto, y.sample, x.ess FROM e x JOIN t y ON {chain} AND y.i = x.upto - 1"""
+
+
+@plan("trajectory", "cost")
+def ess_curve(d: Dialect) -> str:
+    """Minutes and effective samples a minute at each point of a trajectory. cost: microseconds of a sample by method."""
+    return f"""SELECT t.method, t.experiment, t.seed, t.upto, t.sample, t.ess, round(t.sample * k.us / 6.0E7, 6) AS minutes, round(t.ess / (t.sample * k.us / 6.0E7), 6) AS ess_per_minute
+      FROM {{trajectory}} t JOIN {{cost}} k ON k.method = t.method WHERE t.sample > 0"""
+
+
+@plan("trajectory", "cost")
+def converged_at(d: Dialect, target: float = 200.0) -> str:
+    """Minutes until the effective sample size of a chain stays at the target or above: those of the first point after
+    the last one below; chains that end below are extrapolated at the rate of their last point."""
+    return f"""WITH r AS (SELECT t.method, t.experiment, t.seed, coalesce(t.ess, 0.0E0) AS ess, t.sample * k.us / 6.0E7 AS minutes, row_number() OVER (PARTITION BY t.method, t.experiment, t.seed ORDER BY t.upto) AS i
+        FROM {{trajectory}} t JOIN {{cost}} k ON k.method = t.method),
+      b AS (SELECT {CHAIN}, coalesce(max(CASE WHEN ess < {target!r} THEN i END), 0) AS low, max(i) AS n, max_by(ess, i) AS final, max(minutes) AS spent FROM r GROUP BY {CHAIN})
+      SELECT b.method, b.experiment, b.seed, b.low = b.n AS projected, round(CASE WHEN b.low = b.n THEN b.spent * {target!r} / b.final ELSE r.minutes END, 4) AS minutes
+      FROM b LEFT JOIN r ON r.method = b.method AND r.experiment = b.experiment AND r.seed = b.seed AND r.i = b.low + 1 WHERE b.low < b.n OR b.final > 0"""
+
+
+@plan("summary", "experiment_stats")
+def stats_join(d: Dialect) -> str:
+    """Summaries of experiments with what else is known of them: all summaries stay."""
+    return "SELECT s.*, e.chains, e.mean_value FROM {summary} s LEFT JOIN {experiment_stats} e ON e.experiment = s.experiment"
+
+
+@plan("trace")
+def mean_by_experiment(d: Dialect) -> str:
+    """Mean over chains of each experiment of their mean after the first tenth; what isn't a number doesn't count."""
+    good = "CASE WHEN NOT isnan(value) THEN value END"
+    return f"""WITH t AS (SELECT {CHAIN}, {good} AS value, row_number() OVER (PARTITION BY {CHAIN} ORDER BY sample) - 1 AS i, count(*) OVER (PARTITION BY {CHAIN}) AS n FROM {{trace}}),
+      c AS (SELECT {CHAIN}, avg(value) AS m FROM t WHERE i >= floor(0.1E0 * n) GROUP BY {CHAIN})
+      SELECT experiment, count(m) AS chains, round(avg(m), 6) AS mean_value FROM c GROUP BY experiment"""
+
+
 @plan("trace")
 def first_stable(d: Dialect) -> str:
     """When the running mean of a chain comes to stay above ten: the first point after the last below; chains that
@@ -201,11 +278,11 @@ def relative_stats(d: Dialect) -> str:
 
 
 @plan("times")
-def timing_speedup(d: Dialect) -> str:
-    """Count, mean, median and sum by experiment and method, and the ratio of means to the method `click`."""
-    return """WITH s AS (SELECT experiment, method, count(*) AS n, avg(minutes) AS mean, median(minutes) AS med, sum(minutes) AS total FROM {times} GROUP BY experiment, method)
+def timing_speedup(d: Dialect, base: str = "click") -> str:
+    """Count, mean, median and sum by experiment and method, and the ratio of means to a base method."""
+    return f"""WITH s AS (SELECT experiment, method, count(*) AS n, avg(minutes) AS mean, median(minutes) AS med, sum(minutes) AS total FROM {{times}} GROUP BY experiment, method)
       SELECT s.experiment, s.method, s.n, round(s.mean, 4) AS mean, round(s.med, 4) AS median, round(s.total, 4) AS total, round(b.mean / s.mean, 6) AS speedup
-      FROM s LEFT JOIN s b ON b.experiment = s.experiment AND b.method = 'click'"""
+      FROM s LEFT JOIN s b ON b.experiment = s.experiment AND b.method = '{base}'"""
 
 
 @plan("trace")
@@ -254,9 +331,9 @@ def batch_means(d: Dialect) -> str:
 
 
 @plan("trace")
-def thinned(d: Dialect) -> str:
-    """Every tenth row of each chain."""
-    return f"""SELECT {CHAIN}, sample, value FROM (SELECT {CHAIN}, sample, value, row_number() OVER (PARTITION BY {CHAIN} ORDER BY sample) - 1 AS i FROM {{trace}}) x WHERE i % 10 = 0"""
+def thinned(d: Dialect, step: int = 10) -> str:
+    """Every step-th row of each chain."""
+    return f"""SELECT {CHAIN}, sample, value FROM (SELECT {CHAIN}, sample, value, row_number() OVER (PARTITION BY {CHAIN} ORDER BY sample) - 1 AS i FROM {{trace}}) x WHERE i % {step} = 0"""
 
 
 @plan("trace")
@@ -296,11 +373,16 @@ def operator_rollup(d: Dialect) -> str:
         round((p + e + z) / CAST(sum(p + e + z) OVER () AS DOUBLE), 6) AS time_share FROM s WHERE n > 0"""
 
 
-@plan("op_timing")
-def ess_per_cost(d: Dialect) -> str:
-    """Accepted proposals per time of each operator, relative to the operator AF."""
-    return """WITH s AS (SELECT operator, sum(accepted) / CAST(sum(proposal_ns + evaluation_ns + resolution_ns) AS DOUBLE) AS rate, stddev_samp(accepted) AS sd FROM {op_timing} GROUP BY operator)
-      SELECT s.operator, round(s.rate * 1000, 6) AS rate, round(s.sd, 4) AS sd, round(s.rate / b.rate, 6) AS relative FROM s LEFT JOIN s b ON b.operator = 'AF'"""
+@plan("trace", "ess", "cost")
+def ess_per_cost(d: Dialect, base: str = "click") -> str:
+    """What an independent sample costs. ess: of each chain after burn-in; cost: microseconds of a proposal by method.
+    By method: proposals for one effective sample, deviation of the values, effective samples a minute, all as means
+    over chains, and the latter relative to a base method's."""
+    return f"""WITH t AS (SELECT {CHAIN}, max(sample) - min(sample) AS proposals, stddev_samp(value) AS sd FROM {{trace}} GROUP BY {CHAIN}),
+      c AS (SELECT t.method, t.proposals / e.tracer AS per, t.sd, 60.0E6 / (t.proposals / e.tracer * k.us) AS a_minute FROM t
+        JOIN {{ess}} e ON e.method = t.method AND e.experiment = t.experiment AND e.seed = t.seed JOIN {{cost}} k ON k.method = t.method WHERE e.tracer > 0 AND t.proposals > 0),
+      m AS (SELECT method, count(*) AS chains, avg(per) AS per, avg(sd) AS sd, avg(a_minute) AS a_minute FROM c GROUP BY method)
+      SELECT m.method, m.chains, round(m.per, 3) AS proposals_per_ess, round(m.sd, 6) AS sd, round(m.a_minute, 3) AS ess_per_minute, round(m.a_minute / b.a_minute, 6) AS relative FROM m LEFT JOIN m b ON b.method = '{base}'"""
 
 
 @plan("op_timing")

@@ -31,13 +31,13 @@ def closure_rows(d: Dialect) -> str:
     return "SELECT tree_id, node, ancestor, CAST(steps AS BIGINT) AS steps FROM {closure}"
 
 
-@plan("node", "closure")
+@plan("pairs", "node", "closure")
 def mrca(d: Dialect) -> str:
-    """The most recent common ancestor of each tip and the next one of its tree."""
-    return """SELECT a.tree_id, a.node AS x, a.node + 1 AS y, max_by(a.ancestor, n.depth) AS mrca, min(n.height) AS height
-      FROM {closure} a JOIN {closure} b ON a.tree_id = b.tree_id AND a.ancestor = b.ancestor AND b.node = a.node + 1
-      JOIN {node} x ON x.tree_id = a.tree_id AND x.node = a.node AND x.is_leaf
-      JOIN {node} n ON n.tree_id = a.tree_id AND n.node = a.ancestor GROUP BY a.tree_id, a.node"""
+    """The most recent common ancestor of each pair (tree_id, x, y): of the nodes above both, the deepest, so equal
+    heights don't matter; a node is above itself."""
+    return """SELECT p.tree_id, p.x, p.y, max_by(a.ancestor, n.depth) AS mrca, max_by(n.height, n.depth) AS height
+      FROM {pairs} p JOIN {closure} a ON a.tree_id = p.tree_id AND a.node = p.x JOIN {closure} b ON b.tree_id = p.tree_id AND b.node = p.y AND b.ancestor = a.ancestor
+      JOIN {node} n ON n.tree_id = a.tree_id AND n.node = a.ancestor GROUP BY p.tree_id, p.x, p.y"""
 
 
 @plan("node")
@@ -107,6 +107,22 @@ def rf_distance(d: Dialect) -> str:
       FROM x FULL OUTER JOIN y ON x.tree_id = y.tree_id AND x.clade = y.clade GROUP BY coalesce(x.tree_id, y.tree_id)"""
 
 
+@plan("one", "other")
+def rf_between(d: Dialect) -> str:
+    """Robinson-Foulds distance of the trees of two clade tables (tree_id, clade) that have the same number: clades in
+    one only, and in both."""
+    return """SELECT coalesce(x.tree_id, y.tree_id) AS tree_id, count(*) FILTER (WHERE x.clade IS NULL OR y.clade IS NULL) AS distance, count(*) FILTER (WHERE x.clade = y.clade) AS shared
+      FROM {one} x FULL OUTER JOIN {other} y ON x.tree_id = y.tree_id AND x.clade = y.clade GROUP BY coalesce(x.tree_id, y.tree_id)"""
+
+
+def robinson_foulds(one: DataFrame, other: DataFrame, tips: DataFrame, other_tips: DataFrame) -> DataFrame:
+    """rf_between of two clade tables; tips: (tree_id, tip) of either. Raises where trees differ in their tips."""
+    odd = tips.exceptAll(other_tips).unionByName(other_tips.exceptAll(tips)).limit(1).collect()
+    if odd:
+        raise ValueError(f"tree {odd[0].tree_id} has the tip {odd[0].tip} on one side only")
+    return rf_between(one=one, other=other)
+
+
 @plan("node", "closure")
 def unrooted_splits(d: Dialect) -> str:
     """Splits of the tips with more than one on both sides, as the side without tip 0."""
@@ -142,18 +158,26 @@ def node_ratios(d: Dialect) -> str:
       JOIN {stats} s ON s.tree_id = n.tree_id AND s.node = n.node WHERE NOT n.is_leaf"""
 
 
-@plan("node")
+@plan("node", "branch_rate", "node_rate")
 def decay_rate(d: Dialect) -> str:
-    """Difference of the rates below and above an internal node, rates being one over the number of steps."""
-    return """SELECT n.tree_id, n.node, round(sum(1.0E0 / (c.depth + 1)) - 1.0E0 / (n.depth + 1), 6) AS decay
-      FROM {node} n JOIN {node} c ON c.tree_id = n.tree_id AND c.parent = n.node GROUP BY n.tree_id, n.node, n.depth"""
+    """By how much the log density falls when an inner node but the root is raised: the total rate of its sequence
+    times the rates of the branches below less that of its own."""
+    return """SELECT n.tree_id, n.node, round(l.total_rate * (sum(b.rate) - o.rate), 6) AS decay
+      FROM {node} n JOIN {node} c ON c.tree_id = n.tree_id AND c.parent = n.node JOIN {branch_rate} b ON b.tree_id = c.tree_id AND b.node = c.node
+      JOIN {branch_rate} o ON o.tree_id = n.tree_id AND o.node = n.node JOIN {node_rate} l ON l.tree_id = n.tree_id AND l.node = n.node
+      WHERE n.parent IS NOT NULL GROUP BY n.tree_id, n.node, l.total_rate, o.rate"""
 
 
-@plan("node")
-def interval_scaled(d: Dialect) -> str:
-    """Branch intervals over the older child, scaled by one and a half."""
-    return """WITH older AS (SELECT tree_id, parent AS node, max(height) AS h FROM {node} WHERE parent IS NOT NULL GROUP BY tree_id, parent)
-      SELECT n.tree_id, n.node, n.height - o.h AS gap, o.h + 1.5E0 * (n.height - o.h) AS scaled FROM {node} n JOIN older o ON o.tree_id = n.tree_id AND o.node = n.node"""
+@plan("node", "closure")
+def interval_scaled(d: Dialect, factor: float = 1.5) -> str:
+    """Heights when each inner node's gap over its older child is scaled, from the tips up: a node is at the highest,
+    over the tips below it, of the tip and the scaled gaps of the nodes between, its own among them."""
+    return f"""WITH older AS (SELECT tree_id, parent AS node, max(height) AS h FROM {{node}} WHERE parent IS NOT NULL GROUP BY tree_id, parent),
+      gaps AS (SELECT n.tree_id, n.node, n.height - o.h AS gap FROM {{node}} n JOIN older o ON o.tree_id = n.tree_id AND o.node = n.node),
+      upto AS (SELECT c.tree_id, c.node, sum(coalesce(g.gap, 0.0E0)) AS total FROM {{closure}} c LEFT JOIN gaps g ON g.tree_id = c.tree_id AND g.node = c.ancestor GROUP BY c.tree_id, c.node)
+      SELECT g.tree_id, g.node, g.gap, round(max(t.height + {factor!r} * (u.total - o.total + g.gap)), 9) AS scaled
+      FROM gaps g JOIN {{closure}} c ON c.tree_id = g.tree_id AND c.ancestor = g.node JOIN {{node}} t ON t.tree_id = c.tree_id AND t.node = c.node AND t.is_leaf
+      JOIN upto u ON u.tree_id = t.tree_id AND u.node = t.node JOIN upto o ON o.tree_id = g.tree_id AND o.node = g.node GROUP BY g.tree_id, g.node, g.gap"""
 
 
 @plan("node")

@@ -5,7 +5,7 @@ taxon(doc_id, header, seq, raw_date)     documents: sequence records with partia
 node(tree_id, node, parent, is_leaf, height, n_tips)   customers of a nation are the tips of a heap tree
 mut(tree_id, node, time, site, old_state, new_state)   lineitem: events on branches, consistent along paths
 ref(site, state), iupac(ch, mask, class), rate, freq   small dimensions
-trace(method, experiment, seed, sample, value)          events: one chain for each method, experiment, seed
+trace(method, experiment, seed, line_no, sample, value) events: one chain for each method, experiment, seed
 op_timing(operator, ...)                 lineitem by flags: counters of sampler operators
 metadata(id, raw_date, line_no)          orders: accession with version, partial date
 """
@@ -94,8 +94,11 @@ SELECT tree_id, node, site, CASE WHEN (node * 7 + site * 3) % 19 = 0 THEN 15 WHE
   WHEN (node * 3 + site * 5 + node * site) % 4 = 0 THEN 1 WHEN (node * 3 + site * 5 + node * site) % 4 = 1 THEN 2
   WHEN (node * 3 + site * 5 + node * site) % 4 = 2 THEN 4 ELSE 8 END AS mask FROM (""" + d.series("0", "15", "site", "node WHERE is_leaf", "tree_id, node") + ") s"),
         "trace": ((), f"""
-SELECT event_type AS method, concat('e', CAST(user_id % 3 AS {d.text})) AS experiment, user_id % 5 AS seed,
+SELECT event_type AS method, concat('e', CAST(user_id % 3 AS {d.text})) AS experiment, user_id % 5 AS seed, event_id AS line_no,
   1000 * row_number() OVER (PARTITION BY event_type, user_id % 3, user_id % 5 ORDER BY event_id) AS sample, value FROM events"""),
+        "merged_trace": (("trace",), "SELECT method, experiment, seed, line_no, CASE WHEN line_no % 17 = 0 THEN sample * 10 ELSE sample END AS sample, value FROM trace"),
+        "branch_rate": (("node",), "SELECT tree_id, node, 0.5E0 + (node % 5) / 4.0E0 AS rate FROM node"),
+        "node_rate": (("node",), "SELECT tree_id, node, 1.0E0 + (node % 3) / 8.0E0 AS total_rate FROM node"),
         "op_timing": ((), f"""
 SELECT concat(l_returnflag, l_linestatus) AS operator, l_linenumber AS run, count(*) AS proposals,
   count(*) FILTER (WHERE l_discount > 0.05) AS accepted, count(*) FILTER (WHERE l_discount < 0.01) AS direct_rejects,

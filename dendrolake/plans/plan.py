@@ -4,7 +4,8 @@ text, in another dialect, lets a second engine check the result."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import partial
 
 from pyspark.sql import DataFrame
 
@@ -54,6 +55,10 @@ class Dialect:
         """32 bits of MD5 as a number: a draw that depends on the value alone."""
         return f"CAST(conv(substring(md5({value}), 1, 8), 16, 10) AS BIGINT)" if self.spark else f"CAST('0x' || substr(md5({value}), 1, 8) AS BIGINT)"
 
+    def expm1(self, value: str) -> str:
+        """exp(value) - 1, without cancellation where the engine can."""
+        return f"expm1({value})" if self.spark else f"(exp({value}) - 1)"
+
     def lines(self, source: str, key: str, text: str, sep: str = "chr(10)") -> str:
         """(key, line_no, line): the parts of a text, in order."""
         if self.spark:
@@ -75,11 +80,11 @@ class Plan:
         if missing:
             raise ValueError(f"{self.name} needs the tables {', '.join(sorted(missing))}")
         session = next(iter(tables.values())).sparkSession
-        views = {}
-        for name in self.tables:  # one view for each table and call
-            views[name] = f"{name}_{abs(hash((id(tables[name]), self.name)))}"
-            tables[name].createOrReplaceTempView(views[name])
-        return session.sql(self.text(SPARK).format(**views))
+        return session.sql(self.text(SPARK), **{name: tables[name] for name in self.tables})
+
+    def given(self, **parameters) -> Plan:
+        """The same plan with other values of its parameters."""
+        return replace(self, text=partial(self.text, **parameters))
 
 
 def plan(*tables: str):

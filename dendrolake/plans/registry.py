@@ -34,6 +34,15 @@ def more_views(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
         "regions": of(history.branch_regions),
         "stats": of(trees.subtree_stats),
         "times": of(traces.first_stable),
+        "unconstrained": of(history.unconstrained_nodes),
+        "pairs": (("node",), "SELECT tree_id, node AS x, node + 1 AS y FROM node WHERE is_leaf AND node + 1 < 2 * n_tips"),
+        "one": of(trees.clades),
+        "other_clades": (("one",), "SELECT tree_id, replace(clade, '1,2', '1,3') AS clade FROM one"),
+        "ess": of(traces.ess_by_lags),
+        "cost": (("trace",), "SELECT method, 1000.0E0 + 100 * count(DISTINCT experiment) + min(seed) AS us FROM trace GROUP BY method"),
+        "root_state": (("tips",), d.series("0", "15", "site", "tips", "tree_id").replace("SELECT tree_id,", "SELECT tree_id, CAST(tree_id % 4 AS BIGINT) AS state,", 1)),
+        "experiment_stats": of(traces.mean_by_experiment),
+        "summary": of(traces.convergence_summary),
         "rate": ((), "SELECT * FROM (VALUES " + ", ".join(f"({i}, {j}, {(0.1, 0.2, 0.3, 0.4)[j] * (2 if abs(i - j) == 2 else 1)!r}E0)" for i in range(4) for j in range(4) if i != j) + ") AS t(from_state, to_state, q)"),
         "freq": ((), "SELECT * FROM (VALUES (0, 0.1E0), (1, 0.2E0), (2, 0.3E0), (3, 0.4E0)) AS t(state, pi)"),
     }
@@ -67,6 +76,11 @@ _register(
     history.state_at_node, history.path_changes, history.differing_sites, history.map_times, history.branch_regions, history.region_weights, history.region_stab,
     history.site_replace, history.time_bounds, history.unconstrained_nodes, history.tip_missing_sites,
 )
+_register(trees.rf_between, other="other_clades")
+_register(history.set_root_states, sequences.without_gap_columns, traces.mean_by_experiment, traces.stats_join)
+_register(traces.cleaned_trace, trace="merged_trace")
+_register(parsimony.fitch_site_filter, scores="fitch_roots")
+_register(traces.ess_curve, traces.converged_at)
 _register(history.violations, mut="broken")
 _register(history.history_distance, other="broken")
 _register(history.missing_clade_regions, trees.time_change, trees.spline_integral, traces.average_ranks, traces.remaining_time)
@@ -74,7 +88,7 @@ _register(kernels.categorical_pick, records.cigar_project)
 _register(parsimony.fitch_scores, parsimony.fitch_rows, parsimony.excess_mutations)
 _register(density.genetic_prior, density.category_posterior, density.transition_probs, density.jc_branch_density, density.dwell_times)
 _register(
-    traces.cleaned_trace, traces.burnin_rows, traces.burnin_value, traces.prefix_points, traces.ess_by_lags, traces.first_stable, traces.convergence_summary,
+    traces.burnin_rows, traces.burnin_value, traces.prefix_points, traces.ess_by_lags, traces.first_stable, traces.convergence_summary,
     traces.relative_to_slowest, traces.relative_stats, traces.timing_speedup, traces.describe_by_seed, traces.load_bins, traces.clade_refresh, traces.running_moments,
     traces.batch_means, traces.thinned, traces.interpolated, traces.normal_equations, traces.gamma_fit, traces.operator_rollup, traces.ess_per_cost, traces.config_means,
     traces.config_grid, traces.minutes_text,
@@ -108,6 +122,10 @@ def domain(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
         elif name == "closure":
             # plans read it several times
             out[name] = trees.ancestor_closure(domain(spark, sf_dir, "node")["node"]).persist()
+        elif name == "fitch_roots":
+            out[name] = domain(spark, sf_dir, "fitch")["fitch"].where("node = 1").select("tree_id", "site", "score")
+        elif name == "trajectory":
+            out[name] = traces.ess_trajectory(domain(spark, sf_dir, "trace")["trace"])
         elif name in known:
             order = _needs((name,), known)
             heads = ", ".join(f"{x} AS ({known[x][1]})" for x in order)
@@ -127,17 +145,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     out = {name: runner(*x) for name, x in QUERIES.items()}
     out["trace_ess"] = lambda spark, sf_dir: traces.trace_ess(domain(spark, sf_dir, "trace")["trace"])
-    return out
+    out["ess_trajectory"] = lambda spark, sf_dir: domain(spark, sf_dir, "trajectory")["trajectory"]
+
+    def fitch_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = domain(spark, sf_dir, "node", "fitch", "reference")
+        return parsimony.fitch_states(t["node"], t["fitch"], t["reference"])
+
+    def parsimony_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return parsimony.parsimony_events(domain(spark, sf_dir, "node")["node"], fitch_states(spark, sf_dir))
+
+    return out | {"fitch_states": fitch_states, "parsimony_events": parsimony_events}
 
 
 def oracle_sql() -> dict[str, str]:
     known = views(ANSI) | more_views(ANSI)
-    out = {}
-    for name, (p, names) in QUERIES.items():
-        order = _needs(tuple(names.values()), known)
+
+    def text(names: tuple[str, ...], body: str) -> str:
+        """body over the named views, with what is computed by other means than plans on the side of Spark."""
+        order = _needs(names, known)
         heads = [f"{x} AS ({known[x][1]})" for x in order]
-        if "fitch" in names.values():
-            extra = [f"{x} AS ({known[x][1]})" for x in _needs(("node", "tip_state"), known) if x not in order]
-            heads = [*heads, *extra, parsimony.fitch_text(ANSI)]
-        out[name] = f"WITH {', '.join(heads)} SELECT * FROM ({p.text(ANSI).format(**names)}) final_rows" if heads else p.text(ANSI).format(**names)
+        if {"fitch", "fitch_roots"} & set(names):
+            heads += [f"{x} AS ({known[x][1]})" for x in _needs(("node", "tip_state"), known) if x not in order] + [parsimony.fitch_text(ANSI)]
+            heads.append("fitch_roots AS (SELECT tree_id, site, score FROM fitch WHERE node = 1)")
+        if "trajectory" in names:
+            heads += [f"trace AS ({known['trace'][1]})"] * ("trace" not in order) + [f"trajectory AS ({traces.trajectory_text().format(trace='trace')})"]
+        return f"WITH {', '.join(heads)} SELECT * FROM ({body}) final_rows" if heads else body
+
+    out = {name: text(tuple(names.values()), p.text(ANSI).format(**names)) for name, (p, names) in QUERIES.items()}
+    out["ess_trajectory"] = text(("trajectory",), "SELECT * FROM trajectory")
+    out["fitch_states"] = text(("node", "fitch", "reference"), parsimony.fitch_states_text())
     return out
