@@ -144,6 +144,22 @@ def test_licenses_are_found_and_others_are_not(make, words):
     assert license_scan.license_matches(make([])).count() == 0
 
 
+def test_relatives_are_told_apart_and_none_is_missed(make, words):
+    t, rng, rows, want = license_scan.TEMPLATES, random.Random(6), [], set()
+    for i, (name, template) in enumerate(sorted(t.items())):
+        w = template.split()
+        free = [k for k in range(1, len(w) - 1) if not set(license_scan.words_of(w[k])) & license_scan.TELLING]
+        for k in rng.sample(free, len(w) // 12):  # some words changed, none that tells it from its relatives
+            w[k] = "changed"
+        for copy in range(2):  # repeated rows
+            rows.append((i, words(30, i) + " " + " ".join(w) + " " + words(3000 if i == 5 else 30, i + 500)))
+            want.add((i, name))
+    rows += [(900, "GNU General Public License, version 4"), (901, "Licensed under CC BY-XX 4.0."), (902, words(60_000, 3) + " Licensed under CC BY 4.0."), (902, "This work is licensed under the GNU General Public License, version 2.")]
+    got = [(r.doc_id, r.license) for r in license_scan.license_matches(make(rows)).collect()]
+    assert {x for x in got if x[0] < 900} == want and all(got.count(x) == 2 for x in want)
+    assert {x for x in got if x[0] >= 900} >= {(902, "CC-BY-4.0-notice"), (902, "GPL-2.0-notice")} and not any(x[0] == 900 for x in got)
+
+
 # Jaccard join
 
 def shingles(text):
