@@ -45,10 +45,10 @@ def date_bounds(d: Dialect) -> str:
 
 
 @plan("taxon")
-def date_ranges(d: Dialect) -> str:
-    """Ranges `a/b`: from the first day of a to the last of b."""
+def date_ranges(d: Dialect, upto: str = "2025-12") -> str:
+    """Ranges `a/b`, from a row's date to a given one: from the first day of a to the last of b."""
     first, last = _bounds(d, "a")[0], _bounds(d, "b")[1]
-    return f"""WITH r AS (SELECT doc_id, concat(raw_date, '/', '2025-12') AS raw FROM {{taxon}}),
+    return f"""WITH r AS (SELECT doc_id, concat(raw_date, '/', '{upto}') AS raw FROM {{taxon}}),
       p AS (SELECT doc_id, raw, split_part(raw, '/', 1) AS a, split_part(raw, '/', 2) AS b FROM r)
       SELECT doc_id, raw, {d.iso(first)} AS lo, {d.iso(last)} AS hi FROM p"""
 
@@ -64,10 +64,10 @@ def taxon_headers(d: Dialect) -> str:
 
 
 @plan("taxon")
-def ambiguous_filter(d: Dialect) -> str:
-    """Records of which at most a twentieth of the characters are N."""
-    return """SELECT doc_id, length(seq) AS length, length(seq) - length(replace(seq, 'N', '')) AS n FROM {taxon}
-      WHERE length(seq) > 0 AND (length(seq) - length(replace(seq, 'N', ''))) / CAST(length(seq) AS DOUBLE) <= 0.05"""
+def ambiguous_filter(d: Dialect, most: float = 0.05) -> str:
+    """Records of which at most a share of the characters is N, a twentieth unless told otherwise."""
+    return f"""SELECT doc_id, length(seq) AS length, length(seq) - length(replace(seq, 'N', '')) AS n FROM {{taxon}}
+      WHERE length(seq) > 0 AND (length(seq) - length(replace(seq, 'N', ''))) / CAST(length(seq) AS DOUBLE) <= {most!r}"""
 
 
 @plan("metadata")
@@ -116,10 +116,16 @@ def alias_smallest(d: Dialect) -> str:
 
 
 @plan("taxon")
-def sample_until(d: Dialect) -> str:
-    """The order in which records would be fetched: by a hash of seed and name, the accepted ones numbered."""
-    return f"""SELECT doc_id, row_number() OVER (ORDER BY {d.hash32("concat('1', header)")}, doc_id) AS nth FROM {{taxon}}
-      WHERE length(seq) > 0 AND (length(seq) - length(replace(seq, 'N', ''))) / CAST(length(seq) AS DOUBLE) <= 0.05"""
+def sample_until(d: Dialect, most: float = 0.05, seed: int = 1, n: int | None = None) -> str:
+    """The order in which records would be fetched: by a hash of seed and name, the accepted ones numbered; all, or the
+    first n, as in a draw without repetition. Each of the 1024 ranges of the hash is numbered for itself, after the
+    sizes of those before it, so no task holds all rows."""
+    good = f"length(seq) > 0 AND (length(seq) - length(replace(seq, 'N', ''))) / CAST(length(seq) AS DOUBLE) <= {most!r}"
+    keep = "" if n is None else f" WHERE nth <= {n}"
+    return f"""WITH h AS (SELECT doc_id, {d.hash32(f"concat('{seed}', header)")} AS h FROM {{taxon}} WHERE {good}),
+      r AS (SELECT doc_id, {d.idiv("h", "4194304")} AS part, row_number() OVER (PARTITION BY {d.idiv("h", "4194304")} ORDER BY h, doc_id) AS k FROM h),
+      s AS (SELECT part, sum(count(*)) OVER (ORDER BY part) - count(*) AS before FROM r GROUP BY part)
+      SELECT doc_id, nth FROM (SELECT r.doc_id, CAST(s.before + r.k AS BIGINT) AS nth FROM r JOIN s ON s.part = r.part) x{keep}"""
 
 
 @plan("taxon")

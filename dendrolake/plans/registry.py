@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import density, history, kernels, parsimony, records, sequences, traces, trees
+from ..operators import density, history, kernels, parsimony, records, sequences, traces, tree_samples, trees
 from .bindings import views, with_views
 from .plan import ANSI, SPARK, Dialect, Plan
 
@@ -41,6 +41,8 @@ def more_views(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
         "ess": of(traces.ess_by_lags),
         "cost": (("trace",), "SELECT method, 1000.0E0 + 100 * count(DISTINCT experiment) + min(seed) AS us FROM trace GROUP BY method"),
         "root_state": (("tips",), d.series("0", "15", "site", "tips", "tree_id").replace("SELECT tree_id,", "SELECT tree_id, CAST(tree_id % 4 AS BIGINT) AS state,", 1)),
+        "ticks": (("trace",), d.series("0", "5", "k", f"(SELECT concat(method, experiment, '-', CAST(seed AS {d.text})) AS run, row_number() OVER (PARTITION BY method, experiment, seed ORDER BY sample) - 1 AS i, value FROM trace) t", "run, i, value")),
+        "tree_log": (("ticks",), f"SELECT run, CAST(i AS BIGINT) AS i, concat(CAST(k AS {d.text}), ':', CAST(CAST(floor(value / (10.0E0 * (k + 1))) AS BIGINT) % 3 AS {d.text})) AS clade FROM ticks"),
         "experiment_stats": of(traces.mean_by_experiment),
         "summary": of(traces.convergence_summary),
         "rate": ((), "SELECT * FROM (VALUES " + ", ".join(f"({i}, {j}, {(0.1, 0.2, 0.3, 0.4)[j] * (2 if abs(i - j) == 2 else 1)!r}E0)" for i in range(4) for j in range(4) if i != j) + ") AS t(from_state, to_state, q)"),
@@ -81,6 +83,7 @@ _register(history.set_root_states, sequences.without_gap_columns, traces.mean_by
 _register(traces.cleaned_trace, trace="merged_trace")
 _register(parsimony.fitch_site_filter, scores="fitch_roots")
 _register(traces.ess_curve, traces.converged_at)
+_register(tree_samples.clade_flips, tree_samples.topology_changes, clades="tree_log")
 _register(history.violations, mut="broken")
 _register(history.history_distance, other="broken")
 _register(history.missing_clade_regions, trees.time_change, trees.spline_integral, traces.average_ranks, traces.remaining_time)
@@ -145,6 +148,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     out = {name: runner(*x) for name, x in QUERIES.items()}
     out["trace_ess"] = lambda spark, sf_dir: traces.trace_ess(domain(spark, sf_dir, "trace")["trace"])
+    out["tree_ess"] = lambda spark, sf_dir: tree_samples.tree_ess(domain(spark, sf_dir, "tree_log")["tree_log"])
+    out["merged_intervals"] = lambda spark, sf_dir: tree_samples.merged_intervals(domain(spark, sf_dir, "node")["node"])
     out["ess_trajectory"] = lambda spark, sf_dir: domain(spark, sf_dir, "trajectory")["trajectory"]
 
     def fitch_states(spark: SparkSession, sf_dir: str) -> DataFrame:

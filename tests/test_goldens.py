@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from dendrolake.operators import history, parsimony, traces, trees
+from dendrolake.operators import history, parsimony, records, traces, tree_samples, trees
+from dendrolake.sources import readers, writers
 
 from .test_plans import tree
 
@@ -154,3 +155,83 @@ def test_distance_of_two_given_trees(spark):
     assert (row.distance, row.shared) == (2, 1)
     with pytest.raises(ValueError, match="tip 3"):
         trees.robinson_foulds(one, other, tips, tips.where("tip < 3"))
+
+
+def test_sizes_of_tree_samples(spark):
+    import numpy as np
+
+    rng = random.Random(5)
+    samples = {"a": [sorted({f"c{rng.randrange(5)}" for _ in range(4)}) for _ in range(40)], "same": [["c1", "c2"]] * 9, "few": [["c1"], ["c2"], ["c1"]]}
+    rows = [(run, i, c) for run, trees_ in samples.items() for i, t in enumerate(trees_) for c in t]
+    got = {r.run: r for r in tree_samples.tree_ess(spark.createDataFrame(rows, "run string, i long, clade string")).collect()}
+    t = [set(x) for x in samples["a"]]
+    n = len(t)
+    square = np.array([[len(x ^ y) ** 2 for y in t] for x in t], float)
+
+    def rho(k):
+        m = n - k
+        v, w = square[:m, :m].sum() / 2 / (m * (m - 1)), square[k:, k:].sum() / 2 / (m * (m - 1))
+        return (v + w - np.mean([square[i, i + k] for i in range(m)])) / (2 * np.sqrt(v * w))
+
+    assert got["a"].frechet == pytest.approx(traces.ess_monotone([1.0, *(rho(k) for k in range(1, n - 5))], n), abs=1e-5)
+    sizes = [traces.ess_rank_split(np.sqrt(square[i])) for i in range(n)]
+    assert (got["a"].least, got["a"].median, got["a"].most) == pytest.approx((min(sizes), np.median(sizes), max(sizes)), abs=1e-5)
+    assert got["same"].frechet == 1 and got["same"].median == 8 and got["few"].frechet is None and got["few"].median is None
+
+
+def test_clades_come_and_go(spark):
+    has = {"x": [1, 1, 0, 0, 1, 0], "y": [0, 1, 1, 1, 1, 1], "z": [1] * 6}
+    rows = [("r", i, c) for c, p in has.items() for i, v in enumerate(p) if v]
+    clades = spark.createDataFrame(rows, "run string, i long, clade string")
+    got = {r.clade: (r.support, r.flips) for r in tree_samples.clade_flips(clades=clades).collect()}
+    assert got == {"x": (0.5, 3), "y": (pytest.approx(5 / 6, abs=1e-6), 1)}
+    assert tree_samples.topology_changes(clades=clades).first().changes == 4
+
+
+def test_intervals_of_a_tree(spark):
+    node = tree(spark, {1: None, 2: 1, 3: 1, 4: 2, 5: 2}, {1: 3, 2: 2, 3: 0.5, 4: 0, 5: 0})
+    got = [(r.length, r.lineages, r.ends) for r in tree_samples.merged_intervals(node).orderBy("nth").collect()]
+    assert got == [(0.5, 2, "sample"), (1.5, 3, "coalescence"), (1.0, 2, "coalescence")]
+    got = [(r.length, r.lineages, r.ends) for r in tree_samples.merged_intervals(node, 1.0).orderBy("nth").collect()]
+    assert got == [(2.0, 3, "coalescence")]
+
+
+def test_saved_states_blocks_and_workbooks(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "s.xml").write_text("<state>\n<statenode id='Tree'>((0:1,2:1)4:0.5,1:2)5</statenode>\n<statenode id='kappa'>kappa: 2.5</statenode>\n<statenode id='freq'>freq[4 1]: 0.2 0.8</statenode>\n</state>")
+    (tmp_path / "d.xml").write_text('<beast>\n<data>\n<sequence taxon="A" value="ac"/>\n<sequence taxon="B" value="gg"/>\n<sequence taxon="C" value="tt"/>\n</data>\n<data>\n<sequence taxon="D" value="aa"/>\n</data></beast>')
+    assert readers.read_state_tree(spark, str(tmp_path / "s.xml"), "Tree", str(tmp_path / "d.xml")) == "((A:1,C:1):0.5,B:2);"
+    assert {(r.id, r.value) for r in readers.read_state_values(spark, str(tmp_path / "s.xml")).collect()} == {("kappa", "2.5")}
+    assert [r.sequence for r in readers.read_first_data_block(spark, str(tmp_path / "d.xml")).orderBy("line_no").collect()] == ["AC", "GG", "TT"]
+    head = "<worksheet xmlns='http://schemas.openxmlformats.org/spreadsheetml/2006/main'><sheetData>"
+    with zipfile.ZipFile(tmp_path / "m.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", "<sst xmlns='http://schemas.openxmlformats.org/spreadsheetml/2006/main'><si><t>id</t></si><si><r><t>da</t></r><r><t>te</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", head + "<row r='1'><c r='A1' t='s'><v>0</v></c><c r='C1' t='s'><v>1</v></c></row><row r='2'><c r='A2' t='inlineStr'><is><t>x</t></is></c><c r='B2'><v>4.5</v></c></row></sheetData></worksheet>")
+        z.writestr("xl/worksheets/sheet2.xml", head + "<row r='1'><c r='A1'><v>9</v></c></row></sheetData></worksheet>")
+    assert [(r.row, r.cells) for r in readers.read_excel(spark, str(tmp_path / "m.xlsx")).orderBy("row").collect()] == [(1, ["id", "", "date"]), (2, ["x", "4.5"])]
+
+
+def test_job_starts_and_timings(spark, tmp_path):
+    import os
+
+    log = tmp_path / "a.log"
+    log.write_text("# x\n# Started job at 2024-03-01 10:00:00\nSample\tv\n0\t1\n2000\t2\n# Started job at 2024-03-02 10:00:00\n")
+    os.utime(log, (1709287200 + 500, 1709287200 + 500))  # 2024-03-01 10:00:00 UTC and 500 s
+    starts = readers.job_starts(spark, str(log))
+    got = readers.seconds_per_sample(spark, str(log), spark.createDataFrame([(starts.first().path, 2000)], "path string, last long")).first()
+    assert got.seconds == pytest.approx(0.25)
+    writers.write_timing({"total": 5, "seed": 1}, spark.createDataFrame([("a", 3), ("b", None)], "operator string, n long"), str(tmp_path / "t.csv"))
+    totals, rows = readers.read_timing(spark, str(tmp_path / "t.csv"))
+    assert {(r.key, r.value) for r in totals.collect()} == {("total", "5"), ("seed", "1")} and [(r.operator, r.n) for r in rows.orderBy("operator").collect()] == [("a", 3), ("b", None)]
+    with pytest.raises(ValueError):
+        writers.as_table(spark.range(10_001))
+
+
+def test_a_draw_of_records_is_a_prefix_of_the_order(spark):
+    taxon = spark.createDataFrame([(i, f"h{i}", "ACGT" * 5 + "N" * (i % 3), "2020") for i in range(200)], "doc_id long, header string, seq string, raw_date string")
+    full = {r.doc_id: r.nth for r in records.sample_until(taxon=taxon).collect()}
+    assert sorted(full.values()) == list(range(1, len(full) + 1)) and len(full) == 134
+    few = {r.doc_id: r.nth for r in records.sample_until.given(n=10)(taxon=taxon).collect()}
+    assert few == {d: k for d, k in full.items() if k <= 10}
+    assert records.ambiguous_filter.given(most=0.2)(taxon=taxon).count() == 200
