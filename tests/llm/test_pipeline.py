@@ -13,7 +13,7 @@ def write(df, path):
 def test_each_stage_does_its_work(spark, make, words, tmp_path):
     rows = [(d, t, "en", "ab"[d % 3 == 0]) for d, t in near_copies(words, 80, 6)]
     rows += [(300, None, "en", "a"), (301, "123", "en", "a"), (302, rows[3][1].replace(" ", "\n"), "en", "b"), (303, rows[3][1], "en", "b")]
-    docs = write(make(rows, clash=False), tmp_path / "documents.parquet")
+    docs = write(make(rows), tmp_path / "documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "n-gram Jaccard join", "mixing sources to target weights", "packing"]
 
@@ -41,11 +41,24 @@ def test_each_stage_does_its_work(spark, make, words, tmp_path):
 
 def test_run_equals_its_stages_and_reruns_agree(spark, make, words, tmp_path):
     rows = [(d, t, "en", "ab"[d % 3 == 0]) for d, t in near_copies(words, 40, 7)]
-    write(make(rows, clash=False, parts=1), tmp_path / "documents.parquet")
+    write(make(rows, parts=1), tmp_path / "documents.parquet")
     once, again = (collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) for _ in range(2))
     assert sum(n * k[2] for k, n in once.items()) == sum(n * k[2] for k, n in again.items()) and {k[0] for k in once} == {k[0] for k in again}
 
 
 def test_an_empty_corpus_goes_through(spark, make, tmp_path):
-    write(make([], clash=False), tmp_path / "documents.parquet")
+    write(make([]), tmp_path / "documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_null_ids_and_repeated_rows_go_through(spark, make, words, tmp_path):
+    text = {n: words(80, 900 + n) for n in range(4)}
+    rows = [(None, text[0], "en", None), (None, text[0] + " end", "en", None), (1, text[1], "en", None), (1, text[1], "en", None), (2, text[1] + " end", None, "a"), (3, text[2], "en", "a"), (4, text[2] + " ", "en", "a"), (5, text[3] * 200, "en", "a"), (6, "", "en", "a")]
+    docs, want = write(make(rows), tmp_path / "documents.parquet"), {None, 1, 3, 5}
+    stages = list(corpus_pipeline.STAGES)
+    for i, (_, stage) in enumerate(stages[:3]):
+        docs = write(stage(spark, docs, ""), tmp_path / str(i))
+    kept = collections.Counter(r.doc_id for r in docs.collect())
+    assert set(kept) == want and kept[None] == 2 and kept[1] == 1  # nothing tells near copies without an id apart
+    five = write(stages[4][1](spark, write(stages[3][1](spark, docs, ""), tmp_path / "3"), ""), tmp_path / "4").collect()
+    assert {r.doc_id for r in five} <= want
