@@ -1,4 +1,10 @@
-"""A training corpus from raw documents, in stages. Each stage is written as Parquet and read again."""
+"""A training corpus from raw documents, in stages. Each stage is written as Parquet and read again.
+
+Defined results, for all stages: an empty table stays empty; other columns are carried along, whatever their names; very long
+texts are handled whole. Null and empty texts, having no letter, go with the first stage. Of repeated rows (same text and
+doc_id) one stays after exact dedup. Rows with a null doc_id stay unless their text is that of a row with one; among equal texts
+without any doc_id one stays, and near copies without any all do, as nothing names one of them. A null source is a source of its
+own. Reruns keep the same documents."""
 
 from __future__ import annotations
 
