@@ -13,7 +13,8 @@ inside a text gets one more backslash after its first character, so unescaping t
 Defined results: null text and null role are empty strings; a null conv_id is a conversation of its
 own; a null seq comes first; ties in seq go by kind, msg_id, role, text; repeated rows are separate
 events; an empty log gives no conversations. A conversation is one row of the result, so its own length
-bounds what a task holds.
+bounds what a task holds, and very long texts are part of it. Only the named columns are read, so other columns may
+have any names.
 """
 
 from __future__ import annotations

@@ -12,9 +12,9 @@ and as many tables are taken as the target recall needs. Large cells are dealt t
 A pair that meets in several places is counted in the first only, which both members' keys tell.
 
 Defined results: null vectors, zero vectors, and vectors with null or non-finite components link with
-nothing (n_links 0, their own component, kept); vectors of different dimensions aren't linked; an empty table
-gives no rows. vec_id is taken to be a key; rows that repeat a vec_id count as further copies of it. Only
-vec_id and embedding are read.
+nothing (n_links 0, their own component, kept); vectors of different dimensions aren't linked; rows with a null
+vec_id link with nothing, as nothing could name them in a component; an empty table gives no rows. vec_id is taken to be a key; rows that repeat a vec_id count as further copies of it. Only
+vec_id and embedding are read, so other columns may have any names.
 """
 
 from __future__ import annotations

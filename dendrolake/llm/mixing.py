@@ -9,8 +9,8 @@ takes a superset.
 
 Defined results: null text has size 0; null doc_id hashes as the empty string; a null source is a
 source of its own, after all others; rows of one source with equal doc_id are taken together; an
-empty table gives an empty plan and no rows. Only the named columns are read, so extra columns may
-have any names.
+empty table gives an empty plan and no rows; repeated rows count each, and very long texts are counted whole.
+Only the named columns are read, so extra columns may have any names.
 """
 
 from __future__ import annotations

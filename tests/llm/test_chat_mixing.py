@@ -48,6 +48,14 @@ def test_events_fold_deltas_edits_regenerations_and_deletions(spark):
     assert [tuple(r) for r in got] == [(1, "user", "Hello"), (1, "assistant", "good"), (1, "user", "end"), (2, "user", "23")]
 
 
+def test_null_conversations_long_texts_and_clashing_names(spark):
+    rows = [(None, 0, "user", "hi"), (None, 1, "assistant", "x </s> " * 60_000), (None, 1, "assistant", "x"), (1, 0, "assistant", "a"), (1, 0, "assistant", "a")]
+    df = spark.createDataFrame(rows, TURNS)
+    wide = df.withColumns({c: F.lit("x") for c in ("seq", "kind", "msg_id", "at", "opened", "reset", "pos", "tag", "body", "start", "span", "formatted")})
+    extra = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], TURNS)
+    same(chat.digests(wide.unionByName(extra, allowMissingColumns=True)), chat.ORACLE, conversations=df)
+
+
 def test_chat_of_an_empty_log(spark):
     assert chat.digests(spark.createDataFrame([], TURNS)).count() == 0
 

@@ -441,6 +441,14 @@ def test_matched_places_stay_partners(spark, words, monkeypatch):
     assert {r.doc_id for r in got.collect()} == {20 * i + n for i in range(12) for n in range(3)}
 
 
+def test_repeated_rows_are_one_document(make, words):
+    text = " ".join([words(30, 1), words(60, 2), words(30, 3)])
+    alone = windows.repeated_passages(make([(1, text), (1, text), (2, words(100, 4))]))
+    assert alone.count() == 0
+    both = passages_of(windows.repeated_passages(make([(1, text), (1, text), (2, words(20, 5) + " " + words(60, 2))])))
+    assert set(both) == {1, 2}
+
+
 def test_passages_of_nothing(make):
     assert windows.repeated_passages(make([])).count() == 0
 

@@ -62,3 +62,13 @@ def test_no_vectors(spark):
 
 def test_meeting_rate_grows_with_similarity():
     assert lattice.meeting_rate(0.5, 32, cosine=0.97) > lattice.meeting_rate(0.5, 32, cosine=0.9) > lattice.meeting_rate(0.5, 32, cosine=0.5)
+
+
+def test_null_and_repeated_ids_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    v, w = [1.0, 2.0] * 8, [2.0, -1.0] * 8
+    df = spark.createDataFrame([(5, v, 0), (5, v, 1), (7, v, 2), (None, v, 3), (9, w, None), (9, None, None)], VECTORS)
+    df = df.withColumns({c: F.lit("x") for c in ("rep", "dims", "cell", "own", "copies", "h", "g", "near", "links", "node")})
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in lattice.near_duplicates(df).collect()), key=repr)
+    assert got == [(0, 0, None, True), (5, 2, 5, True), (5, 2, 5, True), (7, 2, 5, False), (9, 0, 9, True), (9, 0, 9, True)]
