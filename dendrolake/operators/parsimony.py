@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from ..plans.plan import Dialect, plan
 
+CUT = 4  # levels of a sweep between two checkpoints
+
 
 def fitch_sets(node: DataFrame, tip_state: DataFrame, levels: int | None = None) -> DataFrame:
     """State set and number of changes below each node and site: from the deepest level up, a parent has the
@@ -24,6 +27,7 @@ def fitch_sets(node: DataFrame, tip_state: DataFrame, levels: int | None = None)
             "tree_id", "node", "site", F.when(F.col("common") != 0, F.col("common")).otherwise(F.col("any")).alias("mask"),
             (F.col("below") + F.when(F.col("common") != 0, 0).otherwise(1)).cast("long").alias("score"),
         )
+        merged = cut(merged) if (depth - level) % CUT == CUT - 1 else merged
         out = out.unionByName(merged)
         # the next level up has these nodes and the tips of its own
         current = merged.unionByName(done)
@@ -93,6 +97,7 @@ def fitch_states(node: DataFrame, sets: DataFrame, reference: DataFrame) -> Data
     for d in range(1, depth + 1):
         upper = level.select("tree_id", F.col("node").alias("parent"), "site", F.col("state").alias("above"))
         level = choose(rows.where(F.col("depth") == d).join(upper, ["tree_id", "parent", "site"]))
+        level = cut(level) if d % CUT == 0 else level
         out = out.unionByName(level)
     return out
 
