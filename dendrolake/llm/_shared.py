@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # The white space of the result contracts, as a Java/RE2 class.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's own setting for removing shuffle files when the query that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,9 +36,15 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def cut(self, df: DataFrame, name: str, partitions: tuple[str, ...] = ()) -> DataFrame:
-        """Write df and return a DataFrame that reads it back."""
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(*partitions) if partitions else writer).parquet(self.path(name))
+        """Write df and return a DataFrame that reads it back. Spark then removes the shuffle files of this write, which nobody
+        reads again; otherwise they would stay until the driver happens to collect its garbage."""
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            writer = df.write.mode("overwrite").option("compression", "zstd")
+            (writer.partitionBy(*partitions) if partitions else writer).parquet(self.path(name))
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def _at(self, name: str):
