@@ -28,18 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors."""
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, label: str, tidy: bool = False):
+        """tidy: let Spark remove the shuffle files of each write, which nobody reads again; otherwise they stay until the
+        driver happens to collect its garbage."""
+        self.spark, self.tidy = spark, tidy
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def cut(self, df: DataFrame, name: str, partitions: tuple[str, ...] = ()) -> DataFrame:
-        """Write df and return a DataFrame that reads it back. Spark then removes the shuffle files of this write, which nobody
-        reads again; otherwise they would stay until the driver happens to collect its garbage."""
+        """Write df and return a DataFrame that reads it back."""
         before = self.spark.conf.get(CLEANUP)
-        self.spark.conf.set(CLEANUP, "true")
+        self.spark.conf.set(CLEANUP, "true" if self.tidy else before)
         try:
             writer = df.write.mode("overwrite").option("compression", "zstd")
             (writer.partitionBy(*partitions) if partitions else writer).parquet(self.path(name))
