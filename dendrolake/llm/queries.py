@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, jaccard_join, language_id, lattice, license_scan, mixing, packing, surrogates, windows
+from . import chat, exact_dedup, fill_middle, jaccard_join, language_id, lattice, license_scan, line_dedup, mixing, packing, prefix_trie, surrogates, windows
 from ._shared import table
 
 
@@ -57,6 +57,18 @@ def op10_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_license_scan": op2_license_scan,
@@ -68,6 +80,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_compact_windows": op8_compact_windows,
     "op9_packing": op9_packing,
     "op10_lattice_near_dedup": op10_lattice_near_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_fill_middle": op13_fill_middle,
 }
 
-ORACLE: dict[str, str] = {"op3_ngram_jaccard_join": jaccard_join.ORACLE, "op4_chat_formatting": chat.ORACLE, "op5_source_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+ORACLE: dict[str, str] = {
+    "op3_ngram_jaccard_join": jaccard_join.ORACLE, "op4_chat_formatting": chat.ORACLE, "op5_source_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE, "op12_line_dedup": line_dedup.ORACLE, "op13_fill_middle": fill_middle.ORACLE,
+}
