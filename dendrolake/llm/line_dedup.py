@@ -114,10 +114,15 @@ class Runs:
                 self._remove(x)
 
     def _merged(self, spans: list[tuple[int, int]]) -> DataFrame:
+        """Runs as one, each key once, by merge joins: a union of bucketed tables keeps their partitioning in name only, and
+        grouping it would leave a key once for each run."""
         rows = self.run(spans[0])
         for x in spans[1:]:
-            rows = rows.unionByName(self.run(x))
-        return rows.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
+            other = self.run(x).toDF("o1", "o2", "more", "last").hint("merge")
+            rows = rows.join(other, F.expr("h1 = o1 AND h2 = o2"), "full").selectExpr(
+                "coalesce(h1, o1) AS h1", "coalesce(h2, o2) AS h2", "coalesce(docs, 0) + coalesce(more, 0) AS docs", "greatest(keeper, last) AS keeper"
+            )
+        return rows
 
     def settled(self) -> DataFrame:
         """h1, h2, keeper of the keys in enough documents."""

@@ -105,9 +105,8 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     banded = scratch.cut(bands.select("conv_id", "pos", "k1", "k2", "chars", "band"), "turns", ("band",))
     root = every.agg(F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"), F.count("*").alias("classes"), F.min(F.when(F.col("length") == 0, F.col("conv_id"))).alias("ended"))
     no_id, none = F.lit(None).cast("long"), F.lit(0).cast("long")
-    scratch.cut(root.where("classes > 0").select("conv_id", no_id.alias("parent"), "n_convs", "classes", none.alias("chars"), "ended"), "levels/depth=0")
-    live, depth = members.join(root.select(F.col("conv_id").alias("node")), F.lit(True)), 0  # one row beside all
-    live = live.where("length > 0")
+    top = scratch.cut(root.where("classes > 0").select("conv_id", no_id.alias("parent"), "n_convs", "classes", none.alias("chars"), "ended"), "levels/depth=0").first()
+    live, depth = members.where("length > 0").withColumn("node", F.lit(top.conv_id if top else None).cast("long")), 0
     while not live.isEmpty():
         depth += 1
         turn = banded.where((F.col("band") == depth.bit_length() - 1) & (F.col("pos") == depth)).drop("band", "pos")
