@@ -28,10 +28,11 @@ def branch_join(d: Dialect) -> str:
       SELECT tree_id, joined, site, time, below, lag(time) OVER (PARTITION BY tree_id, joined, site ORDER BY time DESC) AS prev_time FROM x"""
 
 
-@plan("mut")
+@plan("node", "mut")
 def mutation_count(d: Dialect) -> str:
     """Events of a tree, those above the root excluded."""
-    return "SELECT tree_id, count(*) AS mutations, count(DISTINCT site) AS sites FROM {mut} WHERE node > 1 GROUP BY tree_id"
+    return """SELECT m.tree_id, count(*) AS mutations, count(DISTINCT m.site) AS sites FROM {mut} m JOIN {node} n ON n.tree_id = m.tree_id AND n.node = m.node
+      WHERE n.parent IS NOT NULL GROUP BY m.tree_id"""
 
 
 @plan("mut")
@@ -89,7 +90,7 @@ def path_changes(d: Dialect) -> str:
 @plan("mut", "closure", "reference", "node")
 def differing_sites(d: Dialect) -> str:
     """Sites at which each node and its sibling differ."""
-    return f"""WITH {_ENDS}, pair AS (SELECT tree_id, node AS x, node + 1 AS y FROM {{node}} WHERE node % 2 = 0),
+    return f"""WITH {_ENDS}, pair AS (SELECT a.tree_id, a.node AS x, b.node AS y FROM {{node}} a JOIN {{node}} b ON b.tree_id = a.tree_id AND b.parent = a.parent AND a.node < b.node),
       sites AS (SELECT p.tree_id, p.x, p.y, a.site FROM pair p JOIN reached a ON a.tree_id = p.tree_id AND a.node = p.x
         UNION SELECT p.tree_id, p.x, p.y, a.site FROM pair p JOIN reached a ON a.tree_id = p.tree_id AND a.node = p.y)
       SELECT s.tree_id, s.x, s.y, count(*) AS compared, count(*) FILTER (WHERE coalesce(a.state, r.state) <> coalesce(b.state, r.state)) AS differing
@@ -194,11 +195,11 @@ def history_distance(d: Dialect) -> str:
 
 
 @plan("tip_state", "closure", "node")
-def missing_clade_regions(d: Dialect) -> str:
-    """For each tip the highest clades, four levels up at most and below the root, in which a site is missing
+def missing_clade_regions(d: Dialect, levels: int = 4) -> str:
+    """For each tip the highest clades, some levels up at most and below the root, in which a site is missing
     at all tips; sites by clade."""
     return f"""WITH u AS (SELECT c.tree_id, c.ancestor AS node, t.site FROM {{closure}} c JOIN {{tip_state}} t ON t.tree_id = c.tree_id AND t.node = c.node
-        WHERE c.ancestor > 1 GROUP BY c.tree_id, c.ancestor, t.site HAVING min(t.mask) = 15),
+        JOIN {{node}} a ON a.tree_id = c.tree_id AND a.node = c.ancestor AND a.parent IS NOT NULL GROUP BY c.tree_id, c.ancestor, t.site HAVING min(t.mask) = 15),
       top AS (SELECT c.tree_id, c.node AS tip, u.site, max_by(c.ancestor, c.steps) AS clade FROM {{closure}} c JOIN u ON u.tree_id = c.tree_id AND u.node = c.ancestor
-        JOIN {{node}} n ON n.tree_id = c.tree_id AND n.node = c.node AND n.is_leaf WHERE c.steps <= 4 GROUP BY c.tree_id, c.node, u.site)
+        JOIN {{node}} n ON n.tree_id = c.tree_id AND n.node = c.node AND n.is_leaf WHERE c.steps <= {levels} GROUP BY c.tree_id, c.node, u.site)
       SELECT tree_id, tip, clade, {d.collect("site", "site")} AS sites, count(*) AS n FROM top GROUP BY tree_id, tip, clade"""

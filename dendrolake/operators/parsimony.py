@@ -34,10 +34,10 @@ def fitch_sets(node: DataFrame, tip_state: DataFrame, levels: int | None = None)
     return out
 
 
-@plan("fitch")
+@plan("fitch", "node")
 def fitch_scores(d: Dialect) -> str:
     """Changes needed at each site."""
-    return "SELECT tree_id, site, score FROM {fitch} WHERE node = 1"
+    return "SELECT f.tree_id, f.site, f.score FROM {fitch} f JOIN {node} n ON n.tree_id = f.tree_id AND n.node = f.node WHERE n.parent IS NULL"
 
 
 @plan("fitch")

@@ -87,15 +87,16 @@ def hazard_log_density(d: Dialect) -> str:
 
 @plan("node", "closure")
 def clades(d: Dialect) -> str:
-    """Tip sets of the internal nodes but the root."""
-    return f"""SELECT c.tree_id, c.ancestor AS node, count(*) AS size, {d.collect("c.node - n.n_tips", "c.node")} AS clade
-      FROM {{closure}} c JOIN {{node}} n ON n.tree_id = c.tree_id AND n.node = c.node AND n.is_leaf
-      WHERE c.ancestor > 1 GROUP BY c.tree_id, c.ancestor HAVING count(*) > 1"""
+    """Tip sets, as the tips' nodes, of the internal nodes but the root."""
+    return f"""SELECT c.tree_id, c.ancestor AS node, count(*) AS size, {d.collect("c.node", "c.node")} AS clade
+      FROM {{closure}} c JOIN {{node}} n ON n.tree_id = c.tree_id AND n.node = c.node AND n.is_leaf JOIN {{node}} a ON a.tree_id = c.tree_id AND a.node = c.ancestor
+      WHERE a.parent IS NOT NULL GROUP BY c.tree_id, c.ancestor HAVING count(*) > 1"""
 
 
-_RELABELLED = """WITH tips AS (SELECT tree_id, node, node - n_tips AS a, (node - n_tips + 1) % n_tips AS b FROM {node} WHERE is_leaf),
+_RELABELLED = """WITH ranked AS (SELECT tree_id, node, row_number() OVER (PARTITION BY tree_id ORDER BY node) AS nth, count(*) OVER (PARTITION BY tree_id) AS n FROM {node} WHERE is_leaf),
+      tips AS (SELECT tree_id, node, nth - 1 AS a, nth % n AS b FROM ranked),
       sets AS (SELECT c.tree_id, c.ancestor AS node, @A AS a, @B AS b FROM {closure} c JOIN tips t ON t.tree_id = c.tree_id AND t.node = c.node
-        WHERE c.ancestor > 1 GROUP BY c.tree_id, c.ancestor HAVING count(*) > 1)"""
+        JOIN {node} x ON x.tree_id = c.tree_id AND x.node = c.ancestor WHERE x.parent IS NOT NULL GROUP BY c.tree_id, c.ancestor HAVING count(*) > 1)"""
 
 
 @plan("node", "closure")
@@ -125,13 +126,13 @@ def robinson_foulds(one: DataFrame, other: DataFrame, tips: DataFrame, other_tip
 
 @plan("node", "closure")
 def unrooted_splits(d: Dialect) -> str:
-    """Splits of the tips with more than one on both sides, as the side without tip 0."""
-    return f"""WITH tips AS (SELECT tree_id, node, node - n_tips AS tip, n_tips FROM {{node}} WHERE is_leaf),
-      side AS (SELECT c.tree_id, c.ancestor, t.n_tips, count(*) AS size, min(t.tip) AS least FROM {{closure}} c JOIN tips t ON t.tree_id = c.tree_id AND t.node = c.node
-        WHERE c.ancestor > 1 GROUP BY c.tree_id, c.ancestor, t.n_tips HAVING count(*) > 1 AND count(*) < t.n_tips - 1),
-      inside AS (SELECT c.tree_id, c.ancestor, t.tip FROM {{closure}} c JOIN tips t ON t.tree_id = c.tree_id AND t.node = c.node),
+    """Splits of the tips with more than one on both sides, as the side without the tip whose node is smallest."""
+    return f"""WITH tips AS (SELECT tree_id, node AS tip, count(*) OVER (PARTITION BY tree_id) AS n_tips, min(node) OVER (PARTITION BY tree_id) AS first FROM {{node}} WHERE is_leaf),
+      side AS (SELECT c.tree_id, c.ancestor, t.n_tips, count(*) AS size, min(t.tip) = min(t.first) AS has_first FROM {{closure}} c JOIN tips t ON t.tree_id = c.tree_id AND t.tip = c.node
+        JOIN {{node}} a ON a.tree_id = c.tree_id AND a.node = c.ancestor WHERE a.parent IS NOT NULL GROUP BY c.tree_id, c.ancestor, t.n_tips HAVING count(*) > 1 AND count(*) < t.n_tips - 1),
+      inside AS (SELECT c.tree_id, c.ancestor, t.tip FROM {{closure}} c JOIN tips t ON t.tree_id = c.tree_id AND t.tip = c.node),
       member AS (SELECT s.tree_id, s.ancestor, t.tip FROM side s JOIN tips t ON t.tree_id = s.tree_id LEFT JOIN inside i ON i.tree_id = s.tree_id AND i.ancestor = s.ancestor AND i.tip = t.tip
-        WHERE (s.least > 0 AND i.tip IS NOT NULL) OR (s.least = 0 AND i.tip IS NULL))
+        WHERE (NOT s.has_first AND i.tip IS NOT NULL) OR (s.has_first AND i.tip IS NULL))
       SELECT DISTINCT tree_id, split, size FROM (SELECT tree_id, ancestor, {d.collect("tip", "tip")} AS split, count(*) AS size FROM member GROUP BY tree_id, ancestor) x"""
 
 
@@ -154,7 +155,7 @@ def node_ratios(d: Dialect) -> str:
     return """SELECT n.tree_id, n.node, round((n.height - s.oldest_tip) / (p.height - s.oldest_tip), 6) AS over_oldest, round((n.height - s.youngest_tip) / (p.height - s.youngest_tip), 6) AS over_youngest,
         round(n.height / p.height, 6) AS over_zero, round((n.height - s.oldest_tip) / (r.height - s.oldest_tip), 6) AS of_root,
         CAST(length(bin(s.tips)) - 1 AS BIGINT) AS size_class, CAST(least(length(bin((s.mutations + 1) * (s.mutations + 1))) - 1, 59) AS BIGINT) AS mutation_class
-      FROM {node} n JOIN {node} p ON p.tree_id = n.tree_id AND p.node = n.parent JOIN {node} r ON r.tree_id = n.tree_id AND r.node = 1
+      FROM {node} n JOIN {node} p ON p.tree_id = n.tree_id AND p.node = n.parent JOIN {node} r ON r.tree_id = n.tree_id AND r.parent IS NULL
       JOIN {stats} s ON s.tree_id = n.tree_id AND s.node = n.node WHERE NOT n.is_leaf"""
 
 
@@ -184,7 +185,7 @@ def interval_scaled(d: Dialect, factor: float = 1.5) -> str:
 def subtree_choice(d: Dialect) -> str:
     """Weights for choosing a subtree: nodes that are neither the root nor its children; uniform, and by length."""
     return """SELECT n.tree_id, n.node, round(1.0E0 / count(*) OVER (PARTITION BY n.tree_id), 6) AS uniform, round((p.height - n.height) / sum(p.height - n.height) OVER (PARTITION BY n.tree_id), 6) AS by_length
-      FROM {node} n JOIN {node} p ON p.tree_id = n.tree_id AND p.node = n.parent WHERE n.parent > 1"""
+      FROM {node} n JOIN {node} p ON p.tree_id = n.tree_id AND p.node = n.parent WHERE p.parent IS NOT NULL"""
 
 
 # Knots of a piecewise linear log rate, (height, log rate); constant beyond the last.

@@ -3,6 +3,7 @@
 aln(dataset, taxon, site, ch)            embeddings: one character for each component
 taxon(doc_id, header, seq, raw_date)     documents: sequence records with partial dates
 node(tree_id, node, parent, is_leaf, height, n_tips)   customers of a nation are the tips of a heap tree
+leaf_first_node, leaf_first_mut, ...   the same trees and events, leaves numbered first and the root last
 mut(tree_id, node, time, site, old_state, new_state)   lineitem: events on branches, consistent along paths
 ref(site, state), iupac(ch, mask, class), rate, freq   small dimensions
 trace(method, experiment, seed, line_no, sample, value) events: one chain for each method, experiment, seed
@@ -38,6 +39,10 @@ def views(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
     )
     depth = "CAST(length(bin(node)) - 1 AS BIGINT)"
     up = f"shiftright(node, CAST({{k}} AS INT))" if d.spark else "(node >> {k})"
+
+    def leaf_first(n: str) -> str:
+        return f"CASE WHEN {n} >= n_tips THEN {n} - n_tips ELSE 2 * n_tips - 1 - {n} END"
+
     stamp = "o_orderdate"
     partial = f"substring({d.iso(stamp)}, 1, CASE o_orderkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 7 ELSE 10 END)"
     return {
@@ -62,6 +67,11 @@ SELECT concat('AC', CAST(o_custkey AS {d.text}), '.', CAST(1 + o_orderkey % 2 AS
 SELECT tree_id, node, CASE WHEN node > 1 THEN {d.idiv("node", "2")} END AS parent, node >= n_tips AS is_leaf, n_tips, {depth} AS depth,
   CASE WHEN node >= n_tips THEN (node % 4) / 8.0E0 ELSE CAST(length(bin(2 * n_tips - 1)) AS DOUBLE) - {depth} + (node % 4) / 16.0E0 END AS height
 FROM numbered"""),
+        # the same trees with leaves numbered first and the root last
+        "leaf_first_node": (("node",), f"SELECT tree_id, {leaf_first('node')} AS node, {leaf_first('parent')} AS parent, is_leaf, n_tips, depth, height FROM node"),
+        "leaf_first_mut": (("mut", "tips"), f"SELECT m.tree_id, {leaf_first('m.node')} AS node, m.time, m.site, m.old_state, m.new_state FROM mut m JOIN tips t ON t.tree_id = m.tree_id"),
+        "leaf_first_tip_state": (("tip_state", "tips"), f"SELECT s.tree_id, {leaf_first('s.node')} AS node, s.site, s.mask FROM tip_state s JOIN tips t ON t.tree_id = s.tree_id"),
+        "leaf_first_closure": (("closure", "tips"), f"SELECT c.tree_id, {leaf_first('c.node')} AS node, {leaf_first('c.ancestor')} AS ancestor, c.steps FROM closure c JOIN tips t ON t.tree_id = c.tree_id"),
         "ref": ((), d.series("0", "63", "site", "(SELECT 1 AS one) z", "one").replace("SELECT one,", "SELECT CAST(1 AS BIGINT) AS one,")),
         "reference": (("ref",), "SELECT site, (site * 5 + 1) % 4 AS state FROM ref"),
         "raw_events": (("tips",), """
@@ -93,6 +103,14 @@ SELECT tree_id, node, site, time, lag(time) OVER (PARTITION BY tree_id, node, si
 SELECT tree_id, node, site, CASE WHEN (node * 7 + site * 3) % 19 = 0 THEN 15 WHEN (node + site) % 23 = 0 THEN 5
   WHEN (node * 3 + site * 5 + node * site) % 4 = 0 THEN 1 WHEN (node * 3 + site * 5 + node * site) % 4 = 1 THEN 2
   WHEN (node * 3 + site * 5 + node * site) % 4 = 2 THEN 4 ELSE 8 END AS mask FROM (""" + d.series("0", "15", "site", "node WHERE is_leaf", "tree_id, node") + ") s"),
+        # samples of trees over the same tips: three shapes, 30 trees each, whose tips move along
+        "sample_tree": (("node",), d.series("0", "29", "i", "node WHERE tree_id < 3", "tree_id AS run, node, parent, is_leaf, depth, height, n_tips")),
+        "sample_node": (("sample_tree",), "SELECT run * 100 + i AS tree_id, node, parent, is_leaf, n_tips, depth, height FROM sample_tree"),
+        "sampled": (("sample_tree",), "SELECT run * 100 + i AS tree_id, node, run, i, (node - n_tips + i * (1 + i % 7)) % n_tips AS tip FROM sample_tree WHERE is_leaf"),
+        "sample_tip_state": (("sampled",), """
+SELECT tree_id, node, site, CASE WHEN (tip * 7 + site * 3) % 19 = 0 THEN 15 WHEN (tip + site) % 23 = 0 THEN 5 WHEN (tip * 3 + site * 5 + tip * site) % 11 < 5 THEN 1
+  WHEN (tip * 3 + site * 5 + tip * site) % 11 < 8 THEN 2 WHEN (tip * 3 + site * 5 + tip * site) % 11 < 10 THEN 4 ELSE 8 END AS mask FROM (""" + d.series("0", "11", "site", "sampled", "tree_id, node, tip") + ") s"),
+        "weight": (("ref",), "SELECT site, 1 + site % 3 AS weight FROM ref"),
         "trace": ((), f"""
 SELECT event_type AS method, concat('e', CAST(user_id % 3 AS {d.text})) AS experiment, user_id % 5 AS seed, event_id AS line_no,
   1000 * row_number() OVER (PARTITION BY event_type, user_id % 3, user_id % 5 ORDER BY event_id) AS sample, value FROM events"""),

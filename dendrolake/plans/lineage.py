@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 
@@ -16,3 +18,15 @@ def cut(df: DataFrame) -> DataFrame:
             return df
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def by_level(df: DataFrame, column: str) -> DataFrame:
+    """df as a table in that folder, a part for each value of column, so that reading one value reads its rows alone. Without such
+    a folder df as it is."""
+    session = df.sparkSession
+    folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        return df
+    path = f"{folder}/levels-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    return session.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import density, history, kernels, parsimony, records, sequences, traces, tree_samples, trees
+from ..operators import density, history, kernels, parsimony, records, sequences, tip_removal, traces, tree_samples, trees
 from .bindings import views, with_views
 from .plan import ANSI, SPARK, Dialect, Plan
 
@@ -36,6 +36,7 @@ def more_views(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
         "times": of(traces.first_stable),
         "unconstrained": of(history.unconstrained_nodes),
         "pairs": (("node",), "SELECT tree_id, node AS x, node + 1 AS y FROM node WHERE is_leaf AND node + 1 < 2 * n_tips"),
+        "leaf_first_stats": of(trees.subtree_stats, node="leaf_first_node", closure="leaf_first_closure", mut="leaf_first_mut"),
         "one": of(trees.clades),
         "other_clades": (("one",), "SELECT tree_id, replace(clade, '1,2', '1,3') AS clade FROM one"),
         "ess": of(traces.ess_by_lags),
@@ -78,6 +79,8 @@ _register(
     history.state_at_node, history.path_changes, history.differing_sites, history.map_times, history.branch_regions, history.region_weights, history.region_stab,
     history.site_replace, history.time_bounds, history.unconstrained_nodes, history.tip_missing_sites,
 )
+for _p in (history.mutation_count, history.differing_sites, history.missing_clade_regions, trees.clades, trees.rf_distance, trees.unrooted_splits, trees.node_ratios, trees.subtree_choice, parsimony.fitch_scores):
+    QUERIES[f"leaf_first_{_p.name}"] = (_p, {t: t if t == "reference" else f"leaf_first_{t}" for t in _p.tables})
 _register(trees.rf_between, other="other_clades")
 _register(history.set_root_states, sequences.without_gap_columns, traces.mean_by_experiment, traces.stats_join)
 _register(traces.cleaned_trace, trace="merged_trace")
@@ -122,11 +125,16 @@ def domain(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
         if name == "fitch":
             base = domain(spark, sf_dir, "node", "tip_state")
             out[name] = parsimony.fitch_sets(base["node"], base["tip_state"])
+        elif name == "leaf_first_fitch":
+            base = domain(spark, sf_dir, "leaf_first_node", "leaf_first_tip_state")
+            out[name] = parsimony.fitch_sets(base["leaf_first_node"], base["leaf_first_tip_state"])
+        elif name == "leaf_first_closure":
+            out[name] = trees.ancestor_closure(domain(spark, sf_dir, "leaf_first_node")["leaf_first_node"])
         elif name == "closure":
             # plans read it several times
             out[name] = trees.ancestor_closure(domain(spark, sf_dir, "node")["node"]).persist()
         elif name == "fitch_roots":
-            out[name] = domain(spark, sf_dir, "fitch")["fitch"].where("node = 1").select("tree_id", "site", "score")
+            out[name] = parsimony.fitch_scores(**domain(spark, sf_dir, "fitch", "node"))
         elif name == "trajectory":
             out[name] = traces.ess_trajectory(domain(spark, sf_dir, "trace")["trace"])
         elif name in known:
@@ -159,7 +167,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def parsimony_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         return parsimony.parsimony_events(domain(spark, sf_dir, "node")["node"], fitch_states(spark, sf_dir))
 
-    return out | {"fitch_states": fitch_states, "parsimony_events": parsimony_events}
+    def removal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = domain(spark, sf_dir, "node", "tip_state")
+        return tip_removal.removal_scores(t["node"], t["tip_state"])
+
+    def removal_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = domain(spark, sf_dir, "sample_node", "sample_tip_state", "sampled", "weight")
+        removed = tip_removal.removal_scores(t["sample_node"], t["sample_tip_state"])
+        return tip_removal.removal_trace.given(burnin=0.1, thinning=2)(removed=removed, sampled=t["sampled"], weight=t["weight"])
+
+    def tip_removal_ess(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return tip_removal.tip_removal_ess(removal_trace(spark, sf_dir))
+
+    return out | {"fitch_states": fitch_states, "parsimony_events": parsimony_events, "removal_scores": removal_scores, "tip_removal_ess": tip_removal_ess}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -171,12 +191,19 @@ def oracle_sql() -> dict[str, str]:
         heads = [f"{x} AS ({known[x][1]})" for x in order]
         if {"fitch", "fitch_roots"} & set(names):
             heads += [f"{x} AS ({known[x][1]})" for x in _needs(("node", "tip_state"), known) if x not in order] + [parsimony.fitch_text(ANSI)]
-            heads.append("fitch_roots AS (SELECT tree_id, site, score FROM fitch WHERE node = 1)")
+            heads += [f"{x} AS ({known[x][1]})" for x in _needs(("node",), known) if not any(h.startswith(f"{x} AS") for h in heads)]
+            heads.append(f"fitch_roots AS ({parsimony.fitch_scores.text(ANSI).format(fitch='fitch', node='node')})")
         if "trajectory" in names:
             heads += [f"trace AS ({known['trace'][1]})"] * ("trace" not in order) + [f"trajectory AS ({traces.trajectory_text().format(trace='trace')})"]
         return f"WITH {', '.join(heads)} SELECT * FROM ({body}) final_rows" if heads else body
 
-    out = {name: text(tuple(names.values()), p.text(ANSI).format(**names)) for name, (p, names) in QUERIES.items()}
+    out = {name: text(tuple(names.values()), p.text(ANSI).format(**names)) for name, (p, names) in QUERIES.items() if name != "leaf_first_fitch_scores"}
+    out["leaf_first_fitch_scores"] = out["fitch_scores"]  # scores don't depend on how nodes are numbered
     out["ess_trajectory"] = text(("trajectory",), "SELECT * FROM trajectory")
+    out["removal_scores"] = text(("node", "tip_state"), tip_removal.removal_text())
+    of_samples = tip_removal.removal_text().replace("tip_state t", "sample_tip_state t").replace(" node n ", " sample_node n ").replace("FROM node", "FROM sample_node")
+    series = tip_removal.removal_trace.given(burnin=0.1, thinning=2).text(ANSI).format(removed=f"({of_samples})", sampled="sampled", weight="weight")
+    by_lags = traces.ess_by_lags.text(ANSI)
+    out["tip_removal_ess"] = text(("sample_node", "sample_tip_state", "sampled", "weight"), f"WITH series AS ({series}) {tip_removal.removal_ess_text('series', lambda source: by_lags.format(trace=source))}")
     out["fitch_states"] = text(("node", "fitch", "reference"), parsimony.fitch_states_text())
     return out
