@@ -59,10 +59,10 @@ def removal_text(levels: int = 24) -> str:
 @plan("removed", "sampled", "weight")
 def removal_trace(d: Dialect, burnin: float = 0.1, thinning: int = 1) -> str:
     """For each run and tip the scores of its trees, in order: run, tip, sample, whole, without. removed: of removal_scores;
-    sampled(tree_id, node, run, i, tip): which tip a node of a tree is, and which tree of its run that is; weight(site, weight). The
-    first part of a run is left out, of the others every thinning-th tree is taken."""
+    sampled(tree_id, node, run, i, tip): which tip a node of a tree is, and which tree of its run that is; weight(site, weight). The first
+    part of a run is left out, of the others every thinning-th tree is taken. Rounded, as sums in another order aren't a change."""
     return f"""WITH n AS (SELECT run, max(i) + 1 AS n FROM {{sampled}} GROUP BY run),
-      s AS (SELECT s.run, s.tip, s.i, CAST(sum(r.score * w.weight) AS DOUBLE) AS whole, CAST(sum(r.without * w.weight) AS DOUBLE) AS without
+      s AS (SELECT s.run, s.tip, s.i, round(CAST(sum(r.score * w.weight) AS DOUBLE), 9) AS whole, round(CAST(sum(r.without * w.weight) AS DOUBLE), 9) AS without
         FROM {{removed}} r JOIN {{sampled}} s ON s.tree_id = r.tree_id AND s.node = r.node JOIN {{weight}} w ON w.site = r.site GROUP BY s.run, s.tip, s.i),
       x AS (SELECT s.run, s.tip, s.whole, s.without, s.i - CAST(floor({burnin!r} * n.n) AS BIGINT) AS k FROM s JOIN n ON n.run = s.run)
       SELECT run, tip, {d.idiv("k", str(thinning))} AS sample, whole, without FROM x WHERE k >= 0 AND k % {thinning} = 0"""
@@ -91,7 +91,7 @@ def removal_ess_text(trace: str, by_lags) -> str:
     """The same for a second engine. by_lags: the text of the sizes by a join of lags, over a table."""
     def sizes(column: str) -> str:
         source = f"(SELECT CAST(run AS VARCHAR) AS method, CAST(tip AS VARCHAR) AS experiment, 0 AS seed, sample, {column} AS value FROM {trace})"
-        return f"SELECT CAST(method AS BIGINT) AS run, CAST(experiment AS BIGINT) AS tip, CASE WHEN NOT isnan(tracer) THEN tracer END AS ess FROM ({by_lags(source)}) z"
+        return f"SELECT CAST(method AS BIGINT) AS run, CAST(experiment AS BIGINT) AS tip, tracer AS ess FROM ({by_lags(source)}) z"
 
     return f"""SELECT t.run, t.tip, t.samples, a.ess AS full_ess, b.ess AS removed_ess, b.ess - a.ess AS ess_change, t.full_mean, t.removed_mean
       FROM (SELECT run, tip, count(*) AS samples, round(avg(whole), 6) AS full_mean, round(avg(without), 6) AS removed_mean FROM {trace} GROUP BY run, tip) t

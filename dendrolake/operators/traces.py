@@ -41,10 +41,12 @@ def prefix_points(d: Dialect) -> str:
 
 
 def autocovariances(values, lags: int):
-    """Mean-corrected autocovariances of all lags below `lags`, from one transform."""
+    """Mean-corrected autocovariances of all lags below `lags`, from one transform. They don't depend on where zero is; from
+    the first value on, a constant chain has exactly none."""
     import numpy as np
 
     x = np.asarray(values, float)
+    x = x - x[0]
     n, mean = len(x), x.mean()
     spectrum = np.fft.rfft(x, 1 << (2 * n - 1).bit_length())
     products = np.fft.irfft(spectrum * spectrum.conj())[:lags]
@@ -158,18 +160,26 @@ def trace_ess(trace: DataFrame) -> DataFrame:
     return trace.groupBy(*columns).applyInPandas(of_chain, "method string, experiment string, seed long, n long, tracer double, geyer double, rank_split double")
 
 
+def tracer_ess(trace: DataFrame) -> DataFrame:
+    """method, experiment, seed, n, tracer: the size of each chain alone; null of a constant."""
+    sizes = trace_ess(trace)
+    return sizes.selectExpr("method", "experiment", "seed", "n", "CASE WHEN NOT isnan(tracer) THEN tracer END AS tracer")
+
+
 @plan("trace")
 def ess_by_lags(d: Dialect) -> str:
-    """Effective sample size by a join of lags, for short chains: pairs of lags are added while positive."""
+    """Effective sample size by a join of lags, for short chains: pairs of lags are added while positive; null of a constant."""
     return f"""WITH t AS (SELECT {CHAIN}, value, row_number() OVER (PARTITION BY {CHAIN} ORDER BY sample) - 1 AS i FROM {{trace}}),
-      m AS (SELECT {CHAIN}, count(*) AS n, avg(value) AS m FROM t GROUP BY {CHAIN}),
+      m AS (SELECT {CHAIN}, count(*) AS n, avg(value) AS m, min(value) < max(value) AS varies FROM t GROUP BY {CHAIN}),
       c AS (SELECT t.method, t.experiment, t.seed, m.n, t.i, t.value - m.m AS v FROM t JOIN m ON t.method = m.method AND t.experiment = m.experiment AND t.seed = m.seed),
       a AS (SELECT x.method, x.experiment, x.seed, y.i - x.i AS lag, min(x.n) AS n, sum(x.v * y.v) / count(*) AS a
         FROM c x JOIN c y ON x.method = y.method AND x.experiment = y.experiment AND x.seed = y.seed AND y.i >= x.i AND y.i - x.i < {MAX_LAG} GROUP BY x.method, x.experiment, x.seed, y.i - x.i),
       p AS (SELECT {CHAIN}, {d.idiv("lag + 1", "2")} AS pair, min(n) AS n, sum(a) AS s, count(*) AS lags FROM a GROUP BY {CHAIN}, {d.idiv("lag + 1", "2")}),
-      stop AS (SELECT {CHAIN}, min(CASE WHEN pair > 0 AND (s <= 0 OR lags < 2) THEN pair END) AS stop_pair FROM p GROUP BY {CHAIN})
-      SELECT p.method, p.experiment, p.seed, min(p.n) AS n, round(min(p.n) / ((max(CASE WHEN pair = 0 THEN s END) + 2 * sum(CASE WHEN pair > 0 AND (stop_pair IS NULL OR pair < stop_pair) THEN s ELSE 0 END)) / max(CASE WHEN pair = 0 THEN s END)), 6) AS tracer
-      FROM p JOIN stop ON p.method = stop.method AND p.experiment = stop.experiment AND p.seed = stop.seed GROUP BY p.method, p.experiment, p.seed"""
+      stop AS (SELECT {CHAIN}, min(CASE WHEN pair > 0 AND (s <= 0 OR lags < 2) THEN pair END) AS stop_pair FROM p GROUP BY {CHAIN}),
+      e AS (SELECT p.method, p.experiment, p.seed, min(p.n) AS n, max(CASE WHEN pair = 0 THEN s END) AS zero, 2 * sum(CASE WHEN pair > 0 AND (stop_pair IS NULL OR pair < stop_pair) THEN s ELSE 0 END) AS later
+        FROM p JOIN stop ON p.method = stop.method AND p.experiment = stop.experiment AND p.seed = stop.seed GROUP BY p.method, p.experiment, p.seed)
+      SELECT e.method, e.experiment, e.seed, e.n, CASE WHEN m.varies THEN round(e.n / ((e.zero + e.later) / e.zero), 6) END AS tracer
+      FROM e JOIN m ON m.method = e.method AND m.experiment = e.experiment AND m.seed = e.seed"""
 
 
 TRAJECTORY = "method string, experiment string, seed long, upto long, sample long, ess double"

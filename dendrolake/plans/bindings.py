@@ -106,11 +106,11 @@ SELECT tree_id, node, site, CASE WHEN (node * 7 + site * 3) % 19 = 0 THEN 15 WHE
         # samples of trees over the same tips: three shapes, 30 trees each, whose tips move along
         "sample_tree": (("node",), d.series("0", "29", "i", "node WHERE tree_id < 3", "tree_id AS run, node, parent, is_leaf, depth, height, n_tips")),
         "sample_node": (("sample_tree",), "SELECT run * 100 + i AS tree_id, node, parent, is_leaf, n_tips, depth, height FROM sample_tree"),
-        "sampled": (("sample_tree",), "SELECT run * 100 + i AS tree_id, node, run, i, (node - n_tips + i * (1 + i % 7)) % n_tips AS tip FROM sample_tree WHERE is_leaf"),
+        "sampled": (("sample_tree",), f"SELECT run * 100 + i AS tree_id, node, run, i, (node - n_tips + {d.hash32(f'CAST(i AS {d.text})')}) % n_tips AS tip FROM sample_tree WHERE is_leaf"),
         "sample_tip_state": (("sampled",), """
 SELECT tree_id, node, site, CASE WHEN (tip * 7 + site * 3) % 19 = 0 THEN 15 WHEN (tip + site) % 23 = 0 THEN 5 WHEN (tip * 3 + site * 5 + tip * site) % 11 < 5 THEN 1
   WHEN (tip * 3 + site * 5 + tip * site) % 11 < 8 THEN 2 WHEN (tip * 3 + site * 5 + tip * site) % 11 < 10 THEN 4 ELSE 8 END AS mask FROM (""" + d.series("0", "11", "site", "sampled", "tree_id, node, tip") + ") s"),
-        "weight": (("ref",), "SELECT site, 1 + site % 3 AS weight FROM ref"),
+        "weight": (("ref",), "SELECT site, 1 + 0.37E0 * (site * site % 7) + 0.0113E0 * (site * 5 % 13) AS weight FROM ref"),
         "trace": ((), f"""
 SELECT event_type AS method, concat('e', CAST(user_id % 3 AS {d.text})) AS experiment, user_id % 5 AS seed, event_id AS line_no,
   1000 * row_number() OVER (PARTITION BY event_type, user_id % 3, user_id % 5 ORDER BY event_id) AS sample, value FROM events"""),

@@ -28,7 +28,7 @@ class Dialect:
         return "STRING" if self.spark else "VARCHAR"
 
     def idiv(self, a: str, b: str) -> str:
-        return f"({a} div {b})" if self.spark else f"({a} // {b})"
+        return f"(({a}) div ({b}))" if self.spark else f"(({a}) // ({b}))"
 
     def series(self, lo: str, hi: str, name: str, source: str, keep: str) -> str:
         """Rows of `source` with its columns `keep`, once for every number lo..hi as `name`."""

@@ -156,6 +156,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     out = {name: runner(*x) for name, x in QUERIES.items()}
     out["trace_ess"] = lambda spark, sf_dir: traces.trace_ess(domain(spark, sf_dir, "trace")["trace"])
+    out["tracer_ess"] = lambda spark, sf_dir: traces.tracer_ess(domain(spark, sf_dir, "trace")["trace"])
     out["tree_ess"] = lambda spark, sf_dir: tree_samples.tree_ess(domain(spark, sf_dir, "tree_log")["tree_log"])
     out["merged_intervals"] = lambda spark, sf_dir: tree_samples.merged_intervals(domain(spark, sf_dir, "node")["node"])
     out["ess_trajectory"] = lambda spark, sf_dir: domain(spark, sf_dir, "trajectory")["trajectory"]
@@ -200,6 +201,7 @@ def oracle_sql() -> dict[str, str]:
     out = {name: text(tuple(names.values()), p.text(ANSI).format(**names)) for name, (p, names) in QUERIES.items() if name != "leaf_first_fitch_scores"}
     out["leaf_first_fitch_scores"] = out["fitch_scores"]  # scores don't depend on how nodes are numbered
     out["ess_trajectory"] = text(("trajectory",), "SELECT * FROM trajectory")
+    out["tracer_ess"] = out["ess_by_lags"]
     out["removal_scores"] = text(("node", "tip_state"), tip_removal.removal_text())
     of_samples = tip_removal.removal_text().replace("tip_state t", "sample_tip_state t").replace(" node n ", " sample_node n ").replace("FROM node", "FROM sample_node")
     series = tip_removal.removal_trace.given(burnin=0.1, thinning=2).text(ANSI).format(removed=f"({of_samples})", sampled="sampled", weight="weight")
