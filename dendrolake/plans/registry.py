@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import density, history, kernels, parsimony, records, sequences, tip_removal, traces, tree_samples, trees
+from ..operators import density, history, kernels, neighbours, parsimony, records, sequences, tip_removal, traces, tree_samples, trees
 from .bindings import views, with_views
 from .plan import ANSI, SPARK, Dialect, Plan
 
@@ -31,6 +31,8 @@ def more_views(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
             concat(CAST(3 + l_linenumber AS {d.text}), 'M', CAST(1 + l_suppkey % 2 AS {d.text}), 'I', CAST(1 + l_partkey % 3 AS {d.text}), 'D', '9M') AS cigar
             FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_linenumber) l"""),
         "weighted": ((), "SELECT l_orderkey AS grp, CAST(l_linenumber AS BIGINT) AS item, sum(l_quantity) AS weight FROM lineitem GROUP BY l_orderkey, l_linenumber"),
+        "few_sites": (("masked",), "SELECT dataset % 2 AS dataset, taxon, site, mask, class FROM masked WHERE site < 7"),
+        "base": of(sequences.base_sequence, masked="few_sites"),
         "regions": of(history.branch_regions),
         "stats": of(trees.subtree_stats),
         "times": of(traces.first_stable),
@@ -180,6 +182,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def tip_removal_ess(spark: SparkSession, sf_dir: str) -> DataFrame:
         return tip_removal.tip_removal_ess(removal_trace(spark, sf_dir))
 
+    def close_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = domain(spark, sf_dir, "few_sites", "base")
+        return neighbours.close_classes(t["few_sites"], t["base"])
+
+    def classes_two_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = domain(spark, sf_dir, "few_sites", "base")
+        return neighbours.close_classes(t["few_sites"], t["base"], 2)
+
+    def tip_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = domain(spark, sf_dir, "few_sites", "base")
+        return neighbours.tip_neighbours(t["few_sites"], t["base"])
+
+    out |= {"close_classes": close_classes, "classes_two_apart": classes_two_apart, "tip_neighbours": tip_neighbours}
     return out | {"fitch_states": fitch_states, "parsimony_events": parsimony_events, "removal_scores": removal_scores, "tip_removal_ess": tip_removal_ess}
 
 
@@ -201,6 +216,9 @@ def oracle_sql() -> dict[str, str]:
     out = {name: text(tuple(names.values()), p.text(ANSI).format(**names)) for name, (p, names) in QUERIES.items() if name != "leaf_first_fitch_scores"}
     out["leaf_first_fitch_scores"] = out["fitch_scores"]  # scores don't depend on how nodes are numbered
     out["ess_trajectory"] = text(("trajectory",), "SELECT * FROM trajectory")
+    for name, most in (("close_classes", 1), ("classes_two_apart", 2)):
+        out[name] = text(("few_sites", "base"), f"WITH {neighbours.close_text(most).replace('FROM masked m', 'FROM few_sites m')} SELECT dataset, a, b, distance FROM close")
+    out["tip_neighbours"] = text(("few_sites", "base"), neighbours.neighbours_text(1).replace("FROM masked m", "FROM few_sites m"))
     out["tracer_ess"] = out["ess_by_lags"]
     out["removal_scores"] = text(("node", "tip_state"), tip_removal.removal_text())
     of_samples = tip_removal.removal_text().replace("tip_state t", "sample_tip_state t").replace(" node n ", " sample_node n ").replace("FROM node", "FROM sample_node")
