@@ -110,6 +110,7 @@ SELECT tree_id, node, site, CASE WHEN (node * 7 + site * 3) % 19 = 0 THEN 15 WHE
         "sample_tip_state": (("sampled",), """
 SELECT tree_id, node, site, CASE WHEN (tip * 7 + site * 3) % 19 = 0 THEN 15 WHEN (tip + site) % 23 = 0 THEN 5 WHEN (tip * 3 + site * 5 + tip * site) % 11 < 5 THEN 1
   WHEN (tip * 3 + site * 5 + tip * site) % 11 < 8 THEN 2 WHEN (tip * 3 + site * 5 + tip * site) % 11 < 10 THEN 4 ELSE 8 END AS mask FROM (""" + d.series("0", "11", "site", "sampled", "tree_id, node, tip") + ") s"),
+        "site_category": (("ref",), "SELECT site, (site * 7 + 3) % 4 AS category FROM ref"),
         "weight": (("ref",), "SELECT site, 1 + 0.37E0 * (site * site % 7) + 0.0113E0 * (site * 5 % 13) AS weight FROM ref"),
         "trace": ((), f"""
 SELECT event_type AS method, concat('e', CAST(user_id % 3 AS {d.text})) AS experiment, user_id % 5 AS seed, event_id AS line_no,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import density, history, kernels, neighbours, parsimony, records, sequences, tip_removal, traces, tree_samples, trees
+from ..operators import density, history, kernels, likelihood, neighbours, parsimony, records, sequences, tip_removal, traces, tree_samples, trees
 from .bindings import views, with_views
 from .plan import ANSI, SPARK, Dialect, Plan
 
@@ -31,6 +31,8 @@ def more_views(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
             concat(CAST(3 + l_linenumber AS {d.text}), 'M', CAST(1 + l_suppkey % 2 AS {d.text}), 'I', CAST(1 + l_partkey % 3 AS {d.text}), 'D', '9M') AS cigar
             FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_linenumber) l"""),
         "weighted": ((), "SELECT l_orderkey AS grp, CAST(l_linenumber AS BIGINT) AS item, sum(l_quantity) AS weight FROM lineitem GROUP BY l_orderkey, l_linenumber"),
+        "branch_sums": of(likelihood.branch_stats),
+        "ends": (("tip_state", "reference"), "SELECT t.tree_id, t.node, t.site, t.mask, CAST(r.state AS BIGINT) AS start_state, CAST(length(bin(t.mask & -t.mask)) - 1 AS BIGINT) AS end_state FROM tip_state t JOIN reference r ON r.site = t.site"),
         "few_sites": (("masked",), "SELECT dataset % 2 AS dataset, taxon, site, mask, class FROM masked WHERE site < 7"),
         "base": of(sequences.base_sequence, masked="few_sites"),
         "regions": of(history.branch_regions),
@@ -84,6 +86,9 @@ _register(
 for _p in (history.mutation_count, history.differing_sites, history.missing_clade_regions, trees.clades, trees.rf_distance, trees.unrooted_splits, trees.node_ratios, trees.subtree_choice, parsimony.fitch_scores):
     QUERIES[f"leaf_first_{_p.name}"] = (_p, {t: t if t == "reference" else f"leaf_first_{t}" for t in _p.tables})
 _register(trees.rf_between, other="other_clades")
+_register(likelihood.branch_stats, likelihood.path_density, likelihood.compatible_end_density)
+_register(likelihood.hybrid_branch_density, stats="branch_sums")
+_register(likelihood.rounded_partials, likelihood.site_likelihood)
 _register(history.set_root_states, sequences.without_gap_columns, traces.mean_by_experiment, traces.stats_join)
 _register(traces.cleaned_trace, trace="merged_trace")
 _register(parsimony.fitch_site_filter, scores="fitch_roots")
@@ -137,6 +142,9 @@ def domain(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
             out[name] = trees.ancestor_closure(domain(spark, sf_dir, "node")["node"]).persist()
         elif name == "fitch_roots":
             out[name] = parsimony.fitch_scores(**domain(spark, sf_dir, "fitch", "node"))
+        elif name == "partials":
+            t = domain(spark, sf_dir, "node", "tip_state", "branch_rate", "site_category")
+            out[name] = likelihood.partial_likelihoods(t["node"], t["tip_state"], t["branch_rate"], t["site_category"])
         elif name == "trajectory":
             out[name] = traces.ess_trajectory(domain(spark, sf_dir, "trace")["trace"])
         elif name in known:
@@ -194,7 +202,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         t = domain(spark, sf_dir, "few_sites", "base")
         return neighbours.tip_neighbours(t["few_sites"], t["base"])
 
-    out |= {"close_classes": close_classes, "classes_two_apart": classes_two_apart, "tip_neighbours": tip_neighbours}
+    def history_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return likelihood.history_density(**domain(spark, sf_dir, "node", "mut", "reference", "branch_rate", "site_category"))
+
+    out |= {"history_density": history_density, "close_classes": close_classes, "classes_two_apart": classes_two_apart, "tip_neighbours": tip_neighbours}
     return out | {"fitch_states": fitch_states, "parsimony_events": parsimony_events, "removal_scores": removal_scores, "tip_removal_ess": tip_removal_ess}
 
 
@@ -209,6 +220,8 @@ def oracle_sql() -> dict[str, str]:
             heads += [f"{x} AS ({known[x][1]})" for x in _needs(("node", "tip_state"), known) if x not in order] + [parsimony.fitch_text(ANSI)]
             heads += [f"{x} AS ({known[x][1]})" for x in _needs(("node",), known) if not any(h.startswith(f"{x} AS") for h in heads)]
             heads.append(f"fitch_roots AS ({parsimony.fitch_scores.text(ANSI).format(fitch='fitch', node='node')})")
+        if "partials" in names:
+            heads += [f"{x} AS ({known[x][1]})" for x in _needs(("node", "tip_state", "branch_rate", "site_category"), known) if x not in order] + [f"partials AS ({likelihood.partials_text()})"]
         if "trajectory" in names:
             heads += [f"trace AS ({known['trace'][1]})"] * ("trace" not in order) + [f"trajectory AS ({traces.trajectory_text().format(trace='trace')})"]
         return f"WITH {', '.join(heads)} SELECT * FROM ({body}) final_rows" if heads else body
@@ -219,6 +232,7 @@ def oracle_sql() -> dict[str, str]:
     for name, most in (("close_classes", 1), ("classes_two_apart", 2)):
         out[name] = text(("few_sites", "base"), f"WITH {neighbours.close_text(most).replace('FROM masked m', 'FROM few_sites m')} SELECT dataset, a, b, distance FROM close")
     out["tip_neighbours"] = text(("few_sites", "base"), neighbours.neighbours_text(1).replace("FROM masked m", "FROM few_sites m"))
+    out["history_density"] = text(("node", "mut", "reference", "branch_rate", "site_category"), likelihood.history_text())
     out["tracer_ess"] = out["ess_by_lags"]
     out["removal_scores"] = text(("node", "tip_state"), tip_removal.removal_text())
     of_samples = tip_removal.removal_text().replace("tip_state t", "sample_tip_state t").replace(" node n ", " sample_node n ").replace("FROM node", "FROM sample_node")

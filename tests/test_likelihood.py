@@ -1,0 +1,125 @@
+"""Likelihoods and densities against plain enumeration."""
+
+import itertools
+import math
+import random
+
+import numpy as np
+import pytest
+
+from dendrolake.functions.ctmc import hky, transition
+from dendrolake.operators import likelihood
+
+from .test_plans import tree
+
+PARENTS, HEIGHTS = {6: None, 5: 6, 4: 6, 0: 4, 1: 4, 2: 5, 3: 5}, {6: 3.0, 5: 1.0, 4: 2.0, 0: 0.0, 1: 0.5, 2: 0.0, 3: 0.25}
+MUT = "tree_id long, node long, time double, site long, old_state long, new_state long"
+Q, PI, RATES = hky(likelihood.FREQUENCIES, likelihood.KAPPA), likelihood.FREQUENCIES, likelihood.CATEGORY_RATES
+
+
+def branch_rate(n):
+    return 0.25 + n / 8
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return {
+        "node": tree(spark, PARENTS, HEIGHTS), "branch_rate": spark.createDataFrame([(1, n, branch_rate(n)) for n in PARENTS], "tree_id long, node long, rate double"),
+        "site_category": spark.createDataFrame([(s, s % 4) for s in range(8)], "site long, category long"), "reference": spark.createDataFrame([(s, s % 4) for s in range(8)], "site long, state long"),
+    }
+
+
+def p(n, site):
+    return transition(Q, (HEIGHTS[PARENTS[n]] - HEIGHTS[n]) * branch_rate(n) * RATES[site % 4])
+
+
+def test_likelihood_equals_the_sum_over_all_inner_states(spark, tables):
+    rng = random.Random(2)
+    masks = {(t, s): rng.choice([1, 2, 4, 8, 5, 15]) for t in range(4) for s in range(8)}
+    masks |= {(0, 7): 15, (1, 7): 15, (t := 2, 6): 15}
+    tips = spark.createDataFrame([(1, t, s, m) for (t, s), m in masks.items()], "tree_id long, node long, site long, mask int")
+    partials = likelihood.partial_likelihoods(tables["node"], tips, tables["branch_rate"], tables["site_category"])
+    got = {r.site: r.log_likelihood for r in likelihood.site_likelihood(partials=partials, node=tables["node"]).collect()}
+    for s in range(8):
+        total = 0.0
+        for four, five, six in itertools.product(range(4), repeat=3):
+            at = {4: four, 5: five, 6: six}
+            chance = PI[six] * p(4, s)[six, four] * p(5, s)[six, five]
+            for t in range(4):
+                chance *= sum(p(t, s)[at[PARENTS[t]], x] for x in range(4) if masks[t, s] >> x & 1)
+            total += chance
+        assert got[s] == pytest.approx(math.log(total), abs=2e-5)
+    rows = {(r.node, r.site): r for r in partials.collect()}
+    assert (4, 7) not in rows and (0, 7) not in rows and max(rows[6, 7][f"p{k}"] for k in range(4)) == 1.0
+
+
+def test_partials_of_large_trees_do_not_vanish(spark):
+    n = 600  # a chain with a tip at each node
+    parents = {0: None} | {2 * i + k: 2 * i - 2 for i in range(1, n) for k in (0, 1)}
+    depth = {0: 0} | {2 * i + k: i for i in range(1, n) for k in (0, 1)}
+    shallow = {k: v for k, v in depth.items() if v <= 40}
+    node = tree(spark, {k: parents[k] for k in shallow}, {k: 100.0 - v for k, v in shallow.items()})
+    inner = {parents[k] for k in shallow}
+    tips = spark.createDataFrame([(1, k, 0, 1 << k % 4) for k in shallow if k not in inner], "tree_id long, node long, site long, mask int")
+    rate = spark.createDataFrame([(1, k, 9.0) for k in shallow], "tree_id long, node long, rate double")
+    partials = likelihood.partial_likelihoods(node, tips, rate, spark.createDataFrame([(0, 3)], "site long, category long"))
+    value = likelihood.site_likelihood(partials=partials, node=node).first().log_likelihood
+    assert value == pytest.approx(sum(math.log(PI[k % 4]) for k in shallow if k not in inner), abs=0.01)
+
+
+EVENTS = [(4, 2.5, 0, 0, 1), (4, 2.25, 0, 1, 2), (0, 1.5, 0, 2, 3), (5, 2.0, 1, 1, 3), (5, 1.5, 1, 3, 1), (2, 0.5, 1, 1, 0), (6, 3.0, 2, 2, 0), (3, 0.5, 5, 1, 2), (1, 1.0, 3, 3, 0)]
+
+
+def paths():
+    """(node, site) -> first state, last state, log density of the path without any condition."""
+    state = {(6, s): s % 4 for s in range(8)}
+    state[6, 2] = 0
+    out = {}
+    for n in (4, 5, 0, 1, 2, 3):
+        for s in range(8):
+            scale, at, now, d = branch_rate(n) * RATES[s % 4], HEIGHTS[PARENTS[n]], state[PARENTS[n], s], 0.0
+            first = now
+            for _, time, _, old, new in sorted((e for e in EVENTS if e[0] == n and e[2] == s), key=lambda e: -e[1]):
+                assert old == now
+                d += scale * Q[now, now] * (at - time) + math.log(scale * Q[old, new])
+                at, now = time, new
+            d += scale * Q[now, now] * (at - HEIGHTS[n])
+            state[n, s] = now
+            out[n, s] = first, now, d
+    return out, state
+
+
+def test_densities_of_paths_branches_and_sites(spark, tables):
+    mut = spark.createDataFrame([(1, *e) for e in EVENTS], MUT)
+    plain, state = paths()
+    changed = {(n, s) for n, _, s, _, _ in EVENTS if n != 6}
+    got = {(r.node, r.site): r.log_density for r in likelihood.path_density(mut=mut, **{k: tables[k] for k in ("node", "branch_rate", "site_category")}).collect()}
+    assert got == {k: pytest.approx(plain[k][2] - math.log(p(*k)[plain[k][0], plain[k][1]]), abs=1e-5) for k in changed}
+    whole = {r.site: (r.events, r.log_density) for r in likelihood.history_density(mut=mut, **tables).collect()}
+    for s in range(8):
+        want = math.log(PI[state[6, s]]) + sum(plain[n, s][2] for n in range(6))
+        assert whole[s] == (sum(e[2] == s and e[0] != 6 for e in EVENTS), pytest.approx(want, abs=2e-5))
+    stats = likelihood.branch_stats(node=tables["node"], mut=mut, site_category=tables["site_category"])
+    hybrid = {r.node: r for r in likelihood.hybrid_branch_density(stats=stats, **{k: tables[k] for k in ("site_category", "node", "branch_rate")}).collect()}
+    for n in range(6):
+        want = 0.0
+        for s in range(8):
+            t = HEIGHTS[PARENTS[n]] - HEIGHTS[n]
+            scale = branch_rate(n) * RATES[s % 4]
+            stay = np.exp(scale * np.diag(Q) * t)
+            keep = np.diag(p(n, s))
+            chance = min(1.0, float(sum(PI[i] * (keep[i] - stay[i]) / keep[i] for i in range(4))))
+            a, z, d = plain[n, s]
+            if (n, s) in changed:
+                want += d - math.log(p(n, s)[a, z]) if a != z else d - math.log(keep[a] - stay[a]) + math.log(chance)
+            else:
+                want += math.log1p(-chance)
+        assert hybrid[n].log_density == pytest.approx(want, abs=2e-5), n
+        assert (hybrid[n].chosen, hybrid[n].changed) == tuple(sum((n, s) in changed and (plain[n, s][0] == plain[n, s][1]) == same for s in range(8)) for same in (True, False))
+
+
+def test_states_drawn_for_ambiguous_sites(spark, tables):
+    ends = spark.createDataFrame([(1, 0, 0, 5, 0, 0), (1, 0, 1, 6, 0, 2), (1, 0, 2, 1, 0, 0), (1, 0, 3, 15, 0, 1)], "tree_id long, node long, site long, mask int, start_state long, end_state long")
+    [row] = likelihood.compatible_end_density(ends=ends, node=tables["node"], branch_rate=tables["branch_rate"]).collect()
+    other = (1 - math.exp(-branch_rate(0) * 2 * 4 / 3)) / 4
+    assert row.sites == 2 and row.log_probability == pytest.approx(math.log((1 - 3 * other) / (1 - 2 * other)) + math.log(0.5), abs=1e-6)
