@@ -12,16 +12,15 @@ CATEGORY_RATES = (0.25, 0.5, 1.0, 2.0)
 _PARTS = """esc AS (SELECT from_state AS state, sum(q) AS e FROM {rate} GROUP BY from_state),
       b AS (SELECT n.tree_id, n.node, n.height, p.height - n.height AS len FROM {node} n JOIN {node} p ON p.tree_id = n.tree_id AND p.node = n.parent),
       total AS (SELECT tree_id, sum(len) AS t FROM b GROUP BY tree_id),
-      sub AS (SELECT c.tree_id, c.ancestor AS node, sum(b.len) AS below FROM {closure} c JOIN b ON b.tree_id = c.tree_id AND b.node = c.node WHERE c.steps > 0 GROUP BY c.tree_id, c.ancestor),
       ev AS (SELECT m.tree_id, m.site, m.old_state, m.new_state, (y.e - x.e) * (m.time - b.height + coalesce(s.below, 0.0E0)) AS gain FROM {mut} m
-        JOIN b ON b.tree_id = m.tree_id AND b.node = m.node LEFT JOIN sub s ON s.tree_id = m.tree_id AND s.node = m.node
+        JOIN b ON b.tree_id = m.tree_id AND b.node = m.node LEFT JOIN {below} s ON s.tree_id = m.tree_id AND s.node = m.node
         JOIN esc x ON x.state = m.old_state JOIN esc y ON y.state = m.new_state)"""
 
 
 def genetic_prior_text(clock: float = CLOCK) -> str:
     """Log density of a tree's history: root states by their frequencies, each event by its rate, and the total
     escape rate over all branches. The escape rate changes at events only, so that its integral is the one
-    without events plus, for each event, its change times the length of all that lies below."""
+    without events plus, for each event, its change times the length of all that lies below. below: tree_id, node, below."""
     return f"""WITH {_PARTS},
       root AS (SELECT sum(ln(f.pi)) AS lp, sum(e.e) AS lam FROM {{reference}} r JOIN {{freq}} f ON f.state = r.state JOIN esc e ON e.state = r.state),
       e AS (SELECT ev.tree_id, count(*) AS m, sum(ln({clock!r} * q.q)) AS lq, sum(ev.gain) AS gain FROM ev JOIN {{rate}} q ON q.from_state = ev.old_state AND q.to_state = ev.new_state GROUP BY ev.tree_id)
@@ -30,12 +29,12 @@ def genetic_prior_text(clock: float = CLOCK) -> str:
       FROM total t JOIN root ON root.lam IS NOT NULL LEFT JOIN e ON e.tree_id = t.tree_id"""
 
 
-@plan("node", "closure", "mut", "reference", "rate", "freq")
+@plan("node", "below", "mut", "reference", "rate", "freq")
 def genetic_prior(d: Dialect) -> str:
     return genetic_prior_text()
 
 
-@plan("node", "closure", "mut", "reference", "rate")
+@plan("node", "below", "mut", "reference", "rate")
 def category_posterior(d: Dialect) -> str:
     """Probability of each rate category of a site, given its events and its escape rate over the tree. The
     probabilities of a site sum to one."""

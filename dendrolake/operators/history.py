@@ -43,22 +43,39 @@ def transition_counts(d: Dialect) -> str:
       FROM c GROUP BY tree_id"""
 
 
-@plan("node", "reference", "mut", "closure")
+@plan("node", "reference", "mut", "carried")
 def violations(d: Dialect) -> str:
     """Events that break an integrity rule: K2 nothing changes, K4 outside the branch, K9 the old state isn't
-    the new state of the event before, or of the ancestors, or the reference."""
-    return """WITH x AS (SELECT m.tree_id, m.node, m.site, m.time, m.old_state, m.new_state, n.height AS lo, p.height AS hi,
+    the new state of the event before, or of the ancestors, or the reference. Times above the root mean nothing. carried: the states at all nodes."""
+    return """WITH x AS (SELECT m.tree_id, m.node, m.site, m.time, m.old_state, m.new_state, n.parent, n.height AS lo, p.height AS hi,
         lag(m.new_state) OVER (PARTITION BY m.tree_id, m.node, m.site ORDER BY m.time DESC, m.new_state) AS before
         FROM {mut} m LEFT JOIN {node} n ON n.tree_id = m.tree_id AND n.node = m.node LEFT JOIN {node} p ON p.tree_id = n.tree_id AND p.node = n.parent),
-      ends AS (SELECT tree_id, node, site, min_by(new_state, time) AS state FROM {mut} GROUP BY tree_id, node, site),
-      above AS (SELECT c.tree_id, c.node, e.site, min_by(e.state, c.steps) AS state FROM {closure} c JOIN ends e ON e.tree_id = c.tree_id AND e.node = c.ancestor WHERE c.steps > 0 GROUP BY c.tree_id, c.node, e.site),
-      y AS (SELECT x.*, coalesce(x.before, a.state, r.state) AS expected FROM x LEFT JOIN above a ON a.tree_id = x.tree_id AND a.node = x.node AND a.site = x.site
+      y AS (SELECT x.*, coalesce(x.before, a.state, r.state) AS expected FROM x LEFT JOIN {carried} a ON a.tree_id = x.tree_id AND a.node = x.parent AND a.site = x.site
         LEFT JOIN {reference} r ON r.site = x.site)
       SELECT 'K2' AS rule, tree_id, node, site, time FROM y WHERE old_state = new_state
-      UNION ALL SELECT 'K4', tree_id, node, site, time FROM y WHERE time < lo OR time > hi
+      UNION ALL SELECT 'K4', tree_id, node, site, time FROM y WHERE parent IS NOT NULL AND (time < lo OR time > hi)
       UNION ALL SELECT 'K9', tree_id, node, site, time FROM y WHERE old_state <> expected"""
 
 
+@plan("node", "reference", "listed")
+def list_violations(d: Dialect) -> str:
+    """Entries of stored event lists that break a rule. listed(tree_id, node, pos, branch, time, prev_time, site, old_state, new_state): the lists of the nodes in
+    their order, with the branch that each event says it is on and the time of the event before it at its site. K1: it says another branch. K2: nothing
+    changes. K3: above the root, the old state isn't that of the event before in the list, or the reference's. Below the root: K4 the time is off the
+    branch; K5 the time before is; K6 it is before the one before; K7 the list isn't in order; K8 the first at a site, and only it, has none before; K9 the
+    old state, K9t the time before, isn't that of the event before at the site."""
+    at = "OVER (PARTITION BY m.tree_id, m.node, m.site ORDER BY m.pos)"
+    rules = [
+        ("K1", "branch <> node"), ("K2", "old_state = new_state"), ("K3", "top AND old_state <> coalesce(before_state, base)"), ("K4", "NOT top AND (time > hi OR time < lo)"),
+        ("K5", "NOT top AND (prev_time > hi OR prev_time < lo)"), ("K6", "NOT top AND time > prev_time"), ("K7", "NOT top AND time > listed_before"), ("K8", "NOT top AND (nth = 1) <> (prev_time IS NULL)"),
+        ("K9", "NOT top AND old_state <> before_state"), ("K9t", "NOT top AND nth > 1 AND prev_time <> before_time"),
+    ]
+    parts = " UNION ALL ".join(f"SELECT '{rule}' AS rule, tree_id, node, pos, site FROM x WHERE {broken}" for rule, broken in rules)
+    return f"""WITH x AS (SELECT m.tree_id, m.node, m.pos, m.branch, m.time, m.prev_time, m.site, m.old_state, m.new_state, n.parent IS NULL AS top, n.height AS lo, p.height AS hi, r.state AS base,
+        lag(m.new_state) {at} AS before_state, lag(m.time) {at} AS before_time, row_number() {at} AS nth, lag(m.time) OVER (PARTITION BY m.tree_id, m.node ORDER BY m.pos) AS listed_before
+        FROM {{listed}} m JOIN {{node}} n ON n.tree_id = m.tree_id AND n.node = m.node LEFT JOIN {{node}} p ON p.tree_id = n.tree_id AND p.node = n.parent LEFT JOIN {{reference}} r ON r.site = m.site) {parts}"""
+
+
 @plan("node", "linked")
 def link_violations(d: Dialect) -> str:
     """Rules of the stored links: K1 the branch exists, K5 the previous time lies on the branch, K6 it isn't
@@ -70,14 +87,10 @@ def link_violations(d: Dialect) -> str:
         count(*) FILTER (WHERE time > prev_time) AS k6, count(*) FILTER (WHERE (nth = 1) <> (prev_time IS NULL)) AS k8 FROM x GROUP BY tree_id"""
 
 
-_ENDS = """ends AS (SELECT tree_id, node, site, min_by(new_state, time) AS state FROM {mut} GROUP BY tree_id, node, site),
-      reached AS (SELECT c.tree_id, c.node, e.site, min_by(e.state, c.steps) AS state FROM {closure} c JOIN ends e ON e.tree_id = c.tree_id AND e.node = c.ancestor GROUP BY c.tree_id, c.node, e.site)"""
-
-
-@plan("mut", "closure", "reference")
+@plan("carried", "reference")
 def state_at_node(d: Dialect) -> str:
-    """The state of each node at the sites that changed on its path: the last event's, elsewhere the reference's."""
-    return f"""WITH {_ENDS} SELECT a.tree_id, a.node, a.site, a.state, a.state <> r.state AS changed FROM reached a JOIN {{reference}} r ON a.site = r.site"""
+    """The state of each node at the sites that changed on its path: the last event's, elsewhere the reference's. carried: tree_id, node, site, state."""
+    return "SELECT a.tree_id, a.node, a.site, a.state, a.state <> r.state AS changed FROM {carried} a JOIN {reference} r ON a.site = r.site"
 
 
 @plan("mut", "closure")
@@ -87,15 +100,15 @@ def path_changes(d: Dialect) -> str:
       SELECT tree_id, node, site, max_by(old_state, time) AS start_state, min_by(new_state, time) AS end_state, count(*) AS events FROM p GROUP BY tree_id, node, site"""
 
 
-@plan("mut", "closure", "reference", "node")
+@plan("carried", "reference", "node")
 def differing_sites(d: Dialect) -> str:
     """Sites at which each node and its sibling differ."""
-    return f"""WITH {_ENDS}, pair AS (SELECT a.tree_id, a.node AS x, b.node AS y FROM {{node}} a JOIN {{node}} b ON b.tree_id = a.tree_id AND b.parent = a.parent AND a.node < b.node),
-      sites AS (SELECT p.tree_id, p.x, p.y, a.site FROM pair p JOIN reached a ON a.tree_id = p.tree_id AND a.node = p.x
-        UNION SELECT p.tree_id, p.x, p.y, a.site FROM pair p JOIN reached a ON a.tree_id = p.tree_id AND a.node = p.y)
+    return """WITH pair AS (SELECT a.tree_id, a.node AS x, b.node AS y FROM {node} a JOIN {node} b ON b.tree_id = a.tree_id AND b.parent = a.parent AND a.node < b.node),
+      sites AS (SELECT p.tree_id, p.x, p.y, a.site FROM pair p JOIN {carried} a ON a.tree_id = p.tree_id AND a.node = p.x
+        UNION SELECT p.tree_id, p.x, p.y, a.site FROM pair p JOIN {carried} a ON a.tree_id = p.tree_id AND a.node = p.y)
       SELECT s.tree_id, s.x, s.y, count(*) AS compared, count(*) FILTER (WHERE coalesce(a.state, r.state) <> coalesce(b.state, r.state)) AS differing
-      FROM sites s JOIN {{reference}} r ON r.site = s.site LEFT JOIN reached a ON a.tree_id = s.tree_id AND a.node = s.x AND a.site = s.site
-      LEFT JOIN reached b ON b.tree_id = s.tree_id AND b.node = s.y AND b.site = s.site GROUP BY s.tree_id, s.x, s.y"""
+      FROM sites s JOIN {reference} r ON r.site = s.site LEFT JOIN {carried} a ON a.tree_id = s.tree_id AND a.node = s.x AND a.site = s.site
+      LEFT JOIN {carried} b ON b.tree_id = s.tree_id AND b.node = s.y AND b.site = s.site GROUP BY s.tree_id, s.x, s.y"""
 
 
 @plan("node", "mut")
@@ -177,19 +190,12 @@ def tip_missing_sites(d: Dialect) -> str:
       coalesce({d.listagg(f"CASE WHEN bit_count(mask) BETWEEN 2 AND 3 THEN concat(CAST(site AS {d.text}), ':', CAST(mask AS {d.text})) END", ",", "site")}, '') AS masks FROM {{tip_state}} GROUP BY tree_id, node"""
 
 
-@plan("mut", "other", "closure", "reference", "node")
+@plan("carried", "other_carried", "reference", "node")
 def history_distance(d: Dialect) -> str:
     """Nodes and sites at which two histories of a tree have different states, at the root, inside, at tips."""
-
-    def states(events: str) -> str:
-        return f"""SELECT c.tree_id, c.node, e.site, min_by(e.state, c.steps) AS state FROM {{closure}} c
-          JOIN (SELECT tree_id, node, site, min_by(new_state, time) AS state FROM {events} GROUP BY tree_id, node, site) e ON e.tree_id = c.tree_id AND e.node = c.ancestor
-          GROUP BY c.tree_id, c.node, e.site"""
-
     kind = "CASE WHEN n.parent IS NULL THEN 'root' WHEN n.is_leaf THEN 'tip' ELSE 'inner' END"
-    return f"""WITH x AS ({states("{mut}")}), y AS ({states("{other}")}),
-      z AS (SELECT coalesce(x.tree_id, y.tree_id) AS tree_id, coalesce(x.node, y.node) AS node, coalesce(x.site, y.site) AS site, x.state AS a, y.state AS b
-        FROM x FULL OUTER JOIN y ON x.tree_id = y.tree_id AND x.node = y.node AND x.site = y.site)
+    return f"""WITH z AS (SELECT coalesce(x.tree_id, y.tree_id) AS tree_id, coalesce(x.node, y.node) AS node, coalesce(x.site, y.site) AS site, x.state AS a, y.state AS b
+        FROM {{carried}} x FULL OUTER JOIN {{other_carried}} y ON x.tree_id = y.tree_id AND x.node = y.node AND x.site = y.site)
       SELECT z.tree_id, {kind} AS kind, count(*) AS compared, count(*) FILTER (WHERE coalesce(z.a, r.state) <> coalesce(z.b, r.state)) AS distance
       FROM z JOIN {{reference}} r ON r.site = z.site JOIN {{node}} n ON n.tree_id = z.tree_id AND n.node = z.node GROUP BY z.tree_id, {kind}"""
 

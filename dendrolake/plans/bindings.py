@@ -97,6 +97,16 @@ SELECT tree_id, node,
   CASE WHEN site = 7 AND node % 5 = 0 THEN time + 100 ELSE time END AS time, site, old_state,
   CASE WHEN site = 11 AND node % 7 = 0 THEN old_state WHEN site = 13 AND node % 6 = 0 THEN (new_state + 1) % 4 ELSE new_state END AS new_state
 FROM mut"""),
+        # event lists as they are stored, with some above the root; and the same with a breach of each rule
+        "root_events": (("node", "reference"), """
+SELECT n.tree_id, n.node, n.height AS time, r.site, (r.state + k.k) % 4 AS old_state, (r.state + k.k + 1) % 4 AS new_state, k.k FROM node n JOIN reference r ON r.site % 9 = 4 AND n.parent IS NULL JOIN (VALUES (0, 1), (1, 1)) AS k(k, one) ON k.one = 1"""),
+        "listed": (("mut", "root_events"), """
+SELECT tree_id, node, row_number() OVER (PARTITION BY tree_id, node ORDER BY time DESC, site, k) AS pos, node AS branch, time, lag(time) OVER (PARTITION BY tree_id, node, site ORDER BY time DESC, k) AS prev_time, site, old_state, new_state
+FROM (SELECT tree_id, node, time, site, old_state, new_state, 0 AS k FROM mut UNION ALL SELECT tree_id, node, time, site, old_state, new_state, k FROM root_events) e"""),
+        "broken_list": (("listed",), """
+SELECT tree_id, node, CASE WHEN site = 17 AND node % 4 = 1 THEN pos + 1000 ELSE pos END AS pos, CASE WHEN site = 3 AND node % 5 = 0 THEN branch + 1 ELSE branch END AS branch,
+  CASE WHEN site = 7 AND node % 5 = 0 THEN time + 100 ELSE time END AS time, CASE WHEN site % 8 = 5 AND node % 3 = 0 THEN time - 0.01E0 WHEN site % 8 = 6 AND node % 3 = 1 THEN NULL ELSE prev_time END AS prev_time, site, old_state,
+  CASE WHEN site = 11 AND node % 7 = 0 THEN old_state WHEN site % 13 = 4 AND node % 6 = 1 THEN (new_state + 1) % 4 ELSE new_state END AS new_state FROM listed"""),
         "linked": (("mut",), """
 SELECT tree_id, node, site, time, lag(time) OVER (PARTITION BY tree_id, node, site ORDER BY time DESC) AS prev_time, old_state, new_state FROM mut"""),
         "tip_state": (("node",), """

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import density, history, kernels, likelihood, neighbours, parsimony, records, sequences, tip_removal, traces, tree_samples, trees
+from ..operators import carries, density, history, kernels, likelihood, neighbours, parsimony, records, sequences, tip_removal, traces, tree_samples, trees
 from .bindings import views, with_views
 from .plan import ANSI, SPARK, Dialect, Plan
 
@@ -41,6 +41,10 @@ def more_views(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
         "unconstrained": of(history.unconstrained_nodes),
         "pairs": (("node",), "SELECT tree_id, node AS x, node + 1 AS y FROM node WHERE is_leaf AND node + 1 < 2 * n_tips"),
         "leaf_first_stats": of(trees.subtree_stats, node="leaf_first_node", closure="leaf_first_closure", mut="leaf_first_mut"),
+        # for a second engine; here sweeps make these
+        "carried": of(carries.states_by_closure), "broken_carried": of(carries.states_by_closure, mut="broken"),
+        "leaf_first_carried": of(carries.states_by_closure, closure="leaf_first_closure", mut="leaf_first_mut"),
+        "below": of(carries.lengths_by_closure), "branch_rates": of(carries.rates_by_closure),
         "one": of(trees.clades),
         "other_clades": (("one",), "SELECT tree_id, replace(clade, '1,2', '1,3') AS clade FROM one"),
         "ess": of(traces.ess_by_lags),
@@ -75,7 +79,7 @@ _register(
     records.render_traits, records.render_alignment, records.write_fasta, records.xml_values, records.json_values,
 )
 _register(
-    trees.closure_rows, trees.mrca, trees.tree_length, trees.subtree_stats, trees.lineages_through_time, trees.hazard_events, trees.hazard_log_density, trees.clades,
+    trees.closure_rows, trees.mrca, trees.tree_length, trees.lineages_through_time, trees.hazard_events, trees.hazard_log_density, trees.clades,
     trees.rf_distance, trees.unrooted_splits, trees.node_bounds, trees.node_ratios, trees.decay_rate, trees.interval_scaled, trees.subtree_choice,
 )
 _register(
@@ -94,8 +98,10 @@ _register(traces.cleaned_trace, trace="merged_trace")
 _register(parsimony.fitch_site_filter, scores="fitch_roots")
 _register(traces.ess_curve, traces.converged_at)
 _register(tree_samples.clade_flips, tree_samples.topology_changes, clades="tree_log")
-_register(history.violations, mut="broken")
-_register(history.history_distance, other="broken")
+_register(history.violations, mut="broken", carried="broken_carried")
+_register(history.history_distance, other_carried="broken_carried")
+_register(history.list_violations, listed="broken_list")
+_register(carries.total_rate_on_branch)
 _register(history.missing_clade_regions, trees.time_change, trees.spline_integral, traces.average_ranks, traces.remaining_time)
 _register(kernels.categorical_pick, records.cigar_project)
 _register(parsimony.fitch_scores, parsimony.fitch_rows, parsimony.excess_mutations)
@@ -135,6 +141,18 @@ def domain(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
         elif name == "leaf_first_fitch":
             base = domain(spark, sf_dir, "leaf_first_node", "leaf_first_tip_state")
             out[name] = parsimony.fitch_sets(base["leaf_first_node"], base["leaf_first_tip_state"])
+        elif name in ("carried", "broken_carried", "leaf_first_carried"):
+            kind = name.removesuffix("carried")
+            first = "leaf_first_" if kind == "leaf_first_" else ""
+            t = domain(spark, sf_dir, f"{first}node", "broken" if kind == "broken_" else f"{first}mut")
+            out[name] = carries.states(*t.values())
+        elif name in ("stats", "leaf_first_stats"):
+            first = name.removesuffix("stats")
+            out[name] = carries.subtree_stats(*domain(spark, sf_dir, f"{first}node", f"{first}mut").values())
+        elif name == "below":
+            out[name] = carries.lengths_below(domain(spark, sf_dir, "node")["node"])
+        elif name == "branch_rates":
+            out[name] = carries.branch_rates(**domain(spark, sf_dir, "node", "mut", "reference", "rate"))
         elif name == "leaf_first_closure":
             out[name] = trees.ancestor_closure(domain(spark, sf_dir, "leaf_first_node")["leaf_first_node"])
         elif name == "closure":
@@ -205,6 +223,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def history_density(spark: SparkSession, sf_dir: str) -> DataFrame:
         return likelihood.history_density(**domain(spark, sf_dir, "node", "mut", "reference", "branch_rate", "site_category"))
 
+    out["subtree_stats"] = lambda spark, sf_dir: domain(spark, sf_dir, "stats")["stats"]
     out |= {"history_density": history_density, "close_classes": close_classes, "classes_two_apart": classes_two_apart, "tip_neighbours": tip_neighbours}
     return out | {"fitch_states": fitch_states, "parsimony_events": parsimony_events, "removal_scores": removal_scores, "tip_removal_ess": tip_removal_ess}
 
@@ -233,6 +252,7 @@ def oracle_sql() -> dict[str, str]:
         out[name] = text(("few_sites", "base"), f"WITH {neighbours.close_text(most).replace('FROM masked m', 'FROM few_sites m')} SELECT dataset, a, b, distance FROM close")
     out["tip_neighbours"] = text(("few_sites", "base"), neighbours.neighbours_text(1).replace("FROM masked m", "FROM few_sites m"))
     out["history_density"] = text(("node", "mut", "reference", "branch_rate", "site_category"), likelihood.history_text())
+    out["subtree_stats"] = text(("stats",), "SELECT * FROM stats")
     out["tracer_ess"] = out["ess_by_lags"]
     out["removal_scores"] = text(("node", "tip_state"), tip_removal.removal_text())
     of_samples = tip_removal.removal_text().replace("tip_state t", "sample_tip_state t").replace(" node n ", " sample_node n ").replace("FROM node", "FROM sample_node")

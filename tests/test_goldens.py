@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from dendrolake.operators import history, parsimony, records, traces, tree_samples, trees
+from dendrolake.operators import carries, history, parsimony, records, traces, tree_samples, trees
 from dendrolake.sources import readers, writers
 
 from .test_plans import tree
@@ -106,7 +106,7 @@ def test_violations_see_the_root_and_unknown_branches(spark):
     node = small_tree(spark)
     mut = spark.createDataFrame([(1, 1, 2.0, 0, 0, 1), (1, 1, 2.0, 1, 2, 1), (1, 9, 0.5, 0, 1, 1)], MUT)
     ref = spark.createDataFrame([(0, 0), (1, 0)], "site long, state long")
-    got = history.violations(node=node, mut=mut, reference=ref, closure=trees.ancestor_closure(node)).collect()
+    got = history.violations(node=node, mut=mut, reference=ref, carried=carries.states(node, mut)).collect()
     assert {(r.rule, r.node, r.site) for r in got} == {("K9", 1, 1), ("K2", 9, 0), ("K9", 9, 0)}
 
 

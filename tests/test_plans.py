@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dendrolake.functions import ctmc
-from dendrolake.operators import density, parsimony, sequences, traces, trees
+from dendrolake.operators import carries, density, parsimony, sequences, traces, trees
 from dendrolake.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -58,7 +58,7 @@ def test_density_of_a_small_history(spark):
     rate = spark.createDataFrame([(i, j, 1 / 3) for i in range(4) for j in range(4) if i != j], "from_state int, to_state int, q double")
     freq = spark.createDataFrame([(i, 0.25) for i in range(4)], "state int, pi double")
     ref = spark.createDataFrame([(0, 0), (1, 1)], "site long, state long")
-    got = density.genetic_prior(node=node, closure=trees.ancestor_closure(node), mut=mut, reference=ref, rate=rate, freq=freq).first()
+    got = density.genetic_prior(node=node, below=carries.lengths_below(node), mut=mut, reference=ref, rate=rate, freq=freq).first()
     assert got.log_density == pytest.approx(2 * math.log(0.25) - 0.5 * 2 * 5.5 + 2 * math.log(0.5 / 3), abs=1e-5)
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from dendrolake.operators import history, parsimony, sweeps, tip_removal, trees
+from dendrolake.operators import carries, history, parsimony, sweeps, tip_removal, trees
 
 from .test_plans import tree
 
@@ -87,7 +87,7 @@ def test_operators_on_leaf_first_trees(spark):
     mut = spark.createDataFrame([(1, 4, 2.0, 0, 0, 1), (1, 0, 0.5, 1, 0, 1), (1, 1, 0.5, 1, 0, 2), (1, 3, 1.5, 2, 0, 1)], "tree_id long, node long, time double, site long, old_state long, new_state long")
     assert trees and history.mutation_count(node=node, mut=mut).first()[1:] == (3, 2)
     reference = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "site long, state long")
-    pairs = {(r.x, r.y): (r.compared, r.differing) for r in history.differing_sites(mut=mut, closure=closure, reference=reference, node=node).collect()}
+    pairs = {(r.x, r.y): (r.compared, r.differing) for r in history.differing_sites(carried=carries.states(node, mut), reference=reference, node=node).collect()}
     assert pairs == {(0, 1): (3, 1), (2, 3): (2, 1)}
     masks = spark.createDataFrame([(1, 0, 0, 15), (1, 1, 0, 15), (1, 2, 0, 15), (1, 0, 1, 15), (1, 1, 1, 1), (1, 2, 1, 15)], TIPS)
     regions = {(r.tip, r.clade, r.sites) for r in history.missing_clade_regions(tip_state=masks, closure=closure, node=node).collect()}
