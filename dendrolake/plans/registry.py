@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import carries, density, history, kernels, likelihood, neighbours, parsimony, records, sequences, tip_removal, traces, tree_samples, trees
+from ..operators import carries, clustering, density, history, kernels, likelihood, neighbours, parsimony, records, regions, sequences, tip_removal, traces, tree_samples, trees
 from .bindings import views, with_views
 from .plan import ANSI, SPARK, Dialect, Plan
 
@@ -33,6 +33,8 @@ def more_views(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
         "weighted": ((), "SELECT l_orderkey AS grp, CAST(l_linenumber AS BIGINT) AS item, sum(l_quantity) AS weight FROM lineitem GROUP BY l_orderkey, l_linenumber"),
         "branch_sums": of(likelihood.branch_stats),
         "ends": (("tip_state", "reference"), "SELECT t.tree_id, t.node, t.site, t.mask, CAST(r.state AS BIGINT) AS start_state, CAST(length(bin(t.mask & -t.mask)) - 1 AS BIGINT) AS end_state FROM tip_state t JOIN reference r ON r.site = t.site"),
+        "chosen": (("tips",), "SELECT tree_id, CAST(5 AS BIGINT) AS x FROM tips WHERE n_tips > 5"),
+        "shortcut": (("tips",), "SELECT tree_id, n_tips AS a, n_tips + 3 AS b FROM tips WHERE n_tips > 5"),
         "few_sites": (("masked",), "SELECT dataset % 2 AS dataset, taxon, site, mask, class FROM masked WHERE site < 7"),
         "base": of(sequences.base_sequence, masked="few_sites"),
         "regions": of(history.branch_regions),
@@ -223,6 +225,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def history_density(spark: SparkSession, sf_dir: str) -> DataFrame:
         return likelihood.history_density(**domain(spark, sf_dir, "node", "mut", "reference", "branch_rate", "site_category"))
 
+    def explored_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = domain(spark, sf_dir, "node", "mut", "carried", "reference", "chosen", "shortcut")
+        found = regions.attachment_regions(t["node"], t["mut"], t["carried"], t["reference"], t["chosen"])
+        return regions.explore(found, t["node"], t["chosen"], 2, t["shortcut"])
+
+    def upgma_site_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return parsimony.fitch_site_filter(scores=clustering.upgma_scores(domain(spark, sf_dir, "masked")["masked"], 100))
+
+    out |= {"explored_regions": explored_regions, "upgma_site_filter": upgma_site_filter, "upgma_tree": lambda spark, sf_dir: clustering.upgma_tree(domain(spark, sf_dir, "masked")["masked"], 100)}
     out["subtree_stats"] = lambda spark, sf_dir: domain(spark, sf_dir, "stats")["stats"]
     out |= {"history_density": history_density, "close_classes": close_classes, "classes_two_apart": classes_two_apart, "tip_neighbours": tip_neighbours}
     return out | {"fitch_states": fitch_states, "parsimony_events": parsimony_events, "removal_scores": removal_scores, "tip_removal_ess": tip_removal_ess}
@@ -252,6 +263,7 @@ def oracle_sql() -> dict[str, str]:
         out[name] = text(("few_sites", "base"), f"WITH {neighbours.close_text(most).replace('FROM masked m', 'FROM few_sites m')} SELECT dataset, a, b, distance FROM close")
     out["tip_neighbours"] = text(("few_sites", "base"), neighbours.neighbours_text(1).replace("FROM masked m", "FROM few_sites m"))
     out["history_density"] = text(("node", "mut", "reference", "branch_rate", "site_category"), likelihood.history_text())
+    out["explored_regions"] = text(("node", "mut", "carried", "reference", "chosen", "shortcut"), regions.explored_text(2))
     out["subtree_stats"] = text(("stats",), "SELECT * FROM stats")
     out["tracer_ess"] = out["ess_by_lags"]
     out["removal_scores"] = text(("node", "tip_state"), tip_removal.removal_text())

@@ -67,7 +67,7 @@ def test_fitch_scores_of_eight_sites(spark):
     code = {"A": 1, "C": 2, "G": 4, "T": 8}
     tips = [(1, 4 + i, s, code[c]) for i, seq in enumerate(["AAAAAAAC", "AAGCAAAC", "AGAGAGGT", "AGGTGGGT"]) for s, c in enumerate(seq)]
     sets = parsimony.fitch_sets(node, spark.createDataFrame(tips, "tree_id long, node long, site long, mask int"))
-    assert [r.score for r in parsimony.fitch_scores(fitch=sets).orderBy("site").collect()] == [0, 1, 2, 3, 1, 1, 1, 1]
+    assert [r.score for r in parsimony.fitch_scores(fitch=sets, node=node).orderBy("site").collect()] == [0, 1, 2, 3, 1, 1, 1, 1]
 
 
 def test_closure_of_a_caterpillar(spark):
