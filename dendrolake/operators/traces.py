@@ -210,7 +210,7 @@ def trajectory_text(points: int = 20, least: int = 20) -> str:
       p AS (SELECT DISTINCT {CHAIN}, CAST(floor({least} + k * (n - {least}) / {points - 1}.0) AS BIGINT) AS upto FROM t, range({points}) AS r(k) WHERE n >= {least}),
       w AS (SELECT x.method, x.experiment, x.seed, x.upto, y.i, y.value - avg(y.value) OVER (PARTITION BY x.method, x.experiment, x.seed, x.upto) AS v, count(*) OVER (PARTITION BY x.method, x.experiment, x.seed, x.upto) AS m
         FROM p x JOIN t y ON {chain} AND y.i < x.upto AND y.i >= floor(x.upto * 0.1)),
-      a AS (SELECT x.method, x.experiment, x.seed, x.upto, y.i - x.i AS lag, min(x.m) AS m, sum(x.v * y.v) / count(*) AS a FROM w x JOIN w y ON {chain} AND x.upto = y.upto AND y.i >= x.i GROUP BY ALL),
+      a AS (SELECT x.method, x.experiment, x.seed, x.upto, y.i - x.i AS lag, min(x.m) AS m, sum(x.v * y.v) / count(*) AS a FROM w x JOIN w y ON {chain} AND x.upto = y.upto AND y.i >= x.i AND y.i - x.i < {MAX_LAG} GROUP BY ALL),
       q AS (SELECT {CHAIN}, upto, (lag + 1) // 2 AS pair, min(m) AS m, sum(a) AS s, count(*) AS lags FROM a GROUP BY ALL),
       z AS (SELECT {CHAIN}, upto, min(CASE WHEN pair > 0 AND (s <= 0 OR lags < 2) THEN pair END) AS stop FROM q GROUP BY ALL),
       e AS (SELECT x.method, x.experiment, x.seed, x.upto, round(min(x.m) / ((max(CASE WHEN pair = 0 THEN s END) + 2 * sum(CASE WHEN pair > 0 AND (stop IS NULL OR pair < stop) THEN s ELSE 0 END)) / max(CASE WHEN pair = 0 THEN s END)), 6) AS ess

@@ -125,9 +125,25 @@ SELECT tree_id, node, site, CASE WHEN (tip * 7 + site * 3) % 19 = 0 THEN 15 WHEN
         "trace": ((), f"""
 SELECT event_type AS method, concat('e', CAST(user_id % 3 AS {d.text})) AS experiment, user_id % 5 AS seed, event_id AS line_no,
   1000 * row_number() OVER (PARTITION BY event_type, user_id % 3, user_id % 5 ORDER BY event_id) AS sample, value FROM events"""),
+        # several parameters of each run: two that vary, one that doesn't, and one that isn't a parameter
+        "param_trace": (("trace",), """
+SELECT method, experiment, seed, 'value' AS param, sample, value FROM trace UNION ALL SELECT method, experiment, seed, 'square', sample, (value - 40) * (value - 40) + line_no % 7 FROM trace
+UNION ALL SELECT method, experiment, seed, 'constant', sample, 1.5E0 FROM trace UNION ALL SELECT method, experiment, seed, 'mutations.excessCount', sample, value FROM trace
+UNION ALL SELECT method, experiment, seed, 'slow', sample, sum(value - 40) OVER (PARTITION BY method, experiment, seed ORDER BY sample ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) FROM trace"""),
         "merged_trace": (("trace",), "SELECT method, experiment, seed, line_no, CASE WHEN line_no % 17 = 0 THEN sample * 10 ELSE sample END AS sample, value FROM trace"),
         "branch_rate": (("node",), "SELECT tree_id, node, 0.5E0 + (node % 5) / 4.0E0 AS rate FROM node"),
         "node_rate": (("node",), "SELECT tree_id, node, 1.0E0 + (node % 3) / 8.0E0 AS total_rate FROM node"),
+        "base_operator": (("op_timing",), """
+SELECT 'base' AS model, operator, CASE WHEN operator = 'AF' THEN 'slice.Move' ELSE concat('move.', operator) END AS spec, row_number() OVER (ORDER BY operator DESC) AS position FROM (SELECT DISTINCT operator FROM op_timing) o"""),
+        "base_attribute": (("base_operator",), f"""
+SELECT operator, 'weight' AS key, CAST(position * 2 AS {d.text}) AS value FROM base_operator UNION ALL SELECT operator, 'size', CAST(position AS {d.text}) FROM base_operator WHERE position > 1"""),
+        "configuration": (("base_operator",), f"""
+SELECT concat('without_', operator) AS config, 'base' AS model, operator, 0 AS kind FROM base_operator WHERE spec NOT LIKE 'slice.%' UNION ALL SELECT concat('tuned_', operator), 'base', operator, 1 FROM base_operator WHERE spec NOT LIKE 'slice.%'
+UNION ALL SELECT concat('doubled_', operator), 'base', operator, 2 FROM base_operator WHERE spec NOT LIKE 'slice.%'"""),
+        "removed_operator": (("configuration",), "SELECT config, operator FROM configuration WHERE kind = 0"),
+        "changed_attribute": (("configuration",), "SELECT config, operator, 'size' AS key, '0.25' AS value FROM configuration WHERE kind > 0 UNION ALL SELECT config, operator, 'tuned', 'true' FROM configuration WHERE kind = 1"),
+        "added_operator": (("configuration",), "SELECT c.config, c.operator AS template, concat(c.operator, CASE k.k WHEN 1 THEN '.a' ELSE '.b' END) AS operator, k.k AS nth FROM configuration c JOIN (VALUES (1, 2), (2, 2)) AS k(k, kind) ON k.kind = c.kind"),
+        "added_attribute": (("added_operator",), "SELECT config, operator, 'weight' AS key, CASE nth WHEN 1 THEN '9' ELSE '8' END AS value FROM added_operator"),
         "op_timing": ((), f"""
 SELECT concat(l_returnflag, l_linestatus) AS operator, l_linenumber AS run, count(*) AS proposals,
   count(*) FILTER (WHERE l_discount > 0.05) AS accepted, count(*) FILTER (WHERE l_discount < 0.01) AS direct_rejects,

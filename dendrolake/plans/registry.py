@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import carries, clustering, density, history, kernels, likelihood, neighbours, parsimony, records, regions, sequences, tip_removal, traces, tree_samples, trees
+from ..operators import carries, clustering, configurations, convergence, density, history, kernels, likelihood, neighbours, parsimony, records, regions, sequences, tip_removal, traces, tree_samples, trees
 from .bindings import views, with_views
 from .plan import ANSI, SPARK, Dialect, Plan
 
@@ -92,6 +93,7 @@ _register(
 for _p in (history.mutation_count, history.differing_sites, history.missing_clade_regions, trees.clades, trees.rf_distance, trees.unrooted_splits, trees.node_ratios, trees.subtree_choice, parsimony.fitch_scores):
     QUERIES[f"leaf_first_{_p.name}"] = (_p, {t: t if t == "reference" else f"leaf_first_{t}" for t in _p.tables})
 _register(trees.rf_between, other="other_clades")
+_register(convergence.param_times, convergence.run_times, convergence.run_summary, convergence.param_slowness, convergence.method_speedup, convergence.least_param, convergence.remaining_samples)
 _register(likelihood.branch_stats, likelihood.path_density, likelihood.compatible_end_density)
 _register(likelihood.hybrid_branch_density, stats="branch_sums")
 _register(likelihood.rounded_partials, likelihood.site_likelihood)
@@ -162,6 +164,12 @@ def domain(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
             out[name] = trees.ancestor_closure(domain(spark, sf_dir, "node")["node"]).persist()
         elif name == "fitch_roots":
             out[name] = parsimony.fitch_scores(**domain(spark, sf_dir, "fitch", "node"))
+        elif name == "param_trajectory":
+            out[name] = convergence.param_trajectory(domain(spark, sf_dir, "param_trace")["param_trace"])
+        elif name == "param_times":
+            out[name] = convergence.param_times.given(target=40.0)(**domain(spark, sf_dir, "param_trajectory", "cost"))
+        elif name == "run_times":
+            out[name] = convergence.run_times(**domain(spark, sf_dir, "param_times"))
         elif name == "partials":
             t = domain(spark, sf_dir, "node", "tip_state", "branch_rate", "site_category")
             out[name] = likelihood.partial_likelihoods(t["node"], t["tip_state"], t["branch_rate"], t["site_category"])
@@ -225,6 +233,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def history_density(spark: SparkSession, sf_dir: str) -> DataFrame:
         return likelihood.history_density(**domain(spark, sf_dir, "node", "mut", "reference", "branch_rate", "site_category"))
 
+    def applied_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = domain(spark, sf_dir, "base_operator", "base_attribute", "configuration", "removed_operator", "changed_attribute", "added_operator", "added_attribute")
+
+        def maps(rows: DataFrame, *keys: str) -> DataFrame:
+            return rows.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("attributes"))
+
+        base = t["base_operator"].join(maps(t["base_attribute"], "operator"), "operator")
+        added = t["added_operator"].join(maps(t["added_attribute"], "config", "operator"), ["config", "operator"])
+        out = configurations.apply_configurations(base, t["configuration"].select("config", "model"), t["removed_operator"], maps(t["changed_attribute"], "config", "operator"), added)
+        return out.select("config", "place", "operator", "spec", configurations.attributes_text().alias("attributes"))
+
+    out["param_trajectory"] = lambda spark, sf_dir: domain(spark, sf_dir, "param_trajectory")["param_trajectory"]
+    out["applied_configurations"] = applied_configurations
+
     def explored_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = domain(spark, sf_dir, "node", "mut", "carried", "reference", "chosen", "shortcut")
         found = regions.attachment_regions(t["node"], t["mut"], t["carried"], t["reference"], t["chosen"])
@@ -252,6 +274,10 @@ def oracle_sql() -> dict[str, str]:
             heads.append(f"fitch_roots AS ({parsimony.fitch_scores.text(ANSI).format(fitch='fitch', node='node')})")
         if "partials" in names:
             heads += [f"{x} AS ({known[x][1]})" for x in _needs(("node", "tip_state", "branch_rate", "site_category"), known) if x not in order] + [f"partials AS ({likelihood.partials_text()})"]
+        if {"param_trajectory", "param_times", "run_times"} & set(names):
+            heads += [f"{x} AS ({known[x][1]})" for x in _needs(("param_trace", "cost"), known) if x not in order] + [f"param_trajectory AS ({convergence.param_trajectory_text('param_trace')})"]
+            heads.append(f"param_times AS ({convergence.param_times.given(target=40.0).text(ANSI).format(param_trajectory='param_trajectory', cost='cost')})")
+            heads.append(f"run_times AS ({convergence.run_times.text(ANSI).format(param_times='param_times')})")
         if "trajectory" in names:
             heads += [f"trace AS ({known['trace'][1]})"] * ("trace" not in order) + [f"trajectory AS ({traces.trajectory_text().format(trace='trace')})"]
         return f"WITH {', '.join(heads)} SELECT * FROM ({body}) final_rows" if heads else body
@@ -263,6 +289,8 @@ def oracle_sql() -> dict[str, str]:
         out[name] = text(("few_sites", "base"), f"WITH {neighbours.close_text(most).replace('FROM masked m', 'FROM few_sites m')} SELECT dataset, a, b, distance FROM close")
     out["tip_neighbours"] = text(("few_sites", "base"), neighbours.neighbours_text(1).replace("FROM masked m", "FROM few_sites m"))
     out["history_density"] = text(("node", "mut", "reference", "branch_rate", "site_category"), likelihood.history_text())
+    out["param_trajectory"] = text(("param_trajectory",), "SELECT * FROM param_trajectory")
+    out["applied_configurations"] = text(("base_operator", "base_attribute", "configuration", "removed_operator", "changed_attribute", "added_operator", "added_attribute"), configurations.applied_text())
     out["explored_regions"] = text(("node", "mut", "carried", "reference", "chosen", "shortcut"), regions.explored_text(2))
     out["subtree_stats"] = text(("stats",), "SELECT * FROM stats")
     out["tracer_ess"] = out["ess_by_lags"]
