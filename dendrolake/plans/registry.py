@@ -34,6 +34,7 @@ def more_views(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
         "weighted": ((), "SELECT l_orderkey AS grp, CAST(l_linenumber AS BIGINT) AS item, sum(l_quantity) AS weight FROM lineitem GROUP BY l_orderkey, l_linenumber"),
         "branch_sums": of(likelihood.branch_stats),
         "ends": (("tip_state", "reference"), "SELECT t.tree_id, t.node, t.site, t.mask, CAST(r.state AS BIGINT) AS start_state, CAST(length(bin(t.mask & -t.mask)) - 1 AS BIGINT) AS end_state FROM tip_state t JOIN reference r ON r.site = t.site"),
+        "tree_events": of(tree_samples.single_events),
         "chosen": (("tips",), "SELECT tree_id, CAST(5 AS BIGINT) AS x FROM tips WHERE n_tips > 5"),
         "shortcut": (("tips",), "SELECT tree_id, n_tips AS a, n_tips + 3 AS b FROM tips WHERE n_tips > 5"),
         "few_sites": (("masked",), "SELECT dataset % 2 AS dataset, taxon, site, mask, class FROM masked WHERE site < 7"),
@@ -93,6 +94,7 @@ _register(
 for _p in (history.mutation_count, history.differing_sites, history.missing_clade_regions, trees.clades, trees.rf_distance, trees.unrooted_splits, trees.node_ratios, trees.subtree_choice, parsimony.fitch_scores):
     QUERIES[f"leaf_first_{_p.name}"] = (_p, {t: t if t == "reference" else f"leaf_first_{t}" for t in _p.tables})
 _register(trees.rf_between, other="other_clades")
+QUERIES["merged_intervals"] = (tree_samples.interval_rows, {"events": "tree_events"})
 _register(convergence.param_times, convergence.run_times, convergence.run_summary, convergence.param_slowness, convergence.method_speedup, convergence.least_param, convergence.remaining_samples)
 _register(likelihood.branch_stats, likelihood.path_density, likelihood.compatible_end_density)
 _register(likelihood.hybrid_branch_density, stats="branch_sums")
@@ -196,7 +198,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["trace_ess"] = lambda spark, sf_dir: traces.trace_ess(domain(spark, sf_dir, "trace")["trace"])
     out["tracer_ess"] = lambda spark, sf_dir: traces.tracer_ess(domain(spark, sf_dir, "trace")["trace"])
     out["tree_ess"] = lambda spark, sf_dir: tree_samples.tree_ess(domain(spark, sf_dir, "tree_log")["tree_log"])
-    out["merged_intervals"] = lambda spark, sf_dir: tree_samples.merged_intervals(domain(spark, sf_dir, "node")["node"])
+    out["joint_intervals"] = lambda spark, sf_dir: tree_samples.merged_intervals(domain(spark, sf_dir, "node")["node"], 0.4)
     out["ess_trajectory"] = lambda spark, sf_dir: domain(spark, sf_dir, "trajectory")["trajectory"]
 
     def fitch_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,6 +293,7 @@ def oracle_sql() -> dict[str, str]:
     out["history_density"] = text(("node", "mut", "reference", "branch_rate", "site_category"), likelihood.history_text())
     out["param_trajectory"] = text(("param_trajectory",), "SELECT * FROM param_trajectory")
     out["applied_configurations"] = text(("base_operator", "base_attribute", "configuration", "removed_operator", "changed_attribute", "added_operator", "added_attribute"), configurations.applied_text())
+    out["joint_intervals"] = text(("node",), tree_samples.interval_rows.text(ANSI).format(events=f"({tree_samples.joint_events_text(0.4)})"))
     out["explored_regions"] = text(("node", "mut", "carried", "reference", "chosen", "shortcut"), regions.explored_text(2))
     out["subtree_stats"] = text(("stats",), "SELECT * FROM stats")
     out["tracer_ess"] = out["ess_by_lags"]
