@@ -8,12 +8,14 @@ words that are aligned within one window of the text; a template is found where
 A template can only reach it in stretches of the text that hold as many of its words, so a text is cut into
 stretches around the template's rarer words before it is aligned; stretches without enough of the
 template's words are passed over, which loses nothing. Every stretch of a text is aligned, so a license that
-is repeated is found each time. Near relatives differ in few words (a version, `NC`, `Lesser`): a template is only
-found where all of its own telling words are aligned and none of the others' stands among them.
+is repeated is found each time. Near relatives differ in few words (a version, `NC`, a clause): where two templates reach it at
+one place, each must have half of the words there that the other hasn't, so a third relative is neither. A notice, which
+names its license, must have all words that do, without one that makes another of it; in long texts no single word, as the number
+of a list, decides. Versions are the same with and without `.0`.
 
 Result: one row per license found: doc_id, license, start and n_words (in words of the text), coverage,
 passage. Defined results: null and empty texts find nothing; a null doc_id is kept as null; repeated rows are
-scanned each; of licenses that overlap the one with more aligned words, then the higher coverage, then the
+scanned each; of licenses that overlap, and hold against each other, the one with more aligned words, then the higher coverage, then the
 first in TEMPLATES stays; a very long text is scanned whole by one task; an empty table gives no rows. Only doc_id
 and text are read, so other columns may have any names.
 """
@@ -134,14 +136,25 @@ TEMPLATES = {
         "machine-executable object code generated by a source language processor."
     ),
 }
-#: Words that tell near relatives apart. A template is only found where all of its own are aligned, with none of the others between.
-TELLING = {"1", "2", "2.0", "2.1", "3", "3.0", "4.0", "nc", "sa", "nd", "sharealike", "noncommercial", "noderivatives", "lesser", "affero", "clause", "mit", "apache", "bsd", "gnu", "cc", "mozilla"}
+#: Identifiers of licenses, as files name them in one line.
+SPDX = ("MIT", "MIT-0", "ISC", "0BSD", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "MPL-2.0", "Zlib", "BSL-1.0", "CC0-1.0", "Unlicense")
+TEMPLATES |= {f"{x}-spdx": f"SPDX-License-Identifier: {x}" for x in SPDX} | {"Apache-2.0-name": "Apache License 2.0", "Apache-2.0-short": "Apache-2.0 license"}
+NOTICE = 60  # words of a template up to which it is a notice: it names its license, and must do so
+#: Words by which a notice names its license; all of a notice's own must be aligned.
+TELLING = {"1", "2", "2.1", "3", "4", "nc", "sa", "nd", "sharealike", "noncommercial", "noderivatives", "lesser", "affero", "clause", "mit", "apache", "bsd", "gnu", "cc", "mozilla"}
+#: Words that make another license of the one that is named.
+MODIFIERS = {"nc", "sa", "nd", "sharealike", "noncommercial", "noderivatives", "lesser", "affero"}
 
 _TOKEN = re.compile(r"[^\W_]+(?:\.\d+)*")
 
 
+def plain(word: str) -> str:
+    """Lower case; version 3.0 is 3."""
+    return word.lower().removesuffix(".0") if word[0].isdigit() else word.lower()
+
+
 def words_of(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    return [plain(w) for w in _TOKEN.findall(text)]
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -204,12 +217,31 @@ def _stretches(places: list[int], need: int, span: int) -> list[tuple[int, int]]
 
 
 def _told(template: list[str], words: list[str], lo: int, pairs: list[tuple[int, int]]) -> bool:
-    """Whether all telling words of the template are aligned, and no other one stands between them in the text."""
+    """Whether a notice's telling words are all aligned, and no word between them makes another license of it."""
+    if len(template) > NOTICE:
+        return True
     aligned = {i for i, _ in pairs}
     if any(w in TELLING and i not in aligned for i, w in enumerate(template)):
         return False
     places, own = {lo + j for _, j in pairs}, set(template)
-    return not any(words[i] in TELLING and words[i] not in own and i not in places for i in range(lo + pairs[0][1], lo + pairs[-1][1] + 1))
+    return not any(words[i] in MODIFIERS and words[i] not in own and i not in places for i in range(lo + pairs[0][1], lo + pairs[-1][1] + 1))
+
+
+@lru_cache(4096)
+def _apart(a: tuple, b: tuple) -> frozenset:
+    """The places of a's words that b doesn't have."""
+    return frozenset(range(len(a))) - {i for i, _ in patience(list(a), list(b))}
+
+
+def _stands(mine: tuple, others: list[tuple]) -> bool:
+    """Whether a find isn't rather one of the relatives found at its place: of the words that it has and the relative hasn't, half are there."""
+    _, x, y, template, aligned = mine
+    for _, a, b, other, _ in others:
+        if other != template and a < y and x < b:
+            own = _apart(template, other)
+            if own and 2 * len(own & aligned) < len(own):
+                return False
+    return True
 
 
 def scan(text: str, templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> list[tuple[str, int, int, float, str]]:
@@ -217,7 +249,7 @@ def scan(text: str, templates: dict[str, str] = TEMPLATES, min_coverage: float =
     from math import ceil
 
     spans = [m.span() for m in _TOKEN.finditer(text)]
-    words = [text[x:y].lower() for x, y in spans]
+    words = [plain(text[x:y]) for x, y in spans]
     index: dict[str, list[int]] = {}
     for i, w in enumerate(words):
         index.setdefault(w, []).append(i)
@@ -242,13 +274,13 @@ def scan(text: str, templates: dict[str, str] = TEMPLATES, min_coverage: float =
             if n >= need:
                 x, y = lo + pairs[k][1], lo + pairs[j][1] + 1
                 if _told(template, words, lo, pairs[k: j + 1]):
-                    found.append((n, n / len(template), -order, name, x, y))
+                    found.append(((n, n / len(template), -order, name), x, y, tuple(template), frozenset(i for i, _ in pairs[k: j + 1])))
                 todo += [(lo, x), (y, hi)]
             elif hi - lo > span:  # repeated words hide anchors: align overlapping windows one by one
                 todo += [(at, at + span) for at in range(lo, hi - span, max(1, (span - len(template)) // 2))] + [(hi - span, hi)]
     taken: list[tuple[int, int]] = []
     out = []
-    for n, coverage, _, name, x, y in sorted(found, reverse=True):
+    for (n, coverage, _, name), x, y, _, _ in sorted((f for f in found if _stands(f, found)), key=lambda f: f[:3], reverse=True):
         if all(y <= a or b <= x for a, b in taken):
             taken.append((x, y))
             out.append((name, x, y - x, coverage, text[spans[x][0]: spans[y - 1][1]]))

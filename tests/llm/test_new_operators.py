@@ -239,3 +239,68 @@ def test_ropes_stay_balanced():
     assert depth(tree) <= 9
     a, b = fill_middle.split(tree, 33_333, "units")
     assert max(depth(a), depth(b)) <= 10
+
+
+# license scans: what was missed
+
+
+def found(make, texts):
+    from dendrolake.llm import license_scan
+
+    got = defaultdict(list)
+    for r in license_scan.license_matches(make([(i, t) for i, t in enumerate(texts)])).collect():
+        got[r.doc_id].append(r.license)
+    return [sorted(got[i]) for i in range(len(texts))]
+
+
+def test_list_marks_and_versions_do_not_hide_licenses(make):
+    from dendrolake.llm.license_scan import TEMPLATES as t
+
+    def marked(name, *marks):
+        text = t[name]
+        for n, m in zip("123", marks):
+            text = text.replace(f"{n}. ", f"{m} ")
+        assert text != t[name]
+        return text
+
+    texts, want = [], []
+    for name in ("BSD-2-Clause", "BSD-3-Clause", "Zlib"):
+        for marks in ("***", "abc", ("a)", "b)", "c)"), ("(i)", "(ii)", "(iii)"), "---"):
+            texts.append(marked(name, *marks))
+            want.append([name])
+        texts.append(t[name])
+        want.append([name])
+    words = t["MIT"].split()
+    texts += [" ".join(words[:40] + ["3"] + words[40:]), " ".join(words[:60] + ["sa", "2.0"] + words[60:])]
+    want += [["MIT"], ["MIT"]]
+    for name in ("GPL-3.0-notice", "GPL-2.0-notice"):
+        digit = name[4]
+        texts.append(t[name].replace(f" {digit}", f" {digit}.0", 1) if f" {digit}.0" not in t[name] else t[name].replace(f" {digit}.0", f" {digit}", 1))
+        want.append([name])
+    assert found(make, texts) == want
+
+
+def test_short_forms_and_strangers(make):
+    texts = ["// SPDX-License-Identifier: MIT\nint main;", "# SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier: GPL-2.0-or-later", "under the Apache License 2.0, see there", "an Apache-2.0 license applies"]
+    assert [x[:1] for x in found(make, texts)] == [["MIT-spdx"], ["Apache-2.0-spdx"], ["GPL-2.0-or-later-spdx"], ["Apache-2.0-name"], ["Apache-2.0-short"]]
+    assert found(make, ["GNU General Public License, version 4", "SPDX-License-Identifier: Nokia", "an apache helicopter and a license to fly 2 of them", "Apache License, Version 3.0"]) == [[], [], [], []]
+
+
+def test_each_license_is_missed_by_none_of_many_changes(make):
+    """Brute force over what is missed: every template, changed at random in a few words, is found where its longest common subsequence says it is there."""
+    from dendrolake.llm import license_scan
+
+    rng, texts, names = random.Random(11), [], []
+    for name, template in license_scan.TEMPLATES.items():
+        w = template.split()
+        own = set(license_scan.words_of(template))
+        for _ in range(3):
+            v = list(w)
+            for k in rng.sample(range(len(v)), len(v) // 25):
+                if not set(license_scan.words_of(v[k])) & license_scan.TELLING:
+                    v[k] = rng.choice(["", "changed", v[k] + " indeed", "7"])
+            assert own
+            texts.append("Some words before it. " + " ".join(v) + " And some after.")
+            names.append(name)
+    missed = [(n, x) for n, x in zip(names, found(make, texts)) if n not in x]
+    assert not missed
