@@ -20,30 +20,58 @@ def categorical_pick(d: Dialect) -> str:
       SELECT grp, min(item) AS item FROM c WHERE upto > total * {u} OR upto = total GROUP BY grp"""
 
 
+class Uniformised:
+    """A Markov chain with rates q as jumps at one rate; powers of its jump matrix are kept for all bridges."""
+
+    def __init__(self, q):
+        import numpy as np
+
+        self.q = np.asarray(q, float)
+        self.mu = float(-self.q.diagonal().min())
+        self.powers = [np.eye(len(self.q))]
+        self.jump = self.powers[0] + self.q / self.mu
+
+    def power(self, n: int):
+        while len(self.powers) <= n:
+            self.powers.append(self.powers[-1] @ self.jump)
+        return self.powers[n]
+
+    def jumps(self, start: int, end: int, length: float, u: float) -> int:
+        """How many jumps there are, given both ends: the least number whose share of the way to the end state exceeds u. Chances of numbers are
+        formed from their logarithms, so that long branches, where none or few jumps have no chance that a number can hold, are no
+        exception; past the number that all of it is below, the rest is rounding. Raises where the end can't be reached."""
+        from math import exp, lgamma, log, sqrt
+
+        from ..functions.ctmc import transition
+
+        goal = transition(self.q, length)[start, end] * u
+        mean = self.mu * length
+        if mean <= 0 and start != end:
+            raise ValueError("a branch without length can't change a state")
+        most, total, n = mean + 40 * sqrt(mean) + 100, 0.0, 0
+        while True:
+            total += (exp(n * log(mean) - mean - lgamma(n + 1)) if mean > 0 else 1.0) * self.power(n)[start, end]
+            if total > goal and total > 0:
+                return n
+            if n > most:
+                if total <= 0:
+                    raise ValueError(f"state {end} can't be reached from state {start}")
+                return n
+            n += 1
+
+
 def bridge(q, start: int, end: int, length: float, rng) -> list[tuple[float, int]]:
-    """Events (time from the start, new state) of a Markov chain with rates q, given its states at both ends: by
+    """Events (time from the start, new state) of a Markov chain with rates q, or a Uniformised one, given its states at both ends: by
     uniformisation, the number of jumps first, then their states backwards from the end's probabilities."""
     import numpy as np
 
-    q = np.asarray(q, float)
-    mu = float(-q.diagonal().min())
-    p = np.eye(len(q)) + q / mu
-    powers, poisson, total, n = [np.eye(len(q))], np.exp(-mu * length), 0.0, 0
-    from ..functions.ctmc import transition
-
-    goal = transition(q, length)[start, end] * rng.random()
-    while True:
-        total += poisson * powers[n][start, end]
-        if total >= goal or n > 10_000:
-            break
-        n += 1
-        poisson *= mu * length / n
-        powers.append(powers[-1] @ p)
+    chain = q if isinstance(q, Uniformised) else Uniformised(q)
+    n = chain.jumps(start, end, length, rng.random())
     times = np.sort(rng.random(n)) * length
     out, state = [], start
     for k in range(n):
-        w = p[state] * powers[n - k - 1][:, end]
-        new = int(rng.choice(len(q), p=w / w.sum()))
+        w = chain.jump[state] * chain.power(n - k - 1)[:, end]
+        new = int(np.searchsorted(np.cumsum(w), rng.random() * w.sum(), "right"))
         if new != state:
             out.append((float(times[k]), new))
             state = new
@@ -60,11 +88,12 @@ def sample_bridges(ends: DataFrame, q: Sequence[Sequence[float]], seed: int = 1)
         import numpy as np
         import pandas as pd
 
+        chain = Uniformised(q)
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
                 state = int(r.start_state)
-                for t, new in bridge(q, state, int(r.end_state), float(r.length), np.random.default_rng(int(r.seed) & ((1 << 63) - 1))):
+                for t, new in bridge(chain, state, int(r.end_state), float(r.length), np.random.default_rng(int(r.seed) & ((1 << 63) - 1))):
                     out.append((r.tree_id, r.node, r.site, t, state, new))
                     state = new
             yield pd.DataFrame(out, columns=["tree_id", "node", "site", "time", "old_state", "new_state"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import by_level, cut
 from ..plans.plan import Dialect, plan
 
 CUT = 4  # levels of a sweep between two checkpoints
@@ -85,7 +85,7 @@ def fitch_states(node: DataFrame, sets: DataFrame, reference: DataFrame) -> Data
     the root) where the node's set has it, else the smallest of the set. Also the parent's state."""
     place = node.select("tree_id", "node", "parent", "depth")
     depth = node.agg(F.max("depth")).first()[0] or 0
-    rows = sets.join(place, ["tree_id", "node"]).select("tree_id", "node", "parent", "depth", "site", "mask")
+    rows = by_level(sets.join(place, ["tree_id", "node"]).select("tree_id", "node", "parent", "depth", "site", "mask"), "depth")
     smallest = F.length(F.bin(F.col("mask").bitwiseAND(-F.col("mask")))) - 1
 
     def choose(given: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def fitch_states(node: DataFrame, sets: DataFrame, reference: DataFrame) -> Data
         level = choose(rows.where(F.col("depth") == d).join(upper, ["tree_id", "parent", "site"]))
         level = cut(level) if d % CUT == 0 else level
         out = out.unionByName(level)
-    return out
+    return cut(out)
 
 
 def fitch_states_text() -> str:
@@ -111,16 +111,28 @@ def fitch_states_text() -> str:
       SELECT * FROM s"""
 
 
-def parsimony_events(node: DataFrame, states: DataFrame, seed: int = 0) -> DataFrame:
+@plan("states", "node")
+def placed_events(d: Dialect, seed: int = 0, above: bool = True) -> str:
     """One event for each node and site whose state isn't its parent's, at a height drawn on the branch by a hash of the
-    place; above the root at the root's height."""
-    from ..functions.numeric import hash_uniform
-
-    ends = node.alias("n").join(node.alias("p"), F.expr("n.tree_id = p.tree_id AND n.parent = p.node"), "left").selectExpr("n.tree_id", "n.node", "n.height AS lo", "coalesce(p.height, n.height) AS hi")
-    u = hash_uniform(F.lit(seed), F.col("tree_id"), F.col("node"), F.col("site"))
-    return states.where("state <> parent_state").join(ends, ["tree_id", "node"]).select(
-        "tree_id", "node", (F.col("lo") + u * (F.col("hi") - F.col("lo"))).alias("time"), "site", F.col("parent_state").alias("old_state"), F.col("state").alias("new_state")
-    )
+    place; above the root, if wanted, at the root's height. states: of fitch_states."""
+    place = f"concat('{seed}-', CAST(s.tree_id AS {d.text}), '-', CAST(s.node AS {d.text}), '-', CAST(s.site AS {d.text}))"
+    return f"""SELECT s.tree_id, s.node, round(n.height + ({d.hash32(place)} + 0.5E0) / 4294967296.0E0 * (coalesce(p.height, n.height) - n.height), 12) AS time, s.site, s.parent_state AS old_state, s.state AS new_state
+      FROM {{states}} s JOIN {{node}} n ON n.tree_id = s.tree_id AND n.node = s.node LEFT JOIN {{node}} p ON p.tree_id = n.tree_id AND p.node = n.parent WHERE s.state <> s.parent_state{"" if above else " AND n.parent IS NOT NULL"}"""
+
+
+@plan("states", "node")
+def rebased_reference(d: Dialect) -> str:
+    """The root's states as the reference of each tree: tree_id, site, state. From it, no events above the root are needed."""
+    return "SELECT s.tree_id, s.site, s.state FROM {states} s JOIN {node} n ON n.tree_id = s.tree_id AND n.node = s.node WHERE n.parent IS NULL"
+
+
+def parsimony_events(node: DataFrame, states: DataFrame, seed: int = 0) -> DataFrame:
+    return placed_events.given(seed=seed)(states=states, node=node)
+
+
+def parsimony_history(node: DataFrame, states: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A history with as few events as needed: its reference, which is the root's sequence, and the events below the root."""
+    return rebased_reference(states=states, node=node), placed_events.given(seed=seed, above=False)(states=states, node=node)
 
 
 LEVELS = 24

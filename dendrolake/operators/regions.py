@@ -53,6 +53,7 @@ def explore(regions: DataFrame, node: DataFrame, chosen: DataFrame, extra: int =
     """REGION of the regions reached: from the junction where the subtree is attached, along branches, through junctions and between tips that
     `shortcuts` (tree_id, a, b) names, while differences are at most max(1, those at the start) + extra. Stretches of regions on a branch within
     the threshold are one step, and each round takes all that are next to what is reached, until there is nothing new."""
+    regions = cut(regions)
     parent = node.select("tree_id", "node", "parent")
     origin = chosen.join(parent, (chosen["tree_id"] == parent["tree_id"]) & (chosen["x"] == parent["node"])).select(chosen["tree_id"], "x", parent["parent"].alias("p"))
     # what touches a junction: the last region of its own branch and the first ones of its children's

@@ -1,4 +1,4 @@
-"""Cutting the lineage of what a loop builds step by step."""
+"""Cutting the lineage of what a loop builds step by step: tables in the folder that all executors share."""
 
 from __future__ import annotations
 
@@ -7,26 +7,22 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that all executors share, so that later steps neither plan nor compute it again.
-    Without such a folder (spark.checkpoint.dir), as in small local runs, df as it is."""
-    session = df.sparkSession
-    context = session.sparkContext
-    if not context.getCheckpointDir():
-        folder = session.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            return df
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
-def by_level(df: DataFrame, column: str) -> DataFrame:
-    """df as a table in that folder, a part for each value of column, so that reading one value reads its rows alone. Without such
-    a folder df as it is."""
+def _written(df: DataFrame, label: str, *partitions: str) -> DataFrame:
     session = df.sparkSession
     folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         return df
-    path = f"{folder}/levels-{uuid.uuid4().hex}"
-    df.write.partitionBy(column).parquet(path)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(*partitions) if partitions else df.write).parquet(path)
     return session.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table in that folder (spark.checkpoint.dir), so that later steps neither plan nor compute it again.
+    Without such a folder, as in small local runs, df as it is."""
+    return _written(df, "cut")
+
+
+def by_level(df: DataFrame, column: str) -> DataFrame:
+    """The same with a part for each value of column, so that reading one value reads its rows alone."""
+    return _written(df, "levels", column)

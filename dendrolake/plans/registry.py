@@ -56,6 +56,7 @@ def more_views(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
         "root_state": (("tips",), d.series("0", "15", "site", "tips", "tree_id").replace("SELECT tree_id,", "SELECT tree_id, CAST(tree_id % 4 AS BIGINT) AS state,", 1)),
         "ticks": (("trace",), d.series("0", "5", "k", f"(SELECT concat(method, experiment, '-', CAST(seed AS {d.text})) AS run, row_number() OVER (PARTITION BY method, experiment, seed ORDER BY sample) - 1 AS i, value FROM trace) t", "run, i, value")),
         "tree_log": (("ticks",), f"SELECT run, CAST(i AS BIGINT) AS i, concat(CAST(k AS {d.text}), ':', CAST(CAST(floor(value / (10.0E0 * (k + 1))) AS BIGINT) % 3 AS {d.text})) AS clade FROM ticks"),
+        "tree_numbers": (("ticks",), "SELECT DISTINCT run, i FROM ticks"),
         "experiment_stats": of(traces.mean_by_experiment),
         "summary": of(traces.convergence_summary),
         "rate": ((), "SELECT * FROM (VALUES " + ", ".join(f"({i}, {j}, {(0.1, 0.2, 0.3, 0.4)[j] * (2 if abs(i - j) == 2 else 1)!r}E0)" for i in range(4) for j in range(4) if i != j) + ") AS t(from_state, to_state, q)"),
@@ -103,7 +104,7 @@ _register(history.set_root_states, sequences.without_gap_columns, traces.mean_by
 _register(traces.cleaned_trace, trace="merged_trace")
 _register(parsimony.fitch_site_filter, scores="fitch_roots")
 _register(traces.ess_curve, traces.converged_at)
-_register(tree_samples.clade_flips, tree_samples.topology_changes, clades="tree_log")
+_register(tree_samples.clade_flips, tree_samples.topology_changes, clades="tree_log", trees="tree_numbers")
 _register(history.violations, mut="broken", carried="broken_carried")
 _register(history.history_distance, other_carried="broken_carried")
 _register(history.list_violations, listed="broken_list")
@@ -208,6 +209,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def parsimony_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         return parsimony.parsimony_events(domain(spark, sf_dir, "node")["node"], fitch_states(spark, sf_dir))
 
+    def parsimony_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+        reference, events = parsimony.parsimony_history(domain(spark, sf_dir, "node")["node"], fitch_states(spark, sf_dir))
+        rooted = reference.selectExpr("tree_id", "CAST(NULL AS BIGINT) AS node", "CAST(NULL AS DOUBLE) AS time", "site", "CAST(NULL AS BIGINT) AS old_state", "state AS new_state")
+        return rooted.unionByName(events)
+
     def removal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = domain(spark, sf_dir, "node", "tip_state")
         return tip_removal.removal_scores(t["node"], t["tip_state"])
@@ -260,7 +266,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out |= {"explored_regions": explored_regions, "upgma_site_filter": upgma_site_filter, "upgma_tree": lambda spark, sf_dir: clustering.upgma_tree(domain(spark, sf_dir, "masked")["masked"], 100)}
     out["subtree_stats"] = lambda spark, sf_dir: domain(spark, sf_dir, "stats")["stats"]
     out |= {"history_density": history_density, "close_classes": close_classes, "classes_two_apart": classes_two_apart, "tip_neighbours": tip_neighbours}
-    return out | {"fitch_states": fitch_states, "parsimony_events": parsimony_events, "removal_scores": removal_scores, "tip_removal_ess": tip_removal_ess}
+    return out | {"fitch_states": fitch_states, "parsimony_events": parsimony_events, "parsimony_history": parsimony_history, "removal_scores": removal_scores, "tip_removal_ess": tip_removal_ess}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -294,6 +300,11 @@ def oracle_sql() -> dict[str, str]:
     out["param_trajectory"] = text(("param_trajectory",), "SELECT * FROM param_trajectory")
     out["applied_configurations"] = text(("base_operator", "base_attribute", "configuration", "removed_operator", "changed_attribute", "added_operator", "added_attribute"), configurations.applied_text())
     out["joint_intervals"] = text(("node",), tree_samples.interval_rows.text(ANSI).format(events=f"({tree_samples.joint_events_text(0.4)})"))
+    states = f"({parsimony.fitch_states_text()})"
+    events, rooted = parsimony.placed_events, parsimony.rebased_reference.text(ANSI).format(states=states, node="node")
+    out["parsimony_events"] = text(("node", "fitch", "reference"), events.text(ANSI).format(states=states, node="node"))
+    below = events.given(above=False).text(ANSI).format(states=states, node="node")
+    out["parsimony_history"] = text(("node", "fitch", "reference"), f"SELECT tree_id, NULL AS node, NULL AS time, site, NULL AS old_state, state AS new_state FROM ({rooted}) r UNION ALL SELECT tree_id, node, time, site, old_state, new_state FROM ({below}) b")
     out["explored_regions"] = text(("node", "mut", "carried", "reference", "chosen", "shortcut"), regions.explored_text(2))
     out["subtree_stats"] = text(("stats",), "SELECT * FROM stats")
     out["tracer_ess"] = out["ess_by_lags"]

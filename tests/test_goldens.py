@@ -185,7 +185,7 @@ def test_clades_come_and_go(spark):
     clades = spark.createDataFrame(rows, "run string, i long, clade string")
     got = {r.clade: (r.support, r.flips) for r in tree_samples.clade_flips(clades=clades).collect()}
     assert got == {"x": (0.5, 3), "y": (pytest.approx(5 / 6, abs=1e-6), 1)}
-    assert tree_samples.topology_changes(clades=clades).first().changes == 4
+    assert tree_samples.topology_changes(clades=clades, trees=clades.select("run", "i").distinct()).first().changes == 4
 
 
 def test_intervals_of_a_tree(spark):
