@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,15 +12,17 @@ def _written(df: DataFrame, label: str, *partitions: str) -> DataFrame:
     session = df.sparkSession
     folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        return df
+        if not session.sparkContext.master.startswith("local"):
+            return df
+        folder = f"file://{tempfile.gettempdir()}/dendrolake-levels"  # one machine has all
     path = f"{folder}/{label}-{uuid.uuid4().hex}"
     (df.write.partitionBy(*partitions) if partitions else df.write).parquet(path)
     return session.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a table in that folder (spark.checkpoint.dir), so that later steps neither plan nor compute it again.
-    Without such a folder, as in small local runs, df as it is."""
+    """df as a table in that folder (spark.checkpoint.dir), so that later steps neither plan nor compute it again. Without such a folder a
+    local session has a temporary one, and on a cluster df is as it is."""
     return _written(df, "cut")
 
 
