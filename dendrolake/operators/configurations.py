@@ -34,6 +34,21 @@ def apply_configurations(base: DataFrame, configs: DataFrame, removed: DataFrame
     return now.unionByName(copies).select("config", place.alias("place"), "operator", "spec", "attributes")
 
 
+def operator_mixes(operators: DataFrame, given: list[str] = ()) -> DataFrame:
+    """mix, operator, weight: each operator alone, all with their own weights (`baseline`), and mixes given as `name=operator:weight,operator:weight`, which come in the
+    place of others of their name. operators: operator, weight. Raises where a mix isn't written so, or names an operator that isn't there."""
+    alone = operators.select(F.col("operator").alias("mix"), "operator", F.lit(1.0).alias("weight"))
+    own = operators.select(F.lit("baseline").alias("mix"), "operator", F.col("weight").cast("double").alias("weight"))
+    named = operators.sparkSession.createDataFrame([(x,) for x in given], "said string")
+    parts = named.select("said", F.substring_index("said", "=", 1).alias("mix"), F.explode_outer(F.split(F.expr("substring(said, instr(said, '=') + 1)"), ",")).alias("part"))
+    told = parts.select("said", "mix", F.substring_index("part", ":", 1).alias("operator"), F.substring_index("part", ":", -1).try_cast("double").alias("weight"))
+    odd = told.join(operators.select("operator", F.lit(True).alias("there")), "operator", "left").where("there IS NULL OR weight IS NULL OR NOT said RLIKE '^[^=]+=[^=]+$'").head(1)
+    if odd:
+        raise ValueError(f"{odd[0].said!r} isn't a mix of operators that are there")
+    rest = alone.unionByName(own).join(told.select("mix").distinct(), "mix", "left_anti")
+    return rest.unionByName(told.select("mix", "operator", "weight"))
+
+
 def attributes_text(column: str = "attributes"):
     """A map as text, keys in order."""
     return F.array_join(F.transform(F.array_sort(F.map_entries(column)), lambda e: F.concat(e.key, F.lit("="), e.value)), ",")

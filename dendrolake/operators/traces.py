@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..plans.plan import Dialect, plan
 
@@ -10,6 +11,17 @@ CHAIN = "method, experiment, seed"
 MAX_LAG = 2000
 
 
+def concat_runs(runs: dict[str, DataFrame]) -> DataFrame:
+    """The rows of several runs under their names in a column `run`; columns that a run lacks are null there."""
+    parts = [df.withColumn("run", F.lit(name)) for name, df in runs.items()]
+    if not parts:
+        raise ValueError("there are no runs")
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x, allowMissingColumns=True)
+    return out
+
+
 @plan("trace")
 def cleaned_trace(d: Dialect) -> str:
     """Rows whose sample is below the next line's, in file order; the last row stays. One pass."""

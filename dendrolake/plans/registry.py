@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import carries, clustering, configurations, convergence, density, history, kernels, likelihood, neighbours, parsimony, records, regions, sequences, tip_removal, traces, tree_samples, trees
 from .bindings import views, with_views
+from .lineage import cut
 from .plan import ANSI, SPARK, Dialect, Plan
 
 # Fixed tables of the driver that views read.
@@ -164,7 +165,7 @@ def domain(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
             out[name] = trees.ancestor_closure(domain(spark, sf_dir, "leaf_first_node")["leaf_first_node"])
         elif name == "closure":
             # plans read it several times
-            out[name] = trees.ancestor_closure(domain(spark, sf_dir, "node")["node"]).persist()
+            out[name] = cut(trees.ancestor_closure(domain(spark, sf_dir, "node")["node"]))
         elif name == "fitch_roots":
             out[name] = parsimony.fitch_scores(**domain(spark, sf_dir, "fitch", "node"))
         elif name == "param_trajectory":

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from dendrolake.operators import configurations, convergence
+from dendrolake.operators import configurations, convergence, traces
 from dendrolake.sources import cache, readers
 from dendrolake.streaming import queues
 
@@ -116,6 +116,29 @@ def test_configurations(spark):
         configurations.apply_configurations(base, configs, spark.createDataFrame([("more", "slide")], removed.schema), changed, added)
 
 
+def test_operator_mixes(spark):
+    operators = spark.createDataFrame([("a", 3.0), ("b", 5.0)], "operator string, weight double")
+    got = {(r.mix, r.operator): r.weight for r in configurations.operator_mixes(operators, ["half=a:0.5,b:1", "b=a:2"]).collect()}
+    assert got == {("a", "a"): 1, ("b", "a"): 2, ("baseline", "a"): 3, ("baseline", "b"): 5, ("half", "a"): 0.5, ("half", "b"): 1}
+    for bad in ("x", "x=a", "x=c:1", "x=a:y"):
+        with pytest.raises(ValueError):
+            configurations.operator_mixes(operators, [bad])
+    assert configurations.operator_mixes(operators).count() == 4
+
+
+def test_trees_from_a_part_of_a_log_and_runs_together(spark):
+    trees = spark.createDataFrame([(f, 10 * i, f"({f}{i});") for f in "ab" for i in range(11)], "file string, state long, newick string")
+    got = readers.trees_from(trees, 0.5, 3)
+    assert sorted((r.file, r.state) for r in got.collect()) == [(f, s) for f in "ab" for s in (50, 60, 70)]
+    assert readers.trees_from(trees, 0.0).count() == 22 and got.columns == trees.columns
+    with pytest.raises(ValueError):
+        readers.trees_from(trees, 1.0)
+    both = traces.concat_runs({"x": spark.range(2).selectExpr("id AS sample", "1.0D AS a"), "y": spark.range(1).selectExpr("id AS sample", "2.0D AS b")})
+    assert sorted((r.run, r.sample, r.a, r.b) for r in both.collect()) == [("x", 0, 1.0, None), ("x", 1, 1.0, None), ("y", 0, None, 2.0)]
+    with pytest.raises(ValueError):
+        traces.concat_runs({})
+
+
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
