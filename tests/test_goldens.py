@@ -200,7 +200,7 @@ def test_saved_states_blocks_and_workbooks(spark, tmp_path):
     import zipfile
 
     (tmp_path / "s.xml").write_text("<state>\n<statenode id='Tree'>((0:1,2:1)4:0.5,1:2)5</statenode>\n<statenode id='kappa'>kappa: 2.5</statenode>\n<statenode id='freq'>freq[4 1]: 0.2 0.8</statenode>\n</state>")
-    (tmp_path / "d.xml").write_text('<beast>\n<data>\n<sequence taxon="A" value="ac"/>\n<sequence taxon="B" value="gg"/>\n<sequence taxon="C" value="tt"/>\n</data>\n<data>\n<sequence taxon="D" value="aa"/>\n</data></beast>')
+    (tmp_path / "d.xml").write_text('<model>\n<data>\n<sequence taxon="A" value="ac"/>\n<sequence taxon="B" value="gg"/>\n<sequence taxon="C" value="tt"/>\n</data>\n<data>\n<sequence taxon="D" value="aa"/>\n</data></model>')
     assert readers.read_state_tree(spark, str(tmp_path / "s.xml"), "Tree", str(tmp_path / "d.xml")) == "((A:1,C:1):0.5,B:2);"
     assert {(r.id, r.value) for r in readers.read_state_values(spark, str(tmp_path / "s.xml")).collect()} == {("kappa", "2.5")}
     assert [r.sequence for r in readers.read_first_data_block(spark, str(tmp_path / "d.xml")).orderBy("line_no").collect()] == ["AC", "GG", "TT"]

@@ -15,7 +15,7 @@ from dendrolake.streaming import queues
 def logs(folder, started="2024-01-01 00:00:00"):
     rng = random.Random(1)
     for seed in (1, 2):
-        for method, rho in (("emat", 0.1), ("plain", 0.95)):
+        for method, rho in (("brisk", 0.1), ("plain", 0.95)):
             lines, slow = [f"# Started job at {started}", "Sample\tposterior\tclock\tfixed\tname"], 0.0
             for i in range(300):
                 slow = 0.97 * slow + rng.gauss(0, 1)
@@ -26,7 +26,7 @@ def logs(folder, started="2024-01-01 00:00:00"):
 def test_convergence_report_of_log_files(spark, tmp_path):
     logs(tmp_path)
     found = readers.discover_logs(spark, str(tmp_path)).collect()
-    assert [(r.method, r.experiment, r.seed) for r in found] == [("emat", "flu", 1), ("emat", "flu", 2), ("plain", "flu", 1), ("plain", "flu", 2)]
+    assert [(r.method, r.experiment, r.seed) for r in found] == [("brisk", "flu", 1), ("brisk", "flu", 2), ("plain", "flu", 1), ("plain", "flu", 2)]
     parts = [readers.long_trace(readers.read_trace(spark, r.path)).select(F.lit(r.method).alias("method"), F.lit(r.experiment).alias("experiment"), F.lit(r.seed).alias("seed"), "param", "sample", "value") for r in found]
     trace = parts[0]
     for x in parts[1:]:
@@ -34,23 +34,23 @@ def test_convergence_report_of_log_files(spark, tmp_path):
     last = spark.createDataFrame([(r.path, 299_000) for r in found], "path string, last long")
     seconds = {r.path: r.seconds for r in readers.seconds_per_sample(spark, str(tmp_path), last).collect()}
     assert len(seconds) == 4 and all(s > 0 for s in seconds.values())
-    cost = spark.createDataFrame([("emat", 6e4), ("plain", 6e4)], "method string, us double")  # a minute for 1000 samples
+    cost = spark.createDataFrame([("brisk", 6e4), ("plain", 6e4)], "method string, us double")  # a minute for 1000 samples
     trajectory = convergence.param_trajectory(trace).persist()
     assert {r.param for r in trajectory.select("param").distinct().collect()} == {"posterior", "clock"}  # neither the constant nor the text
     assert trajectory.groupBy("method", "seed", "param").count().where("count <> 20").count() == 0
     times = convergence.param_times.given(target=100.0)(param_trajectory=trajectory, cost=cost)
     runs = convergence.run_times(param_times=times)
     got = {(r.method, r.seed): r for r in runs.collect()}
-    assert got["plain", 1].slowest == "clock" and got["plain", 1].projected and not got["emat", 1].projected
+    assert got["plain", 1].slowest == "clock" and got["plain", 1].projected and not got["brisk", 1].projected
     summary = {r.method: r for r in convergence.run_summary(run_times=runs).collect()}
-    assert summary["plain"].any_projected and summary["plain"].slowest == "clock" and summary["plain"].median_minutes > summary["emat"].median_minutes
+    assert summary["plain"].any_projected and summary["plain"].slowest == "clock" and summary["plain"].median_minutes > summary["brisk"].median_minutes
     speed = {r.method: r.speedup for r in convergence.method_speedup.given(base="plain")(run_times=runs).collect()}
-    assert speed["plain"] == 1 and speed["emat"] > 1
+    assert speed["plain"] == 1 and speed["brisk"] > 1
     slow = {(r.method, r.param): r for r in convergence.param_slowness(param_times=times).collect()}
     assert slow["plain", "clock"].mean == 1 and slow["plain", "clock"].place == 1 and slow["plain", "posterior"].place == 2
     assert {r.param for r in convergence.least_param(param_trajectory=trajectory).where("method = 'plain'").collect()} == {"clock"}
     left = {(r.method, r.seed): r.remaining for r in convergence.remaining_samples.given(target=100.0)(param_trajectory=trajectory).collect()}
-    assert left["emat", 1] == 0 and left["plain", 1] > 300_000
+    assert left["brisk", 1] == 0 and left["plain", 1] > 300_000
     trajectory.unpersist()
 
 
