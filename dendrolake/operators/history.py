@@ -209,3 +209,37 @@ def missing_clade_regions(d: Dialect, levels: int = 4) -> str:
       top AS (SELECT c.tree_id, c.node AS tip, u.site, max_by(c.ancestor, c.steps) AS clade FROM {{closure}} c JOIN u ON u.tree_id = c.tree_id AND u.node = c.ancestor
         JOIN {{node}} n ON n.tree_id = c.tree_id AND n.node = c.node AND n.is_leaf WHERE c.steps <= {levels} GROUP BY c.tree_id, c.node, u.site)
       SELECT tree_id, tip, clade, {d.collect("site", "site")} AS sites, count(*) AS n FROM top GROUP BY tree_id, tip, clade"""
+
+
+@plan("mut", "replaced", "replacement")
+def replaced_sites(d: Dialect) -> str:
+    """Histories with new events at some sites of some branches, linked anew. replaced(tree_id, node, site): where all old events go; replacement(tree_id, node, time, site, old_state, new_state): those that
+    come, at these places only. Everything else stays."""
+    columns = "tree_id, node, time, site, old_state, new_state"
+    said = ", ".join(f"m.{c}" for c in columns.split(", "))
+    return f"""WITH gone AS (SELECT DISTINCT tree_id, node, site FROM {{replaced}}),
+      x AS (SELECT {said} FROM {{mut}} m LEFT JOIN gone g ON g.tree_id = m.tree_id AND g.node = m.node AND g.site = m.site WHERE g.site IS NULL
+        UNION ALL SELECT {said} FROM {{replacement}} m JOIN gone g ON g.tree_id = m.tree_id AND g.node = m.node AND g.site = m.site)
+      SELECT {columns}, lag(time) OVER (PARTITION BY tree_id, node, site ORDER BY time DESC) AS prev_time FROM x"""
+
+
+_BRANCHES = """SELECT n.tree_id, n.node, n.height AS lo, p.height AS hi, a.height AS new_lo, b.height AS new_hi FROM {node} n JOIN {node} p ON p.tree_id = n.tree_id AND p.node = n.parent
+        JOIN {new_height} a ON a.tree_id = n.tree_id AND a.node = n.node JOIN {new_height} b ON b.tree_id = p.tree_id AND b.node = p.node"""
+
+
+@plan("node", "new_height", "linked")
+def mapped_events(d: Dialect) -> str:
+    """Events and the times before them, moved with the ends of their branches to new_height(tree_id, node, height): linearly, an upper end to just the upper end, and never off the
+    branch. Those above the root stay, as their times mean nothing."""
+    def to(t: str) -> str:
+        return f"CASE WHEN b.node IS NULL OR {t} IS NULL THEN {t} WHEN {t} = b.hi THEN b.new_hi ELSE least(greatest(b.new_lo + ({t} - b.lo) / (b.hi - b.lo) * (b.new_hi - b.new_lo), b.new_lo), b.new_hi) END"
+
+    return f"""WITH b AS ({_BRANCHES})
+      SELECT l.tree_id, l.node, l.site, round({to("l.time")}, 9) AS time, round({to("l.prev_time")}, 9) AS prev_time, l.old_state, l.new_state FROM {{linked}} l LEFT JOIN b ON b.tree_id = l.tree_id AND b.node = l.node"""
+
+
+@plan("node", "new_height", "linked")
+def mapping_jacobian(d: Dialect) -> str:
+    """The log Jacobian of mapped_events: for each tree the sum over its events of the log of the new over the old length of their branch."""
+    return f"""WITH b AS ({_BRANCHES}), m AS (SELECT tree_id, node, count(*) AS n FROM {{linked}} GROUP BY tree_id, node)
+      SELECT b.tree_id, CAST(sum(m.n) AS BIGINT) AS events, round(sum(m.n * ln((b.new_hi - b.new_lo) / (b.hi - b.lo))), 6) AS log_jacobian FROM b JOIN m ON m.tree_id = b.tree_id AND m.node = b.node GROUP BY b.tree_id"""

@@ -181,3 +181,35 @@ def cigar_project(d: Dialect) -> str:
         FROM q JOIN {{aligned}} a ON a.id = q.id),
       j AS (SELECT id, {d.listagg("part", "", "pos")} AS body FROM p GROUP BY id)
       SELECT a.id, concat(repeat('N', a.ref_start), j.body, repeat('N', greatest(0, a.ref_len - a.ref_start - CAST(length(j.body) AS INT)))) AS sequence FROM j JOIN {{aligned}} a ON a.id = j.id"""
+
+
+@plan("taxon")
+def field_ids(d: Dialect, field: int | None = None) -> str:
+    """The id of a header: the field between bars with a number from zero on, blanks around it dropped, null where there is none; without a number the first word, words being apart by blanks or bars."""
+    value = f"trim(split_part(header, '|', {field + 1}))" if field is not None else d.extract("trim(header)", r"^[^\s|]*", 0)
+    bars = "length(header) - length(replace(header, '|', ''))"
+    return f"SELECT doc_id, header, {value if field is None else f'CASE WHEN {bars} >= {field} THEN {value} END'} AS id FROM {{taxon}}"
+
+
+@plan("named")
+def wanted_aliases(d: Dialect, country: str = "UK", prefix: str = "COG-UK/") -> str:
+    """named(name, country, date, line_no) of a study: the aliases (a prefix and the second part between slashes) of a country's dated samples; of several rows of an alias the last one stays. Names without a second part have no alias."""
+    return f"""SELECT alias, max_by(name, line_no) AS name, max_by(date, line_no) AS date, count(*) AS n FROM (SELECT concat('{prefix}', split_part(name, '/', 2)) AS alias, name, date, line_no FROM {{named}}
+      WHERE country = '{country}' AND date <> '' AND name LIKE '%/%') x GROUP BY alias"""
+
+
+@plan("taxon")
+def trait_lists(d: Dialect) -> str:
+    """Traits of the records of each year, in the order of their ids: `name=date`, each on a line of its own, and `name=NOT_SET`, on one line."""
+    dates = d.listagg("concat(header, '=', raw_date)", "@", "doc_id")
+    return f"""SELECT substring(raw_date, 1, 4) AS dataset, replace({dates}, '@', concat(',', chr(10))) AS dates, {d.listagg("concat(header, '=NOT_SET')", ",", "doc_id")} AS types, count(*) AS n FROM {{taxon}} GROUP BY substring(raw_date, 1, 4)"""
+
+
+@plan("bounds")
+def imputed_in_order(d: Dialect, seed: int = 0) -> str:
+    """bounds(dataset, position, first, last): dates drawn from first to last, the k-th dated row of a dataset by the k-th draw, whatever its id: rows without a date take none. A draw is
+    a hash of seed, dataset and k, so that draws don't wait for each other; only the numbering reads a dataset in order."""
+    days = d.days("last", "first")
+    draw = d.hash32(f"concat('{seed}:', CAST(dataset AS {d.text}), ':', CAST(k AS {d.text}))")
+    offset = d.idiv(f"{draw} * ({days} + 1)", "4294967296")
+    return f"""SELECT dataset, position, k, {d.iso(d.plus_days("first", offset))} AS date, {days} > 0 AS imputed FROM (SELECT dataset, position, first, last, row_number() OVER (PARTITION BY dataset ORDER BY position) AS k FROM {{bounds}} WHERE first IS NOT NULL AND last >= first) b"""

@@ -141,3 +141,17 @@ def without_gap_columns(d: Dialect) -> str:
     """Each taxon's sequence without the columns in which all taxa have a gap."""
     return f"""WITH kept AS (SELECT dataset, site FROM {{aln}} GROUP BY dataset, site HAVING max(CASE WHEN ch = '-' THEN 0 ELSE 1 END) = 1)
       SELECT a.dataset, a.taxon, {d.listagg("a.ch", "", "a.site")} AS sequence FROM {{aln}} a JOIN kept k ON a.dataset = k.dataset AND a.site = k.site GROUP BY a.dataset, a.taxon"""
+
+
+@plan("masked", "scores")
+def selection_weights(d: Dialect, kind: str = "missing", pseudo: float = 0.1, missing: float = 1.0) -> str:
+    """Weights by which sites are picked, their running sum and their chance. kind: uniform, all one; parsimony, scores(dataset, site, score) plus a pseudo count; missing, that plus a
+    weight times the share of taxa with several states. Sites without a score have zero; datasets whose weights are all zero have no chance (null)."""
+    if kind not in ("uniform", "parsimony", "missing"):
+        raise ValueError(f"unknown kind of weights: {kind}")
+    if pseudo < 0 or missing < 0:
+        raise ValueError("pseudo counts and weights must not be negative")
+    weight = {"uniform": "1.0E0", "parsimony": f"coalesce(s.score, 0) + {pseudo!r}E0", "missing": f"coalesce(s.score, 0) + {pseudo!r}E0 + {missing!r}E0 * u.share"}[kind]
+    return f"""WITH u AS (SELECT dataset, site, avg(CASE WHEN bit_count(mask) > 1 THEN 1.0E0 ELSE 0.0E0 END) AS share FROM {{masked}} GROUP BY dataset, site),
+      w AS (SELECT u.dataset, u.site, {weight} AS weight FROM u LEFT JOIN {{scores}} s ON s.dataset = u.dataset AND s.site = u.site)
+      SELECT dataset, site, round(weight, 6) AS weight, round(sum(weight) OVER (PARTITION BY dataset ORDER BY site ROWS UNBOUNDED PRECEDING), 6) AS cumulative, round(weight / nullif(sum(weight) OVER (PARTITION BY dataset), 0), 6) AS chance FROM w"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import carries, clustering, configurations, convergence, density, history, kernels, likelihood, neighbours, parsimony, records, regions, sequences, tip_removal, traces, tree_samples, trees
+from ..operators import carries, clustering, configurations, convergence, density, hazards, history, kernels, likelihood, neighbours, parsimony, ratios, records, refresh, regions, sequences, tip_removal, traces, tree_samples, trees
 from .bindings import views, with_views
 from .lineage import cut
 from .plan import ANSI, SPARK, Dialect, Plan
@@ -58,6 +58,26 @@ def more_views(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
         "ticks": (("trace",), d.series("0", "5", "k", f"(SELECT concat(method, experiment, '-', CAST(seed AS {d.text})) AS run, row_number() OVER (PARTITION BY method, experiment, seed ORDER BY sample) - 1 AS i, value FROM trace) t", "run, i, value")),
         "tree_log": (("ticks",), f"SELECT run, CAST(i AS BIGINT) AS i, concat(CAST(k AS {d.text}), ':', CAST(CAST(floor(value / (10.0E0 * (k + 1))) AS BIGINT) % 3 AS {d.text})) AS clade FROM ticks"),
         "tree_numbers": (("ticks",), "SELECT DISTINCT run, i FROM ticks"),
+        "stem_log": (("ticks",), f"SELECT run, CAST(i AS BIGINT) AS i, concat(CAST(k AS {d.text}), ':', CAST(CAST(floor(value / (10.0E0 * (k + 1))) AS BIGINT) % 3 AS {d.text})) AS clade, 0.0005E0 * (1 + (i * 7 + k * 11) % 13) AS stem FROM ticks"),
+        "tree_states": (("tree_numbers",), "SELECT run, CAST(i AS BIGINT) AS i, CAST(5000 + 1000 * i AS BIGINT) AS state FROM tree_numbers"),
+        "pace": (("tree_numbers",), "SELECT run, 20.0E0 + length(run) AS seconds FROM tree_numbers GROUP BY run"),
+        "clock": (("tree_numbers",), "SELECT run, 150.0E0 * length(run) AS per_time FROM tree_numbers GROUP BY run"),
+        "refreshes": of(refresh.clade_refreshes, stems="stem_log", samples="tree_states"),
+        "design": of(hazards.hat_design),
+        "hazard_densities": of(hazards.tree_hazard_density),
+        "target": (("hazard_densities",), "SELECT tree_id AS obs, log_density AS y FROM hazard_densities"),
+        "ratios": of(ratios.anchored_ratios),
+        "root_ratios": of(ratios.anchored_ratios.given(low="youngest", anchor="root")),
+        "classes": of(ratios.node_classes),
+        "new_height": (("node",), "SELECT tree_id, node, CASE WHEN is_leaf THEN height ELSE height * 1.5E0 + 0.25E0 END AS height FROM node"),
+        "replaced": (("mut",), "SELECT DISTINCT tree_id, node, site FROM mut WHERE (site + node) % 3 = 0"),
+        "replacement": (("replaced", "node", "reference"), """SELECT r.tree_id, r.node, n.height + k.k * (p.height - n.height) / 4 AS time, r.site, (f.state + 3 - k.k) % 4 AS old_state, (f.state + 4 - k.k) % 4 AS new_state
+            FROM replaced r JOIN node n ON n.tree_id = r.tree_id AND n.node = r.node JOIN node p ON p.tree_id = n.tree_id AND p.node = n.parent JOIN reference f ON f.site = r.site JOIN (VALUES (1, 0), (2, 0), (3, 1)) AS k(k, odd) ON k.odd = r.node % 2"""),
+        "site_scores": (("masked",), "SELECT dataset, site, count(DISTINCT mask) - 1 AS score FROM masked WHERE site % 10 <> 3 GROUP BY dataset, site"),
+        "named": ((), f"SELECT concat(CASE doc_id % 3 WHEN 0 THEN 'England' ELSE 'Wales' END, CASE doc_id % 17 WHEN 0 THEN '-' ELSE '/' END, 'SHEF-', CAST(doc_id % 97 AS {d.text}), '/2020') AS name, CASE doc_id % 5 WHEN 0 THEN 'FR' ELSE 'UK' END AS country, CASE doc_id % 7 WHEN 0 THEN '' ELSE concat('2020-0', CAST(1 + doc_id % 9 AS {d.text})) END AS date, doc_id AS line_no FROM documents"),
+        "date_rows": (("metadata",), "SELECT line_no AS doc_id, id AS header, raw_date FROM metadata"),
+        "dated": (("date_rows",), f"SELECT doc_id, lo, hi FROM ({records.date_bounds.text(d).format(taxon='date_rows')}) b"),
+        "bounds": (("dated",), "SELECT doc_id % 7 AS dataset, doc_id AS position, CASE WHEN doc_id % 11 > 0 THEN CAST(lo AS DATE) END AS first, CAST(hi AS DATE) AS last FROM dated"),
         "experiment_stats": of(traces.mean_by_experiment),
         "summary": of(traces.convergence_summary),
         "rate": ((), "SELECT * FROM (VALUES " + ", ".join(f"({i}, {j}, {(0.1, 0.2, 0.3, 0.4)[j] * (2 if abs(i - j) == 2 else 1)!r}E0)" for i in range(4) for j in range(4) if i != j) + ") AS t(from_state, to_state, q)"),
@@ -122,6 +142,20 @@ _register(
 )
 
 
+_register(refresh.clade_refreshes, stems="stem_log", samples="tree_states")
+_register(refresh.refresh_bins, refresh.loaded_share)
+_register(hazards.exposure_pieces, hazards.join_events, hazards.tree_hazard_density, hazards.warped_time, hazards.hat_design, hazards.ridge_sums)
+QUERIES["birth_hazard_density"] = (hazards.tree_hazard_density.given(hazard="birth_death", intercept=0.5), {"node": "leaf_first_node"})
+_register(ratios.ratio_rows, ratios.node_classes, ratios.odds_fit)
+QUERIES["root_ratio_rows"] = (ratios.ratio_rows, {"ratios": "root_ratios"})
+_register(history.replaced_sites)
+_register(history.mapped_events, history.mapping_jacobian, linked="listed")
+for _kind in ("uniform", "parsimony", "missing"):
+    QUERIES[f"{_kind}_site_weights"] = (sequences.selection_weights.given(kind=_kind), {"masked": "masked", "scores": "site_scores"})
+_register(records.wanted_aliases, records.trait_lists, records.imputed_in_order)
+QUERIES |= {"field_ids": (records.field_ids.given(field=1), {"taxon": "taxon"}), "first_words": (records.field_ids, {"taxon": "taxon"})}
+
+
 def _needs(names: tuple[str, ...], known: dict) -> list[str]:
     out: list[str] = []
 
@@ -264,6 +298,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def upgma_site_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         return parsimony.fitch_site_filter(scores=clustering.upgma_scores(domain(spark, sf_dir, "masked")["masked"], 100))
 
+    def ratio_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = domain(spark, sf_dir, "node", "stats", "ratios")
+        top = t["node"].where("parent IS NULL").join(t["stats"], ["tree_id", "node"]).selectExpr("tree_id", "oldest_tip + (height - oldest_tip) * 1.25D AS height")
+        return ratios.heights_from_ratios(t["node"], t["ratios"], top).select("tree_id", "node", F.round("height", 6).alias("height"), F.round("log_jacobian", 6).alias("log_jacobian"))
+
+    out["ratio_heights"] = ratio_heights
     out |= {"explored_regions": explored_regions, "upgma_site_filter": upgma_site_filter, "upgma_tree": lambda spark, sf_dir: clustering.upgma_tree(domain(spark, sf_dir, "masked")["masked"], 100)}
     out["subtree_stats"] = lambda spark, sf_dir: domain(spark, sf_dir, "stats")["stats"]
     out |= {"history_density": history_density, "close_classes": close_classes, "classes_two_apart": classes_two_apart, "tip_neighbours": tip_neighbours}
@@ -308,6 +348,7 @@ def oracle_sql() -> dict[str, str]:
     out["parsimony_history"] = text(("node", "fitch", "reference"), f"SELECT tree_id, NULL AS node, NULL AS time, site, NULL AS old_state, state AS new_state FROM ({rooted}) r UNION ALL SELECT tree_id, node, time, site, old_state, new_state FROM ({below}) b")
     out["explored_regions"] = text(("node", "mut", "carried", "reference", "chosen", "shortcut"), regions.explored_text(2))
     out["subtree_stats"] = text(("stats",), "SELECT * FROM stats")
+    out["ratio_heights"] = text(("node", "stats", "ratios"), ratios.heights_text("oldest", 1.25))
     out["tracer_ess"] = out["ess_by_lags"]
     out["removal_scores"] = text(("node", "tip_state"), tip_removal.removal_text())
     of_samples = tip_removal.removal_text().replace("tip_state t", "sample_tip_state t").replace(" node n ", " sample_node n ").replace("FROM node", "FROM sample_node")
