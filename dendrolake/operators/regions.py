@@ -13,17 +13,16 @@ from .sweeps import carried, places
 REGION = ["tree_id", "node", "idx", "upper", "lower", "differences"]
 
 
-def attachment_regions(node: DataFrame, mut: DataFrame, states: DataFrame, reference: DataFrame, chosen: DataFrame) -> DataFrame:
-    """REGION, first and last (whether it is the first or last one of its branch): idx counts from the top of a branch. An event brings the sequence one
-    site nearer to the subtree's, or away from it, so differences are carried from the root down and along the branches; only the root's are
-    counted. states: of all nodes, for the sites that changed on their path."""
+def differences(node: DataFrame, mut: DataFrame, states: DataFrame, reference: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(change, counts) against the sequence of the chosen node. change: tree_id, node, site, time of the events and by how much each raises the number of sites that differ; counts:
+    tree_id, node, above: that number at the top of each branch."""
     mine = chosen.join(states, (chosen["tree_id"] == states["tree_id"]) & (chosen["x"] == states["node"])).select(chosen["tree_id"], "site", F.col("state").alias("kept"))
     top = node.where("parent IS NULL").select("tree_id", F.col("node").alias("top"))
     at_root = top.join(states, (top["tree_id"] == states["tree_id"]) & (top["top"] == states["node"])).select(top["tree_id"], "site", F.col("state").alias("rooted"))
     base = reference.select("site", F.col("state").alias("base"))
     start = mine.join(at_root, ["tree_id", "site"], "full").join(base, "site").where("coalesce(kept, base) <> coalesce(rooted, base)").groupBy("tree_id").agg(F.count("*").alias("n"))
     change = mut.join(base, "site").join(mine, ["tree_id", "site"], "left").select(
-        "tree_id", "node", "time", F.expr("CASE WHEN old_state = coalesce(kept, base) THEN 1 WHEN new_state = coalesce(kept, base) THEN -1 ELSE 0 END").alias("change")
+        "tree_id", "node", "site", "time", F.expr("CASE WHEN old_state = coalesce(kept, base) THEN 1 WHEN new_state = coalesce(kept, base) THEN -1 ELSE 0 END").alias("change")
     )
     branch = by_level(places(node).join(change.groupBy("tree_id", "node").agg(F.sum("change").alias("change")), ["tree_id", "node"], "left").fillna(0, ["change"]), "depth")
     first = branch.where("depth = 0").join(chosen, "tree_id").join(start, "tree_id", "left").select("tree_id", "node", F.lit(None).cast("long").alias("above"), F.coalesce("n", F.lit(0)).alias("at"))
@@ -33,6 +32,14 @@ def attachment_regions(node: DataFrame, mut: DataFrame, states: DataFrame, refer
         return branch.where(F.col("depth") == level).join(parent, ["tree_id", "parent"]).select("tree_id", "node", "above", (F.col("above") + F.col("change")).alias("at"))
 
     counts = carried(node, first, step).where("above IS NOT NULL").select("tree_id", "node", "above")
+    return change, counts
+
+
+def attachment_regions(node: DataFrame, mut: DataFrame, states: DataFrame, reference: DataFrame, chosen: DataFrame) -> DataFrame:
+    """REGION, first and last (whether it is the first or last one of its branch): idx counts from the top of a branch. An event brings the sequence one
+    site nearer to the subtree's, or away from it, so differences are carried from the root down and along the branches; only the root's are
+    counted. states: of all nodes, for the sites that changed on their path."""
+    change, counts = differences(node, mut, states, reference, chosen)
     ends = node.alias("n").join(node.alias("p"), F.expr("n.tree_id = p.tree_id AND n.parent = p.node")).selectExpr("n.tree_id", "n.node", "n.height AS lo", "p.height AS hi").join(counts, ["tree_id", "node"])
     cuts = ends.selectExpr("tree_id", "node", "hi AS upper", "above AS change").unionByName(change.join(counts, ["tree_id", "node"]).selectExpr("tree_id", "node", "time AS upper", "CAST(change AS BIGINT) AS change"))
     w = Window.partitionBy("tree_id", "node").orderBy(F.desc("upper"), F.desc("origin"))
@@ -84,6 +91,67 @@ def explore(regions: DataFrame, node: DataFrame, chosen: DataFrame, extra: int =
     return runs.join(reached, ["tree_id", "node", "run"]).select(*REGION)
 
 
+def sorted_regions(node: DataFrame, mut: DataFrame, states: DataFrame, reference: DataFrame, chosen: DataFrame, radius: int = 2) -> DataFrame:
+    """tree_id, node, idx, upper, lower, differences, movable: regions of the branches that are at most `radius` branches away, in the tree without the chosen subtree and
+    its parent, from the branch the subtree is attached to, which isn't among them, over junctions older than the subtree's top. An event is
+    movable if it brings the sequence nearer to the subtree's and is the only one at its site on the branch; movable events (how many a branch has) count as lying above all
+    of its regions, the others that change the number of differences bound them. Subtrees below a child of the root aren't explored. A join for each step of the radius."""
+    if radius < 0:
+        raise ValueError("the radius must not be negative")
+    change, counts = differences(node, mut, states, reference, chosen)
+    place = node.select("tree_id", "node", "parent", "height")
+
+    def of(name: str, **names: str) -> DataFrame:
+        return place.select("tree_id", F.col("node").alias(name), *(F.col(k).alias(v) for k, v in names.items()))
+
+    # x is pruned, p goes, and its other child s takes the branch up to g
+    pruned = chosen.join(of("x", parent="p", height="young"), ["tree_id", "x"]).join(of("p", parent="g"), ["tree_id", "p"]).where("g IS NOT NULL")
+    sibling = pruned.join(place.select("tree_id", F.col("parent").alias("p"), F.col("node").alias("s")), ["tree_id", "p"]).where("s <> x")
+    sibling = cut(sibling.select("tree_id", "x", "p", "g", "s", "young"))
+    joined = place.join(sibling, "tree_id").where("parent IS NOT NULL AND node <> x AND node <> p").select(
+        "tree_id", "node", F.when(F.col("node") == F.col("s"), F.col("g")).otherwise(F.col("parent")).alias("top"), F.when(F.col("node") == F.col("s"), F.col("p")).otherwise(F.col("node")).alias("upper_node"), "height", "young", (F.col("node") == F.col("s")).alias("start")
+    )
+    branch = cut(joined.join(of("top", height="upper"), ["tree_id", "top"]).join(counts.withColumnRenamed("node", "upper_node"), ["tree_id", "upper_node"]))
+    sides = branch.select("tree_id", "node", "start", F.col("top").alias("joint"), F.when(F.col("height") > F.col("young"), F.col("node")).alias("to")).unionByName(branch.select("tree_id", "node", "start", F.col("node").alias("joint"), F.col("top").alias("to")))
+    fresh = branch.where("start").select("tree_id", F.explode(F.array(F.col("top"), F.when(F.col("height") > F.col("young"), F.col("node")))).alias("joint")).where("joint IS NOT NULL")
+    seen = branch.where("start").select("tree_id", "node")
+    for _ in range(radius):
+        touched = sides.join(fresh, ["tree_id", "joint"]).join(seen, ["tree_id", "node"], "left_anti").select("tree_id", "node", "to").distinct()
+        touched = cut(touched)
+        fresh = touched.where("to IS NOT NULL").select("tree_id", F.col("to").alias("joint")).distinct()
+        seen = cut(seen.unionByName(touched.select("tree_id", "node").distinct()))
+    found = branch.where("NOT start").join(seen, ["tree_id", "node"])
+    at = Window.partitionBy("tree_id", "node")
+    events = change.join(found.select("tree_id", "node"), ["tree_id", "node"]).withColumn("movable", (F.col("change") < 0) & (F.count("*").over(Window.partitionBy("tree_id", "node", "site")) == 1))
+    moved = events.groupBy("tree_id", "node").agg(F.sum(F.when(F.col("movable"), 1).otherwise(0)).alias("movable"))
+    tops = found.join(moved, ["tree_id", "node"], "left").fillna(0, ["movable"])
+    cuts = tops.selectExpr("tree_id", "node", "upper", "above - movable AS change", "true AS origin").unionByName(events.where("NOT movable AND change <> 0").groupBy("tree_id", "node", F.col("time").alias("upper")).agg(F.sum("change").alias("change")).withColumn("origin", F.lit(False)))
+    order = at.orderBy(F.desc("upper"), F.desc("origin"))
+    regions = cuts.select("tree_id", "node", "upper", F.lead("upper").over(order).alias("next"), F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("differences"), (F.row_number().over(order) - 1).cast("long").alias("idx"))
+    out = regions.join(tops.select("tree_id", "node", "height", "young", "movable"), ["tree_id", "node"]).withColumn("lower", F.greatest(F.coalesce("next", "height"), "young"))
+    return out.where("upper > lower").select("tree_id", "node", "idx", "upper", "lower", "differences", "movable")
+
+
+def sorted_text(radius: int) -> str:
+    """The same for a second engine, over the views node, mut, carried, reference and chosen: states compared site by site, junctions walked one by one."""
+    return f"""WITH RECURSIVE pruned AS (SELECT c.tree_id, c.x, x.parent AS p, p.parent AS g, s.node AS s, x.height AS young FROM chosen c JOIN node x ON x.tree_id = c.tree_id AND x.node = c.x JOIN node p ON p.tree_id = x.tree_id AND p.node = x.parent
+          JOIN node s ON s.tree_id = p.tree_id AND s.parent = p.node AND s.node <> c.x WHERE p.parent IS NOT NULL),
+      branch AS (SELECT n.tree_id, n.node, CASE WHEN n.node = q.s THEN q.g ELSE n.parent END AS top, n.height, q.young, n.node = q.s AS start, q.x FROM node n JOIN pruned q ON q.tree_id = n.tree_id WHERE n.parent IS NOT NULL AND n.node <> q.x AND n.node <> q.p),
+      walk AS (SELECT tree_id, top AS joint, 0 AS depth FROM branch WHERE start UNION SELECT tree_id, node, 0 FROM branch WHERE start AND height > young
+        UNION SELECT w.tree_id, CASE WHEN b.top = w.joint THEN b.node ELSE b.top END, w.depth + 1 FROM walk w JOIN branch b ON b.tree_id = w.tree_id AND NOT b.start AND (b.top = w.joint OR b.node = w.joint) AND (b.node = w.joint OR b.height > b.young) WHERE w.depth < {radius}),
+      found AS (SELECT DISTINCT b.* FROM branch b JOIN walk w ON w.tree_id = b.tree_id AND w.depth < {radius} AND (b.top = w.joint OR b.node = w.joint) WHERE NOT b.start),
+      wanted AS (SELECT q.tree_id, r.site, coalesce(s.state, r.state) AS state FROM pruned q JOIN reference r ON r.site >= 0 LEFT JOIN carried s ON s.tree_id = q.tree_id AND s.node = q.x AND s.site = r.site),
+      tops AS (SELECT f.tree_id, f.node, n.height AS upper, count(*) FILTER (WHERE coalesce(s.state, r.state) <> w.state) AS above FROM found f JOIN node n ON n.tree_id = f.tree_id AND n.node = f.top JOIN wanted w ON w.tree_id = f.tree_id JOIN reference r ON r.site = w.site
+        LEFT JOIN carried s ON s.tree_id = f.tree_id AND s.node = f.top AND s.site = w.site GROUP BY ALL),
+      events AS (SELECT m.tree_id, m.node, m.site, m.time, CASE WHEN m.old_state = w.state THEN 1 WHEN m.new_state = w.state THEN -1 ELSE 0 END AS change, count(*) OVER (PARTITION BY m.tree_id, m.node, m.site) AS n
+        FROM mut m JOIN found f ON f.tree_id = m.tree_id AND f.node = m.node JOIN wanted w ON w.tree_id = m.tree_id AND w.site = m.site),
+      moved AS (SELECT t.tree_id, t.node, t.upper, t.above, count(*) FILTER (WHERE e.change < 0 AND e.n = 1) AS movable FROM tops t LEFT JOIN events e ON e.tree_id = t.tree_id AND e.node = t.node GROUP BY ALL),
+      cuts AS (SELECT tree_id, node, upper, above - movable AS change, 1 AS origin FROM moved UNION ALL SELECT tree_id, node, time, sum(change), 0 FROM events WHERE change > 0 OR (change < 0 AND n > 1) GROUP BY tree_id, node, time),
+      raw AS (SELECT tree_id, node, upper, lead(upper) OVER w AS next, CAST(sum(change) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS differences, row_number() OVER w - 1 AS idx FROM cuts WINDOW w AS (PARTITION BY tree_id, node ORDER BY upper DESC, origin DESC))
+      SELECT r.tree_id, r.node, r.idx, r.upper, greatest(coalesce(r.next, f.height), f.young) AS lower, r.differences, m.movable FROM raw r JOIN found f ON f.tree_id = r.tree_id AND f.node = r.node JOIN moved m ON m.tree_id = r.tree_id AND m.node = r.node
+      WHERE r.upper > greatest(coalesce(r.next, f.height), f.young)"""
+
+
 def explored_text(extra: int) -> str:
     """The same for a second engine, over the views node, mut, carried, reference, chosen and shortcut: differences of a region's top by comparing
     states, regions reached one by one."""

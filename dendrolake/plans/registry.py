@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import carries, clustering, configurations, convergence, density, hazards, history, kernels, likelihood, neighbours, parsimony, ratios, records, refresh, regions, sequences, tip_removal, traces, tree_samples, trees
+from ..operators import branch_histories, carries, clustering, configurations, convergence, density, hazards, history, kernels, likelihood, neighbours, parsimony, ratios, records, refresh, regions, sequences, tip_removal, traces, tree_samples, trees
+from ..functions.ctmc import hky
 from .bindings import views, with_views
 from .lineage import cut
 from .plan import ANSI, SPARK, Dialect, Plan
@@ -35,6 +36,7 @@ def more_views(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
         "weighted": ((), "SELECT l_orderkey AS grp, CAST(l_linenumber AS BIGINT) AS item, sum(l_quantity) AS weight FROM lineitem GROUP BY l_orderkey, l_linenumber"),
         "branch_sums": of(likelihood.branch_stats),
         "ends": (("tip_state", "reference"), "SELECT t.tree_id, t.node, t.site, t.mask, CAST(r.state AS BIGINT) AS start_state, CAST(length(bin(t.mask & -t.mask)) - 1 AS BIGINT) AS end_state FROM tip_state t JOIN reference r ON r.site = t.site"),
+        "starts": (("ends", "node"), "SELECT e.tree_id, e.node, e.site, e.start_state, e.mask, 0.3E0 * (p.height - n.height) AS jumps FROM ends e JOIN node n ON n.tree_id = e.tree_id AND n.node = e.node JOIN node p ON p.tree_id = n.tree_id AND p.node = n.parent"),
         "tree_events": of(tree_samples.single_events),
         "chosen": (("tips",), "SELECT tree_id, CAST(5 AS BIGINT) AS x FROM tips WHERE n_tips > 5"),
         "shortcut": (("tips",), "SELECT tree_id, n_tips AS a, n_tips + 3 AS b FROM tips WHERE n_tips > 5"),
@@ -148,7 +150,7 @@ _register(hazards.exposure_pieces, hazards.join_events, hazards.tree_hazard_dens
 QUERIES["birth_hazard_density"] = (hazards.tree_hazard_density.given(hazard="birth_death", intercept=0.5), {"node": "leaf_first_node"})
 _register(ratios.ratio_rows, ratios.node_classes, ratios.odds_fit)
 QUERIES["root_ratio_rows"] = (ratios.ratio_rows, {"ratios": "root_ratios"})
-_register(history.replaced_sites)
+_register(history.replaced_sites, branch_histories.end_states)
 _register(history.mapped_events, history.mapping_jacobian, linked="listed")
 for _kind in ("uniform", "parsimony", "missing"):
     QUERIES[f"{_kind}_site_weights"] = (sequences.selection_weights.given(kind=_kind), {"masked": "masked", "scores": "site_scores"})
@@ -303,7 +305,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         top = t["node"].where("parent IS NULL").join(t["stats"], ["tree_id", "node"]).selectExpr("tree_id", "oldest_tip + (height - oldest_tip) * 1.25D AS height")
         return ratios.heights_from_ratios(t["node"], t["ratios"], top).select("tree_id", "node", F.round("height", 6).alias("height"), F.round("log_jacobian", 6).alias("log_jacobian"))
 
+    def sorted_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = domain(spark, sf_dir, "node", "mut", "carried", "reference", "chosen")
+        return regions.sorted_regions(t["node"], t["mut"], t["carried"], t["reference"], t["chosen"], 3)
+
+    def branch_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = domain(spark, sf_dir, "node", "mut", "carried", "reference", "site_category", "branch_rate")
+        differing = t["mut"].groupBy("tree_id", "node", "site").agg(F.max_by("old_state", "time").alias("start_state"), F.min_by("new_state", "time").alias("end_state")).where("start_state <> end_state")
+        return branch_histories.branch_histories(t["node"], differing, t["carried"], t["reference"], t["site_category"], t["branch_rate"], hky((0.1, 0.2, 0.3, 0.4), 2.0).tolist(), (0.1, 0.2, 0.3, 0.4), (0.01, 0.02, 0.04, 0.08))
+
+    def exact_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = domain(spark, sf_dir, "node", "tip_state")
+        return branch_histories.exact_histories(t["node"], t["tip_state"], hky((0.1, 0.2, 0.3, 0.4), 2.0).tolist(), (0.1, 0.2, 0.3, 0.4))[1]
+
     out["ratio_heights"] = ratio_heights
+    out |= {"sorted_regions": sorted_regions, "branch_paths": branch_paths, "exact_history": exact_history}
     out |= {"explored_regions": explored_regions, "upgma_site_filter": upgma_site_filter, "upgma_tree": lambda spark, sf_dir: clustering.upgma_tree(domain(spark, sf_dir, "masked")["masked"], 100)}
     out["subtree_stats"] = lambda spark, sf_dir: domain(spark, sf_dir, "stats")["stats"]
     out |= {"history_density": history_density, "close_classes": close_classes, "classes_two_apart": classes_two_apart, "tip_neighbours": tip_neighbours}
@@ -348,6 +364,7 @@ def oracle_sql() -> dict[str, str]:
     out["parsimony_history"] = text(("node", "fitch", "reference"), f"SELECT tree_id, NULL AS node, NULL AS time, site, NULL AS old_state, state AS new_state FROM ({rooted}) r UNION ALL SELECT tree_id, node, time, site, old_state, new_state FROM ({below}) b")
     out["explored_regions"] = text(("node", "mut", "carried", "reference", "chosen", "shortcut"), regions.explored_text(2))
     out["subtree_stats"] = text(("stats",), "SELECT * FROM stats")
+    out["sorted_regions"] = text(("node", "mut", "carried", "reference", "chosen"), regions.sorted_text(3))
     out["ratio_heights"] = text(("node", "stats", "ratios"), ratios.heights_text("oldest", 1.25))
     out["tracer_ess"] = out["ess_by_lags"]
     out["removal_scores"] = text(("node", "tip_state"), tip_removal.removal_text())
