@@ -71,9 +71,10 @@ def _octave(d: Dialect, n: str) -> str:
 def node_classes(d: Dialect) -> str:
     """Classes of inner nodes: by tips below (whole binary logarithm), by events below (twice that of one more, at most the last class), and the group by the events on its own
     branch and its children's. Events above the root are counted for it."""
+    m = "least(s.mutations, 1073741823) + 1"  # its square is of the last class, and a number still
     return f"""WITH own AS (SELECT tree_id, node, count(*) AS m FROM {{mut}} GROUP BY tree_id, node),
       near AS (SELECT tree_id, node, sum(m) AS m FROM (SELECT tree_id, node, m FROM own UNION ALL SELECT o.tree_id, n.parent, o.m FROM own o JOIN {{node}} n ON n.tree_id = o.tree_id AND n.node = o.node WHERE n.parent IS NOT NULL) x GROUP BY tree_id, node)
-      SELECT n.tree_id, n.node, {_octave(d, "s.tips")} AS size_class, least({_octave(d, "(s.mutations + 1) * (s.mutations + 1)")}, {CLASSES - 1}) AS mutation_class, least({_octave(d, "CAST(coalesce(e.m, 0) + 1 AS BIGINT)")}, {GROUPS - 1}) AS event_group
+      SELECT n.tree_id, n.node, {_octave(d, "s.tips")} AS size_class, least({_octave(d, f"({m}) * ({m})")}, {CLASSES - 1}) AS mutation_class, least({_octave(d, "CAST(coalesce(e.m, 0) + 1 AS BIGINT)")}, {GROUPS - 1}) AS event_group
       FROM {{node}} n JOIN {{stats}} s ON s.tree_id = n.tree_id AND s.node = n.node LEFT JOIN near e ON e.tree_id = n.tree_id AND e.node = n.node WHERE NOT n.is_leaf"""
 
 
