@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.plan import Dialect, plan
+
 # Fixed value: the family of operators that can't make single proposals, which timed chains need.
 UNTIMED = "slice."
 
@@ -67,3 +69,31 @@ def applied_text() -> str:
       texts AS (SELECT config, operator, string_agg(concat(key, '=', value), ',' ORDER BY key) AS attributes FROM (SELECT * FROM own UNION ALL SELECT * FROM theirs) z GROUP BY ALL),
       lists AS (SELECT config, operator, spec, position, 0 AS later FROM kept UNION ALL SELECT config, operator, spec, position, 1000000000 - nth FROM copies)
       SELECT l.config, row_number() OVER (PARTITION BY l.config ORDER BY l.position, l.later) AS place, l.operator, l.spec, coalesce(t.attributes, '') AS attributes FROM lists l LEFT JOIN texts t ON t.config = l.config AND t.operator = l.operator"""
+
+
+# Keys of settings, the condition that their value keeps, and what a breach is called.
+RANGES = [
+    ("windowProbability", "value >= 0 AND value < 1", "at least 0 and below 1"), ("sortingErrorProbability", "value > 0 AND value < 0.5", "above 0 and below 0.5"),
+    ("maxLevels", "value >= 0", "not negative"), ("maxSites", "value >= 1", "positive"), ("pseudoCount", "value >= 0", "not negative"), ("missingWeight", "value >= 0", "not negative"),
+]
+SUMS = [(("fullExplorationProbability", "sortedExplorationProbability"), "total > 1", "at most 1 together")]
+
+
+@plan("settings")
+def setting_violations(d: Dialect) -> str:
+    """Settings of configurations, settings(config, key, value), that are out of their range, and sums of settings that are; values that aren't numbers break every rule."""
+    number = "value IS NULL OR isnan(value)"
+    one = [f"SELECT config, key, value, '{said}' AS wanted FROM {{settings}} WHERE key = '{key}' AND ({number} OR NOT ({holds}))" for key, holds, said in RANGES]
+    many = [
+        f"SELECT config, '{'+'.join(keys)}', total, '{said}' FROM (SELECT config, sum(value) AS total FROM {{settings}} WHERE key IN ({', '.join(map(repr, keys))}) GROUP BY config) t WHERE {broken}"
+        for keys, broken, said in SUMS
+    ]
+    return " UNION ALL ".join(one + many)
+
+
+def checked_settings(settings: DataFrame) -> DataFrame:
+    """The settings, if none is out of its range; else raises, naming one."""
+    odd = setting_violations(settings=settings).orderBy("config", "key").head(1)
+    if odd:
+        raise ValueError(f"{odd[0].key} of {odd[0].config!r} is {odd[0].value}, but must be {odd[0].wanted}")
+    return settings

@@ -155,3 +155,11 @@ def selection_weights(d: Dialect, kind: str = "missing", pseudo: float = 0.1, mi
     return f"""WITH u AS (SELECT dataset, site, avg(CASE WHEN bit_count(mask) > 1 THEN 1.0E0 ELSE 0.0E0 END) AS share FROM {{masked}} GROUP BY dataset, site),
       w AS (SELECT u.dataset, u.site, {weight} AS weight FROM u LEFT JOIN {{scores}} s ON s.dataset = u.dataset AND s.site = u.site)
       SELECT dataset, site, round(weight, 6) AS weight, round(sum(weight) OVER (PARTITION BY dataset ORDER BY site ROWS UNBOUNDED PRECEDING), 6) AS cumulative, round(weight / nullif(sum(weight) OVER (PARTITION BY dataset), 0), 6) AS chance FROM w"""
+
+
+@plan("masked")
+def pattern_of_site(d: Dialect) -> str:
+    """The column of each site as the number of its pattern, in the order in which patterns come first, with how many sites have it."""
+    return f"""WITH cols AS (SELECT dataset, site, {d.collect("mask", "taxon")} AS pattern FROM {{masked}} GROUP BY dataset, site),
+      p AS (SELECT dataset, site, min(site) OVER (PARTITION BY dataset, pattern) AS first_site, count(*) OVER (PARTITION BY dataset, pattern) AS weight FROM cols)
+      SELECT dataset, site, dense_rank() OVER (PARTITION BY dataset ORDER BY first_site) - 1 AS pattern, weight FROM p"""

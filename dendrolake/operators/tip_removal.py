@@ -96,3 +96,12 @@ def removal_ess_text(trace: str, by_lags) -> str:
     return f"""SELECT t.run, t.tip, t.samples, a.ess AS full_ess, b.ess AS removed_ess, b.ess - a.ess AS ess_change, t.full_mean, t.removed_mean
       FROM (SELECT run, tip, count(*) AS samples, round(avg(whole), 6) AS full_mean, round(avg(without), 6) AS removed_mean FROM {trace} GROUP BY run, tip) t
       JOIN ({sizes("whole")}) a ON a.run = t.run AND a.tip = t.tip JOIN ({sizes("without")}) b ON b.run = t.run AND b.tip = t.tip"""
+
+
+@plan("sizes")
+def removal_description(d: Dialect) -> str:
+    """Of the sizes of each run, whole, without a tip, and by how much that changes them: count, mean, deviation, extremes and linear quartiles. sizes: of tip_removal_ess; what is null doesn't count."""
+    q = "percentile(value, {0})" if d.spark else "quantile_cont(value, {0})"
+    rows = " UNION ALL ".join(f"SELECT run, '{c}' AS size, {c} AS value FROM {{sizes}}" for c in ("full_ess", "removed_ess", "ess_change"))
+    return f"""SELECT run, size, count(value) AS n, round(avg(value), 5) AS mean, round(stddev_samp(value), 5) AS sd, round(min(value), 5) AS least, round({q.format(0.25)}, 5) AS q1, round({q.format(0.5)}, 5) AS q2,
+      round({q.format(0.75)}, 5) AS q3, round(max(value), 5) AS most FROM ({rows}) v GROUP BY run, size"""

@@ -48,6 +48,13 @@ def tree_length(d: Dialect) -> str:
       FROM {node} n JOIN {node} p ON p.tree_id = n.tree_id AND p.node = n.parent GROUP BY n.tree_id"""
 
 
+@plan("node", "branch_rate")
+def rated_length(d: Dialect) -> str:
+    """Sum of branch lengths, plain and times the rate of each branch (tree_id, node, rate); branches without a rate count once."""
+    return """SELECT n.tree_id, count(*) AS branches, round(sum(p.height - n.height), 6) AS length, round(sum((p.height - n.height) * coalesce(b.rate, 1.0E0)), 6) AS rated
+      FROM {node} n JOIN {node} p ON p.tree_id = n.tree_id AND p.node = n.parent LEFT JOIN {branch_rate} b ON b.tree_id = n.tree_id AND b.node = n.node GROUP BY n.tree_id"""
+
+
 @plan("node", "closure", "mut")
 def subtree_stats(d: Dialect) -> str:
     """Below each node: tips, oldest and youngest tip, branch length, and events on its branches."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import branch_histories, carries, clustering, configurations, convergence, density, hazards, history, kernels, likelihood, neighbours, parsimony, ratios, records, refresh, regions, sequences, tip_removal, traces, tree_samples, trees
+from ..operators import branch_histories, carries, clustering, configurations, convergence, density, hazards, history, kernels, likelihood, neighbours, parsimony, ratios, records, refresh, regions, sequences, tilted, tip_removal, traces, tree_samples, trees
 from ..functions.ctmc import hky
 from .bindings import views, with_views
 from .lineage import cut
@@ -37,6 +37,7 @@ def more_views(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
         "branch_sums": of(likelihood.branch_stats),
         "ends": (("tip_state", "reference"), "SELECT t.tree_id, t.node, t.site, t.mask, CAST(r.state AS BIGINT) AS start_state, CAST(length(bin(t.mask & -t.mask)) - 1 AS BIGINT) AS end_state FROM tip_state t JOIN reference r ON r.site = t.site"),
         "starts": (("ends", "node"), "SELECT e.tree_id, e.node, e.site, e.start_state, e.mask, 0.3E0 * (p.height - n.height) AS jumps FROM ends e JOIN node n ON n.tree_id = e.tree_id AND n.node = e.node JOIN node p ON p.tree_id = n.tree_id AND p.node = n.parent"),
+        "settings": ((), "SELECT c_custkey AS config, k.key, (c_custkey * k.step % 23) / 20.0E0 - 0.05E0 AS value FROM customer JOIN (VALUES ('windowProbability', 3, 1), ('sortingErrorProbability', 5, 1), ('maxLevels', 7, 1), ('maxSites', 11, 1), ('pseudoCount', 13, 1), ('missingWeight', 17, 1), ('fullExplorationProbability', 19, 1), ('sortedExplorationProbability', 2, 1), ('other', 1, 1)) AS k(key, step, one) ON k.one = 1"),
         "tree_events": of(tree_samples.single_events),
         "chosen": (("tips",), "SELECT tree_id, CAST(5 AS BIGINT) AS x FROM tips WHERE n_tips > 5"),
         "shortcut": (("tips",), "SELECT tree_id, n_tips AS a, n_tips + 3 AS b FROM tips WHERE n_tips > 5"),
@@ -154,6 +155,7 @@ _register(history.replaced_sites, branch_histories.end_states)
 _register(history.mapped_events, history.mapping_jacobian, linked="listed")
 for _kind in ("uniform", "parsimony", "missing"):
     QUERIES[f"{_kind}_site_weights"] = (sequences.selection_weights.given(kind=_kind), {"masked": "masked", "scores": "site_scores"})
+_register(sequences.pattern_of_site, trees.rated_length, configurations.setting_violations)
 _register(records.wanted_aliases, records.trait_lists, records.imputed_in_order)
 QUERIES |= {"field_ids": (records.field_ids.given(field=1), {"taxon": "taxon"}), "first_words": (records.field_ids, {"taxon": "taxon"})}
 
@@ -318,6 +320,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         t = domain(spark, sf_dir, "node", "tip_state")
         return branch_histories.exact_histories(t["node"], t["tip_state"], hky((0.1, 0.2, 0.3, 0.4), 2.0).tolist(), (0.1, 0.2, 0.3, 0.4))[1]
 
+    def removal_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return tip_removal.removal_description(sizes=tip_removal_ess(spark, sf_dir))
+
+    def sloped_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = domain(spark, sf_dir, "node", "mut")
+        rows = trees.node_bounds(node=t["node"], mut=t["mut"]).where("upper IS NOT NULL").selectExpr("tree_id", "node", "1.0D AS decay", "lower", "upper")
+        return tilted.sample_sloped(rows, ["tree_id", "node"], trees.SLOPES)
+
+    out |= {"removal_description": removal_description, "sloped_heights": sloped_heights}
     out["ratio_heights"] = ratio_heights
     out |= {"sorted_regions": sorted_regions, "branch_paths": branch_paths, "exact_history": exact_history}
     out |= {"explored_regions": explored_regions, "upgma_site_filter": upgma_site_filter, "upgma_tree": lambda spark, sf_dir: clustering.upgma_tree(domain(spark, sf_dir, "masked")["masked"], 100)}
@@ -372,5 +383,7 @@ def oracle_sql() -> dict[str, str]:
     series = tip_removal.removal_trace.given(burnin=0.1, thinning=2).text(ANSI).format(removed=f"({of_samples})", sampled="sampled", weight="weight")
     by_lags = traces.ess_by_lags.text(ANSI)
     out["tip_removal_ess"] = text(("sample_node", "sample_tip_state", "sampled", "weight"), f"WITH series AS ({series}) {tip_removal.removal_ess_text('series', lambda source: by_lags.format(trace=source))}")
+    sizes = f"({tip_removal.removal_ess_text('series', lambda source: by_lags.format(trace=source))})"
+    out["removal_description"] = text(("sample_node", "sample_tip_state", "sampled", "weight"), f"WITH series AS ({series}) {tip_removal.removal_description.text(ANSI).format(sizes=sizes)}")
     out["fitch_states"] = text(("node", "fitch", "reference"), parsimony.fitch_states_text())
     return out
