@@ -48,3 +48,12 @@ def test_states_of_thousands_of_tips_are_drawn(spark):
     tips = spark.createDataFrame([(1, i, 0, 1 << (i % 2)) for i in range(1, n + 1)], "tree_id long, node long, site long, mask int")
     got = {r.node: r.state for r in kernels.sample_site_histories(node, tips, Q, PI).collect()}
     assert len(got) == n + 1 and all(got[i] == i % 2 for i in range(1, n + 1))
+
+
+@pytest.mark.parametrize("name", ["unrooted_splits", "leaf_first_unrooted_splits"])
+def test_only_sides_above_the_first_tip_meet_all_tips(spark, name):
+    plan, names = registry.QUERIES[name]
+    tables = registry.domain(spark, SF, *names.values())
+    text = plan(**{t: tables[v] for t, v in names.items()})._jdf.queryExecution().optimizedPlan().toString()
+    # no pairs of all sides and all tips, of which most are thrown away afterwards
+    assert "LeftOuter" not in text and "LeftAnti" in text
