@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dendrolake.functions.ctmc import hky
-from dendrolake.operators import carries, kernels
+from dendrolake.operators import carries, kernels, traces
 from dendrolake.plans import registry
 
 from .test_plans import tree
@@ -57,3 +57,26 @@ def test_only_sides_above_the_first_tip_meet_all_tips(spark, name):
     text = plan(**{t: tables[v] for t, v in names.items()})._jdf.queryExecution().optimizedPlan().toString()
     # no pairs of all sides and all tips, of which most are thrown away afterwards
     assert "LeftOuter" not in text and "LeftAnti" in text
+
+
+def test_sizes_by_lags_are_added_up_over_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for seed, n in enumerate((1, 5, traces.BLOCK, 2 * traces.BLOCK + 700)):
+        x = np.cumsum(rng.normal(size=n)) % 7.0 if seed % 2 else rng.normal(size=n)
+        rows += [("a", "e", seed, 1000 * i, float(v)) for i, v in enumerate(x)]
+        want[seed] = (n, None if n == 1 else round(traces.ess_tracer(x), 6))
+    trace = spark.createDataFrame(rows, "method string, experiment string, seed long, sample long, value double")
+    got = {r.seed: (r.n, r.tracer) for r in traces.ess_by_blocks(trace).collect()}
+    assert got.keys() == want.keys()
+    for seed, (n, size) in want.items():
+        assert got[seed][0] == n and (got[seed][1] is None if size is None else abs(got[seed][1] - size) < 1e-5 * size)
+    short = trace.where("seed < 2")
+    assert sorted(map(tuple, traces.ess_by_blocks(short).collect())) == sorted(map(tuple, traces.ess_by_lags(trace=short).collect()))
+
+
+def test_the_query_by_lags_has_no_pairs_of_a_whole_chain(spark):
+    text = registry.queries()["ess_by_lags"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" in text and "< 2000" not in text.split("FlatMapGroupsInPandas")[0]
