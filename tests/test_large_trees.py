@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dendrolake.functions.ctmc import hky
-from dendrolake.operators import carries, kernels, traces
+from dendrolake.operators import carries, kernels, neighbours, traces
 from dendrolake.plans import registry
 
 from .test_plans import tree
@@ -80,3 +80,34 @@ def test_sizes_by_lags_are_added_up_over_blocks(spark):
 def test_the_query_by_lags_has_no_pairs_of_a_whole_chain(spark):
     text = registry.queries()["ess_by_lags"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInPandas" in text and "< 2000" not in text.split("FlatMapGroupsInPandas")[0]
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_only_close_variants_of_classes_meet(spark, most):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    n, sites = 250, 5
+    masks = rng.choice([1, 2, 4, 8, 5, 7, 15], size=(n, sites), p=[0.3, 0.2, 0.2, 0.15, 0.07, 0.04, 0.04])
+    masked = spark.createDataFrame([(0, i, s, int(masks[i, s])) for i in range(n) for s in range(sites)], "dataset long, taxon long, site long, mask int")
+    base = spark.createDataFrame([(0, s, 0) for s in range(sites)], "dataset long, site long, state long")
+    filled = np.where(masks == 15, 1, masks)
+    first = {}
+    for i in range(n):
+        first.setdefault(tuple(filled[i]), i)
+    ids = sorted(first.values())
+    want = {(a, b): d for k, a in enumerate(ids) for b in ids[k + 1:] if (d := int((filled[a] & filled[b] == 0).sum())) <= most}
+    got = {(r.a, r.b): r.distance for r in neighbours.close_classes(masked, base, most).collect()}
+    assert got == want and want
+    members, entries = neighbours.class_entries(masked, base)
+    of, own = neighbours.variants(members.select("dataset", "class").distinct(), entries)
+    met = {(min(r.a, r.b), max(r.a, r.b)) for r in neighbours.clean_candidates(of, own, most).collect() if r.a != r.b}
+    assert met == set(want)
+
+
+def test_very_ambiguous_classes_take_the_other_way(spark, monkeypatch):
+    rows = [(0, 1, s, 7) for s in range(8)] + [(0, 2, s, 2) for s in range(8)] + [(0, 3, s, 8 if s < 3 else 4) for s in range(8)]
+    masked = spark.createDataFrame(rows, "dataset long, taxon long, site long, mask int")
+    base = spark.createDataFrame([(0, s, 0) for s in range(8)], "dataset long, site long, state long")
+    assert [r["class"] for r in neighbours.vague(neighbours.class_entries(masked, base)[1]).collect()] == [1]
+    assert {(r.a, r.b, r.distance) for r in neighbours.close_classes(masked, base, 2).collect()} == {(1, 2, 0)}
