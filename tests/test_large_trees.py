@@ -59,6 +59,14 @@ def test_only_sides_above_the_first_tip_meet_all_tips(spark, name):
     assert "LeftOuter" not in text and "LeftAnti" in text
 
 
+@pytest.mark.parametrize("name", ["below", "stats", "branch_rates"])
+def test_rows_of_nodes_from_sweeps_are_as_large_as_they_look(spark, name):
+    made = registry.domain(spark, SF, name)[name]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Union" not in plan
+    assert known_size(made) >= made.count() * 8 * 3
+
+
 def test_sizes_by_lags_are_added_up_over_blocks(spark):
     import numpy as np
 
