@@ -119,3 +119,14 @@ def test_very_ambiguous_classes_take_the_other_way(spark, monkeypatch):
     base = spark.createDataFrame([(0, s, 0) for s in range(8)], "dataset long, site long, state long")
     assert [r["class"] for r in neighbours.vague(neighbours.class_entries(masked, base)[1]).collect()] == [1]
     assert {(r.a, r.b, r.distance) for r in neighbours.close_classes(masked, base, 2).collect()} == {(1, 2, 0)}
+
+
+def test_branches_of_histories_meet_states_and_events_by_merging(spark, monkeypatch):
+    from dendrolake.operators import branch_histories
+
+    ends = []
+    monkeypatch.setattr(branch_histories, "sample_paths", lambda rows, q, seed: ends.append(rows) or rows)
+    registry.queries()["branch_paths"](spark, SF)
+    plan = ends[0]._jdf.queryExecution().optimizedPlan().toString()
+    kept = [line for line in plan.splitlines() if "Join LeftAnti" in line or "Join LeftOuter" in line]
+    assert len(kept) == 2 and all("rightHint=(strategy=merge)" in line for line in kept)
