@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import by_level, cut
+from ..plans.lineage import by_level, sized
 from .sweeps import carried, places
 
 REGION = ["tree_id", "node", "idx", "upper", "lower", "differences"]
@@ -24,14 +24,15 @@ def differences(node: DataFrame, mut: DataFrame, states: DataFrame, reference: D
     change = mut.join(base, "site").join(mine, ["tree_id", "site"], "left").select(
         "tree_id", "node", "site", "time", F.expr("CASE WHEN old_state = coalesce(kept, base) THEN 1 WHEN new_state = coalesce(kept, base) THEN -1 ELSE 0 END").alias("change")
     )
-    branch = by_level(places(node).join(change.groupBy("tree_id", "node").agg(F.sum("change").alias("change")), ["tree_id", "node"], "left").fillna(0, ["change"]), "depth")
+    branch = by_level(places(node).join(change.groupBy("tree_id", "node").agg(F.sum("change").alias("change")).hint("merge"), ["tree_id", "node"], "left").fillna(0, ["change"]), "depth")
     first = branch.where("depth = 0").join(chosen, "tree_id").join(start, "tree_id", "left").select("tree_id", "node", F.lit(None).cast("long").alias("above"), F.coalesce("n", F.lit(0)).alias("at"))
 
     def step(upper: DataFrame, level: int) -> DataFrame:
         parent = upper.select("tree_id", F.col("node").alias("parent"), F.col("at").alias("above"))
         return branch.where(F.col("depth") == level).join(parent, ["tree_id", "parent"]).select("tree_id", "node", "above", (F.col("above") + F.col("change")).alias("at"))
 
-    counts = carried(node, first, step).where("above IS NOT NULL").select("tree_id", "node", "above")
+    # levels are packed files, which look small enough to be sent to every executor
+    counts = sized(carried(node, first, step).where("above IS NOT NULL").select("tree_id", "node", "above"))
     return change, counts
 
 
@@ -60,7 +61,7 @@ def explore(regions: DataFrame, node: DataFrame, chosen: DataFrame, extra: int =
     """REGION of the regions reached: from the junction where the subtree is attached, along branches, through junctions and between tips that
     `shortcuts` (tree_id, a, b) names, while differences are at most max(1, those at the start) + extra. Stretches of regions on a branch within
     the threshold are one step, and each round takes all that are next to what is reached, until there is nothing new."""
-    regions = cut(regions)
+    regions = sized(regions)
     parent = node.select("tree_id", "node", "parent")
     origin = chosen.join(parent, (chosen["tree_id"] == parent["tree_id"]) & (chosen["x"] == parent["node"])).select(chosen["tree_id"], "x", parent["parent"].alias("p"))
     # what touches a junction: the last region of its own branch and the first ones of its children's
@@ -71,7 +72,7 @@ def explore(regions: DataFrame, node: DataFrame, chosen: DataFrame, extra: int =
     limit = began.select("tree_id", (F.greatest(F.lit(1), "n") + extra).alias("most"))
     within = regions.join(limit, "tree_id").where("differences <= most")
     order = Window.partitionBy("tree_id", "node").orderBy("idx")
-    runs = cut(within.withColumn("run", F.col("idx") - F.row_number().over(order)))
+    runs = sized(within.withColumn("run", F.col("idx") - F.row_number().over(order)))
     touch = runs.where("last").select("tree_id", "node", "run", F.col("node").alias("joint")).unionByName(runs.where("first").join(parent, ["tree_id", "node"]).select("tree_id", "node", "run", F.col("parent").alias("joint")))
     if shortcuts is not None:
         # a shortcut is a junction of two, named by the pair
@@ -80,14 +81,14 @@ def explore(regions: DataFrame, node: DataFrame, chosen: DataFrame, extra: int =
         touch = touch.withColumn("joint", F.col("joint").cast("string")).unionByName(linked)
     else:
         touch = touch.withColumn("joint", F.col("joint").cast("string"))
-    touch = cut(touch)
+    touch = sized(touch)
     here = origin.select("tree_id", F.col("p").cast("string").alias("joint"))
-    fresh = cut(touch.join(here, ["tree_id", "joint"]).select("tree_id", "node", "run").distinct())
+    fresh = sized(touch.join(here, ["tree_id", "joint"]).select("tree_id", "node", "run").distinct())
     reached = fresh
     while not fresh.isEmpty():
         doors = touch.join(fresh, ["tree_id", "node", "run"]).select("tree_id", "joint").distinct()
-        fresh = cut(touch.join(doors, ["tree_id", "joint"]).select("tree_id", "node", "run").distinct().join(reached, ["tree_id", "node", "run"], "left_anti"))
-        reached = cut(reached.unionByName(fresh))
+        fresh = sized(touch.join(doors, ["tree_id", "joint"]).select("tree_id", "node", "run").distinct().join(reached, ["tree_id", "node", "run"], "left_anti"))
+        reached = sized(reached.unionByName(fresh))
     return runs.join(reached, ["tree_id", "node", "run"]).select(*REGION)
 
 
@@ -107,19 +108,19 @@ def sorted_regions(node: DataFrame, mut: DataFrame, states: DataFrame, reference
     # x is pruned, p goes, and its other child s takes the branch up to g
     pruned = chosen.join(of("x", parent="p", height="young"), ["tree_id", "x"]).join(of("p", parent="g"), ["tree_id", "p"]).where("g IS NOT NULL")
     sibling = pruned.join(place.select("tree_id", F.col("parent").alias("p"), F.col("node").alias("s")), ["tree_id", "p"]).where("s <> x")
-    sibling = cut(sibling.select("tree_id", "x", "p", "g", "s", "young"))
+    sibling = sized(sibling.select("tree_id", "x", "p", "g", "s", "young"))
     joined = place.join(sibling, "tree_id").where("parent IS NOT NULL AND node <> x AND node <> p").select(
         "tree_id", "node", F.when(F.col("node") == F.col("s"), F.col("g")).otherwise(F.col("parent")).alias("top"), F.when(F.col("node") == F.col("s"), F.col("p")).otherwise(F.col("node")).alias("upper_node"), "height", "young", (F.col("node") == F.col("s")).alias("start")
     )
-    branch = cut(joined.join(of("top", height="upper"), ["tree_id", "top"]).join(counts.withColumnRenamed("node", "upper_node"), ["tree_id", "upper_node"]))
+    branch = sized(joined.join(of("top", height="upper"), ["tree_id", "top"]).join(counts.withColumnRenamed("node", "upper_node"), ["tree_id", "upper_node"]))
     sides = branch.select("tree_id", "node", "start", F.col("top").alias("joint"), F.when(F.col("height") > F.col("young"), F.col("node")).alias("to")).unionByName(branch.select("tree_id", "node", "start", F.col("node").alias("joint"), F.col("top").alias("to")))
     fresh = branch.where("start").select("tree_id", F.explode(F.array(F.col("top"), F.when(F.col("height") > F.col("young"), F.col("node")))).alias("joint")).where("joint IS NOT NULL")
     seen = branch.where("start").select("tree_id", "node")
     for _ in range(radius):
         touched = sides.join(fresh, ["tree_id", "joint"]).join(seen, ["tree_id", "node"], "left_anti").select("tree_id", "node", "to").distinct()
-        touched = cut(touched)
+        touched = sized(touched)
         fresh = touched.where("to IS NOT NULL").select("tree_id", F.col("to").alias("joint")).distinct()
-        seen = cut(seen.unionByName(touched.select("tree_id", "node").distinct()))
+        seen = sized(seen.unionByName(touched.select("tree_id", "node").distinct()))
     found = branch.where("NOT start").join(seen, ["tree_id", "node"])
     at = Window.partitionBy("tree_id", "node")
     events = change.join(found.select("tree_id", "node"), ["tree_id", "node"]).withColumn("movable", (F.col("change") < 0) & (F.count("*").over(Window.partitionBy("tree_id", "node", "site")) == 1))

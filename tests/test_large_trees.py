@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dendrolake.functions.ctmc import hky
-from dendrolake.operators import carries, kernels, neighbours, traces
+from dendrolake.operators import carries, kernels, neighbours, regions, traces
 from dendrolake.plans import registry
 
 from .test_plans import tree
@@ -121,6 +121,17 @@ def test_very_ambiguous_classes_take_the_other_way(spark, monkeypatch):
     assert {(r.a, r.b, r.distance) for r in neighbours.close_classes(masked, base, 2).collect()} == {(1, 2, 0)}
 
 
+@pytest.mark.parametrize("name", ["sorted_regions", "explored_regions"])
+def test_counts_of_differences_are_as_large_as_they_look(spark, monkeypatch, name):
+    made, own = [], regions.differences
+    monkeypatch.setattr(regions, "differences", lambda *tables: made.append(own(*tables)) or made[-1])
+    registry.queries()[name](spark, SF)
+    counts = made[0][1]
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Filter" not in plan  # no longer levels of which a part is taken
+    assert known_size(counts) >= counts.count() * 8 * 3
+
+
 def test_branches_of_histories_meet_states_and_events_by_merging(spark, monkeypatch):
     from dendrolake.operators import branch_histories
 
