@@ -141,3 +141,9 @@ def test_branches_of_histories_meet_states_and_events_by_merging(spark, monkeypa
     plan = ends[0]._jdf.queryExecution().optimizedPlan().toString()
     kept = [line for line in plan.splitlines() if "Join LeftAnti" in line or "Join LeftOuter" in line]
     assert len(kept) == 2 and all("rightHint=(strategy=merge)" in line for line in kept)
+
+
+@pytest.mark.parametrize("name, joins", [("violations", 1), ("differing_sites", 4), ("leaf_first_differing_sites", 4)])
+def test_states_of_all_nodes_are_met_by_merging(spark, name, joins):
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=merge)") >= joins
