@@ -147,3 +147,11 @@ def test_branches_of_histories_meet_states_and_events_by_merging(spark, monkeypa
 def test_states_of_all_nodes_are_met_by_merging(spark, name, joins):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("rightHint=(strategy=merge)") >= joins
+
+
+def test_sums_above_events_are_met_by_merging(spark, monkeypatch):
+    made, own = [], registry.cut
+    monkeypatch.setattr(registry, "cut", lambda df: made.append(df._jdf.queryExecution().optimizedPlan().toString()) or own(df))
+    t = registry.domain(spark, SF, "tips", "mut")
+    assert "rightHint=(strategy=merge)" in made[-1]
+    assert t["tips"].inputFiles() and not any("customer" in f for f in t["tips"].inputFiles())  # as small as it looks
