@@ -155,3 +155,11 @@ def test_sums_above_events_are_met_by_merging(spark, monkeypatch):
     t = registry.domain(spark, SF, "tips", "mut")
     assert "rightHint=(strategy=merge)" in made[-1]
     assert t["tips"].inputFiles() and not any("customer" in f for f in t["tips"].inputFiles())  # as small as it looks
+
+
+@pytest.mark.parametrize("name, joins", [
+    ("dwell_times", 1), ("jc_branch_density", 1), ("map_times", 1),
+])
+def test_packed_tables_are_met_by_merging(spark, name, joins):
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Join " in line and "(strategy=merge)" in line]) >= joins
