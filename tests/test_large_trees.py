@@ -159,6 +159,7 @@ def test_sums_above_events_are_met_by_merging(spark, monkeypatch):
 
 @pytest.mark.parametrize("name, joins", [
     ("dwell_times", 1), ("jc_branch_density", 1), ("map_times", 1), ("unconstrained_nodes", 1), ("missing_clade_regions", 2), ("leaf_first_missing_clade_regions", 2),
+    ("fitch_scores", 1), ("leaf_first_fitch_scores", 1), ("excess_mutations", 2), ("parsimony_events", 1), ("parsimony_history", 2),
 ])
 def test_packed_tables_are_met_by_merging(spark, name, joins):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
