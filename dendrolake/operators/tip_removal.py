@@ -70,18 +70,28 @@ def removal_trace(d: Dialect, burnin: float = 0.1, thinning: int = 1) -> str:
 
 def tip_removal_ess(trace: DataFrame) -> DataFrame:
     """trace: of removal_trace. By run and tip: the effective sample size and the mean of the score, and without the tip; how much
-    larger the size gets. A chain that doesn't change has no size. One group for each run and tip, as long as the run."""
+    larger the size gets. A chain that doesn't change has no size. A row for each run and tip has its chain, as long as the run; many rows are read at once."""
 
-    def of_tip(pdf):
-        import pandas as pd
+    def sizes(batches):
+        import numpy as np
+        import pyarrow as pa
 
-        pdf = pdf.sort_values("sample")
-        whole, without = (ess_tracer(pdf[c].to_numpy(float)) for c in ("whole", "without"))
-        sizes = [None if x != x else round(x, 6) for x in (whole, without, without - whole)]
-        return pd.DataFrame([[pdf["run"].iloc[0], pdf["tip"].iloc[0], len(pdf), *sizes, round(pdf["whole"].mean(), 6), round(pdf["without"].mean(), 6)]], columns=[x.split()[0] for x in REMOVAL.split(", ")]).astype({"full_ess": float, "removed_ess": float, "ess_change": float})
+        def known(x: float) -> float | None:
+            return None if x != x else round(x, 6)
 
-    sized = trace.groupBy("run", "tip").applyInPandas(of_tip, REMOVAL)
-    return sized.select("run", "tip", "samples", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("full_ess", "removed_ess", "ess_change")), "full_mean", "removed_mean")
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
+            chains = [(batch[c].offsets.to_numpy(), batch[c].values.to_numpy(zero_copy_only=False)) for c in ("whole", "without")]
+            for i in range(batch.num_rows):
+                x, y = (values[offsets[i]: offsets[i + 1]] for offsets, values in chains)
+                whole, without = ess_tracer(x), ess_tracer(y)
+                for column, value in zip(out, (len(x), known(whole), known(without), known(without - whole), *(round(float(np.mean(v)), 6) for v in (x, y)))):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch["run"], batch["tip"], *(pa.array(c, pa.float64() if k else pa.int64()) for k, c in enumerate(out))], names=[x.split()[0] for x in REMOVAL.split(", ")])
+
+    rows = F.array_sort(F.collect_list(F.struct("sample", "whole", "without")))
+    chains = trace.select("run", "tip", "sample", F.col("whole").cast("double").alias("whole"), F.col("without").cast("double").alias("without")).groupBy("run", "tip").agg(rows.alias("rows"))
+    return chains.select(F.col("run").cast("long").alias("run"), F.col("tip").cast("long").alias("tip"), F.col("rows.whole").alias("whole"), F.col("rows.without").alias("without")).mapInArrow(sizes, REMOVAL)
 
 
 REMOVAL = "run long, tip long, samples long, full_ess double, removed_ess double, ess_change double, full_mean double, removed_mean double"
@@ -101,7 +111,7 @@ def removal_ess_text(trace: str, by_lags) -> str:
 @plan("sizes")
 def removal_description(d: Dialect) -> str:
     """Of the sizes of each run, whole, without a tip, and by how much that changes them: count, mean, deviation, extremes and linear quartiles. sizes: of tip_removal_ess; what is null doesn't count."""
-    q = "percentile(value, {0})" if d.spark else "quantile_cont(value, {0})"
+    q = "percentile(value, array(0.25, 0.5, 0.75))[CAST({0} * 4 AS INT) - 1]" if d.spark else "quantile_cont(value, {0})"
     rows = " UNION ALL ".join(f"SELECT run, '{c}' AS size, {c} AS value FROM {{sizes}}" for c in ("full_ess", "removed_ess", "ess_change"))
     return f"""SELECT run, size, count(value) AS n, round(avg(value), 5) AS mean, round(stddev_samp(value), 5) AS sd, round(min(value), 5) AS least, round({q.format(0.25)}, 5) AS q1, round({q.format(0.5)}, 5) AS q2,
       round({q.format(0.75)}, 5) AS q3, round(max(value), 5) AS most FROM ({rows}) v GROUP BY run, size"""

@@ -164,3 +164,18 @@ def test_sums_above_events_are_met_by_merging(spark, monkeypatch):
 def test_packed_tables_are_met_by_merging(spark, name, joins):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert len([line for line in plan.splitlines() if "Join " in line and "(strategy=merge)" in line]) >= joins
+
+
+def test_many_tips_are_sized_at_once_and_described_from_a_table(spark, monkeypatch):
+    from dendrolake.operators import tip_removal
+
+    rows = [(1, t, k, float((k * 7 + t) % 5), float((k * 3 + t) % 4)) for t in range(9) for k in range(11)]
+    sizes = tip_removal.tip_removal_ess(spark.createDataFrame(rows, "run long, tip long, sample long, whole double, without double"))
+    text = sizes._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in text and "InPandas" not in text
+    want = {t: round(traces.ess_tracer([r[3] for r in rows if r[1] == t]), 6) for t in range(9)}
+    assert {r.tip: r.full_ess for r in sizes.collect()} == want
+    monkeypatch.setattr(tip_removal, "tip_removal_ess", lambda trace: sizes)
+    described = registry.queries()["removal_description"](spark, SF)
+    assert "MapInArrow" not in described._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.size: r.n for r in described.collect()} == {"full_ess": 9, "removed_ess": 9, "ess_change": 9}
