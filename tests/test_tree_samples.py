@@ -79,3 +79,33 @@ def test_ends_that_cannot_be_reached():
         chain.jumps(0, 2, 1.0, 0.5)
     with pytest.raises(ValueError):
         chain.jumps(0, 1, 0.0, 0.5)
+
+
+@pytest.mark.parametrize("n, kinds, most", [(1, 4, 3), (60, 5, 4), (400, 8, 6), (300, 90, 12), (257, 3, 3), (200, 2000, 9)])
+def test_squared_distances_add_up_over_clades(n, kinds, most):
+    """Exactly as over all pairs of trees, with clades that many trees have, few, one; and trees without any."""
+    rng = random.Random(n + kinds)
+    trees = [{min(rng.randrange(kinds), rng.randrange(kinds)) for _ in range(rng.randrange(most + 1))} for _ in range(n)]
+    rows = [(i, f"c{c}") for i, t in enumerate(trees) for c in t]
+    has = tree_samples.Sample([r[0] for r in rows], [r[1] for r in rows], n)
+    for got, want in zip(tree_samples.sums_by_clades(has), tree_samples.sums_by_blocks(has)):
+        assert (got == want).all()
+
+
+def test_chains_of_trees_need_no_pairs_of_trees(monkeypatch):
+    rng = np.random.default_rng(2)
+    n = 20_000
+    clade = rng.integers(0, 3, (n, 6))
+    has = tree_samples.Sample(np.repeat(np.arange(n), 6), [f"{k}:{c}" for row in clade for k, c in enumerate(row)], n)
+    monkeypatch.setattr(tree_samples, "sums_by_blocks", None)
+    assert tree_samples.frechet_ess(has) == pytest.approx(n, rel=0.2)
+
+
+def test_runs_of_many_large_trees_take_pairs_of_trees(monkeypatch):
+    rng = random.Random(1)
+    rows = [(i, f"c{rng.randrange(6)}") for i in range(30) for _ in range(4)]
+    has = tree_samples.Sample([r[0] for r in rows], [r[1] for r in rows], 30)
+    want = tree_samples.frechet_ess(has)
+    monkeypatch.setattr(tree_samples, "PAIRS", 0)
+    monkeypatch.setattr(tree_samples, "sums_by_clades", None)
+    assert tree_samples.frechet_ess(has) == want
