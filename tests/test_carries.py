@@ -5,6 +5,7 @@ import random
 import pytest
 
 from dendrolake.operators import carries, history, trees
+from dendrolake.plans import registry
 
 from .test_goldens import random_tree
 from .test_plans import tree
@@ -86,3 +87,18 @@ def test_times_above_the_root_mean_nothing(spark):
     mut = spark.createDataFrame([(1, 4, 1.0, 0, 0, 1), (1, 2, 0.5, 0, 1, 3)], MUT)
     reference = spark.createDataFrame([(0, 0)], "site long, state long")
     assert history.violations(node=node, reference=reference, mut=mut, carried=carries.states(node, mut)).count() == 0
+
+
+def test_changes_along_paths_are_those_over_all_ancestors(spark, monkeypatch):
+    """In a tree of any numbering, with events above the root, on branches out of the order of time, at many sites, of nodes that aren't there; and without a table of ancestors."""
+    rng = random.Random(8)
+    parents, _, node = random_tree(spark, 14, 6)
+    rows = [(1, rng.choice([*parents, 99]), float(t), rng.choice([-5, 0, 1, 2, 3, 4, 9, 40]), rng.randrange(4), rng.randrange(4)) for t in rng.sample(range(1000), 90)] + [(2, 1, 1.0, 0, 0, 1)]
+    mut = spark.createDataFrame(rows, "tree_id long, node long, time double, site long, old_state long, new_state long")
+    want = sorted(map(tuple, history.path_changes(mut=mut, closure=trees.ancestor_closure(node)).collect()))
+    assert sorted(map(tuple, carries.path_changes(node, mut).collect())) == want and want
+    assert carries.path_changes(node, mut.where("site < -5")).count() == 0
+    made, seen = registry.Domain.table, []
+    monkeypatch.setattr(registry.Domain, "table", lambda self, name: seen.append(name) or made(self, name))
+    got = registry.queries()["path_changes"](spark, "/root/testdata/sf0.001")
+    assert "closure" not in seen and got.columns == ["tree_id", "node", "site", "start_state", "end_state", "events"]
