@@ -102,3 +102,20 @@ def test_changes_along_paths_are_those_over_all_ancestors(spark, monkeypatch):
     monkeypatch.setattr(registry.Domain, "table", lambda self, name: seen.append(name) or made(self, name))
     got = registry.queries()["path_changes"](spark, "/root/testdata/sf0.001")
     assert "closure" not in seen and got.columns == ["tree_id", "node", "site", "start_state", "end_state", "events"]
+
+
+def test_states_and_sums_in_groups_are_those_of_sweeps_by_joins(spark):
+    rng = random.Random(18)
+    parents, _, node = random_tree(spark, 14, 6)
+    rows = [(1, rng.choice([*parents, 99]), float(t), rng.choice([-5, 0, 1, 2, 3, 4, 9, 40]), rng.randrange(4), rng.randrange(4)) for t in rng.sample(range(1000), 90)] + [(2, 1, 1.0, 0, 0, 1)]
+    mut = spark.createDataFrame(rows, "tree_id long, node long, time double, site long, old_state long, new_state long")
+    own = mut.groupBy("tree_id", "node", "site").agg({"new_state": "sum"}).withColumnRenamed("sum(new_state)", "inc")
+    for got, want in ((carries.states_of_sites(node, mut), carries.states(node, mut)), (carries.sums_of_sites(node, own), carries.sums_above(node, own))):
+        assert got.columns == want.columns and dict(got.dtypes) == dict(want.dtypes)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count()
+
+
+def test_events_and_paths_of_branches_need_no_job_for_each_level(spark, monkeypatch):
+    for name in ("states", "sums_above"):
+        monkeypatch.setattr(carries, name, None)
+    assert registry.queries()["branch_paths"](spark, "/root/testdata/sf0.001").count()
