@@ -62,3 +62,19 @@ def test_states_of_siblings_are_read_once_each(spark, tmp_path):
     text = history.differing_sites(**{x: t[x] for x in history.differing_sites.tables})._jdf.queryExecution().optimizedPlan().toString()
     assert len([line for line in text.splitlines() if "Relation [tree_id" in line and "site#" in line]) == 2
     assert "FullOuter" in text and "Union" not in text
+
+
+def test_distances_of_histories_with_rows_that_come_twice_or_have_nulls(spark):
+    for seed in range(3):
+        as_before(spark, history.history_distance, odd_tables(spark, seed))
+    tables = odd_tables(spark, 0)
+    for name in ("node", "reference"):
+        assert history.history_distance(**{t: tables[t].limit(0) if t == name else tables[t] for t in history.history_distance.tables}).count() == 0
+
+
+def test_only_whether_states_differ_goes_to_their_nodes(spark, tmp_path):
+    t = written(odd_tables(spark, 0), tmp_path)
+    lines = history.history_distance(**{x: t[x] for x in history.history_distance.tables})._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    [dealt] = [i for i, line in enumerate(lines) if "RepartitionByExpression" in line]
+    assert [x.split("#")[0].strip() for x in lines[dealt + 1].split("[")[1].split(", ")[:2]] == ["tree_id", "node"] and "AS differs" in lines[dealt + 1]
+    assert "Aggregate [tree_id" in lines[dealt - 1] and any("Join Inner" in line for line in lines[:dealt - 1])  # counted before nodes are met
