@@ -2,7 +2,7 @@
 
 import random
 
-from dendrolake.operators import history
+from dendrolake.operators import history, likelihood
 from dendrolake.plans.plan import ANSI
 
 NODE = "tree_id long, node long, parent long, is_leaf boolean"
@@ -78,3 +78,29 @@ def test_only_whether_states_differ_goes_to_their_nodes(spark, tmp_path):
     [dealt] = [i for i, line in enumerate(lines) if "RepartitionByExpression" in line]
     assert [x.split("#")[0].strip() for x in lines[dealt + 1].split("[")[1].split(", ")[:2]] == ["tree_id", "node"] and "AS differs" in lines[dealt + 1]
     assert "Aggregate [tree_id" in lines[dealt - 1] and any("Join Inner" in line for line in lines[:dealt - 1])  # counted before nodes are met
+
+
+def event_tables(spark, seed):
+    rng = random.Random(seed)
+    nodes = [(t, n, n // 2 if n > 1 else None, (9 - n) / 4) for t in range(2) for n in range(1, 10)]
+    events = [(t, n, (9 - n + k) / 4, s, rng.choice([0, 1, 2, 3, None]), rng.choice([0, 1, 2, 3, None])) for t in range(2) for n in range(1, 11) for s in range(6) for k in (0.5, 0.25, 0.125) if rng.random() < 0.5]
+    return {
+        "node": spark.createDataFrame(odd(nodes, rng, [0, 1, 2, 3]), "tree_id long, node long, parent long, height double"),
+        "mut": spark.createDataFrame(odd(events, rng, [0, 1, 2, 3]), "tree_id long, node long, time double, site long, old_state long, new_state long"),
+        "site_category": spark.createDataFrame([(s, s % 3) for s in range(5)] + [(1, 1), (2, 0), (3, None), (None, 1)], "site long, category long"),
+    }
+
+
+def test_sums_of_branches_with_rows_that_come_twice_or_have_nulls(spark):
+    for seed in range(3):
+        as_before(spark, likelihood.branch_stats, event_tables(spark, seed))
+    tables = event_tables(spark, 0)
+    for name in tables:
+        assert likelihood.branch_stats(**{t: tables[t].limit(0) if t == name else tables[t] for t in tables}).count() == 0
+
+
+def test_events_are_read_once_as_events_and_once_by_site(spark, tmp_path):
+    t = written(event_tables(spark, 0), tmp_path)
+    lines = likelihood.branch_stats(**t)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert len([line for line in lines if "Relation [" in line and "old_state#" in line]) == 2
+    assert len([line for line in lines if "Generate stack(" in line]) == 2
