@@ -3,6 +3,7 @@
 import random
 
 from dendrolake.operators import history, likelihood
+from dendrolake.plans import registry
 from dendrolake.plans.plan import ANSI
 
 NODE = "tree_id long, node long, parent long, is_leaf boolean"
@@ -104,3 +105,10 @@ def test_events_are_read_once_as_events_and_once_by_site(spark, tmp_path):
     lines = likelihood.branch_stats(**t)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert len([line for line in lines if "Relation [" in line and "old_state#" in line]) == 2
     assert len([line for line in lines if "Generate stack(" in line]) == 2
+
+
+def test_states_of_siblings_are_sorted_in_all_partitions_of_a_shuffle(spark):
+    plan = registry.queries()["differing_sites"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert len(dealt) == 2 and all("Exchange hashpartitioning(tree_id" in line and f", {n}), REPARTITION_BY_NUM" in line for line in dealt)
